@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -14,42 +15,52 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: The tokenizer drops white space and no token spans it, so ids can be made and kept by chunk.
-CHUNK = re.compile(r"[^ \t\n\r]+")
+#: The tokenizer drops white space and no token spans it, nor the place between a letter or digit and full stops or commas after which
+#: no other mark stands; so ids can be made and kept by chunk.
+CUTS = re.compile(r"[ \t\n\r]+|(?<=[^\W_])([.,]+)(?=[ \t\n\r]|[^\W_]|\Z)")
 
 
 class ChunkEncoder:
-    """Ids of a text as little-endian 32-bit integers, through a bounded cache from white-space chunks to their ids."""
+    """Ids of texts as little-endian 32-bit integers, through a bounded cache from chunks to their ids."""
 
-    def __init__(self, tokenizer: str, cached: int = 400_000) -> None:
+    def __init__(self, tokenizer: str, cached: int = 1_200_000) -> None:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model, self.cached, self.known = Tokenizer.from_file(tokenizer), cached, {}
         self.model.no_truncation()
         self.model.no_padding()
 
-    def __call__(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text)
-        fresh = set(chunks).difference(self.known)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [list(filter(None, CUTS.split(t))) for t in texts]
+        fresh = set().union(*split).difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > self.cached:
                 self.known.clear()
-                fresh = set(chunks)
+                fresh = set().union(*split)
             order = list(fresh)
-            for c, e in zip(order, self.model.encode_batch(order, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, chunks))
+            for c, e in zip(order, self.model.encode_batch_fast(order, add_special_tokens=False), strict=True):
+                self.known[c] = array("I", e.ids).tobytes()
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+
+
+#: Encoders of this worker process: tasks that it runs one after the other share their caches.
+ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: each document's ids and ``end_id``, cut at ``capacity``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = ChunkEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode = ENCODERS.get(tokenizer) or ENCODERS.setdefault(tokenizer, ChunkEncoder(tokenizer))
+        end = np.array([end_id], "<u4").tobytes()
         for pdf in frames:
             rows = []
-            for doc, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
-                ids = encode(text if isinstance(text, str) else "") + end
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            encoded = [ids + end for k in range(0, len(texts), 64) for ids in encode(texts[k : k + 64])]
+            for doc, ids in zip(pdf["doc_id"].array, encoded, strict=True):
                 rows += [(doc, k, k * capacity, len(part) // 4, zlib.crc32(part)) for k in range(-(-len(ids) // (4 * capacity))) for part in (ids[4 * capacity * k : 4 * capacity * (k + 1)],)]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 

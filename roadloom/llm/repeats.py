@@ -5,8 +5,8 @@ symbols in it (its anchor), so equal windows have equal anchors, and consecutive
 is one short segment. Runs whose anchor occurs once in the corpus hold no repeat and are left out before any text moves. Equal
 segments are counted before they are shuffled, and one of each goes, with the others of its anchor, to a kernel that finds the
 windows with an equal elsewhere; what it finds is joined back to every run with that segment. Anchors shared by more than
-``group_limit`` different segments (frequent lines and passages) do not go to one task: their windows are counted by 128-bit digests
-with map-side sums instead.
+``group_limit`` different segments (frequent lines and passages) do not go to one task: their segments are dealt out anew by longer
+anchors, and the windows of what is still wide after that are counted by 128-bit digests with map-side sums.
 """
 
 from __future__ import annotations
@@ -76,24 +76,35 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def runs_of(symbols: np.ndarray, width: int, gram: int, chunk: int = 1 << 22) -> tuple[np.ndarray, ...]:
-    """``(anchor, digest, start, count)`` of every run of windows; a run's segment is ``count + width - 1`` symbols long."""
+def runs_of(symbols: np.ndarray, lengths: np.ndarray, width: int, gram: int, chunk: int = 1 << 22) -> tuple[np.ndarray, ...]:
+    """``(document, anchor, digest, start, count)`` of every run of windows in documents laid end to end.
+
+    A run's segment is ``count + width - 1`` symbols long; ``start`` counts from the start of its document.
+    """
     n = len(symbols) - width + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     first, second = Sums(symbols), Sums(symbols, 1)
     grams = first.all(gram)
+    ends = np.cumsum(lengths)
+    open_ = np.ones(n + width, bool)  # windows that lie within one document
+    for e in ends[:-1].tolist() if len(ends) > 1 else ():
+        open_[max(0, e - width + 1) : e] = False
     parts = []
     for at in range(0, n, chunk):
         m = min(chunk, n - at)
         own = grams[at : at + m + width - gram]
         packed = (own & ~MASK) | np.arange(len(own), dtype=np.uint64)
         where = (sliding_min(packed, width - gram + 1) & MASK).astype(np.int64)
-        heads = np.concatenate([[0], np.flatnonzero(where[1:] != where[:-1]) + 1])
+        inside = open_[at : at + m]
+        heads = np.concatenate([[0], np.flatnonzero((where[1:] != where[:-1]) | (inside[1:] != inside[:-1])) + 1])
         counts = np.diff(np.concatenate([heads, [m]]))
+        heads, counts = heads[inside[heads]], counts[inside[heads]]
         starts = heads + at
         parts.append((own[where[heads]], second.of(starts, counts + (width - 1)), starts, counts))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    anchor, digest, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+    document = np.searchsorted(ends, start, "right")
+    return document, anchor, digest, start - (ends - lengths)[document], count
 
 
 class ByteUnit:
@@ -151,74 +162,143 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def repeated_spans(docs: DataFrame, unit: Unit, kernel: Kernel, width: int, gram: int, group_limit: int = 200, block: int = 400_000) -> DataFrame:
-    """``(doc_id, tag, spans)`` for ``docs(doc_id, tag, text)``: where windows start that also start elsewhere, as (start, length).
+HITS = "anchor long, digest long, spans array<struct<start:int,length:int>>"
+
+
+class WindowRepeats:
+    """Finds the windows of ``width`` symbols that start at two or more places of a corpus.
 
-    ``tag`` tells apart rows that repeat a doc_id; equal rows are copies of one another. ``kernel(segments, counts, copies, width,
-    groups)`` gets segments of whole anchor groups and returns for each which of its first ``counts`` windows occur elsewhere.
+    ``kernel(segments, counts, copies, width, groups)`` gets the different segments of whole anchor groups and returns for each which
+    of its first ``counts`` windows occur elsewhere, ``copies`` being 2 for a segment that itself occurs at two or more places.
+    ``grams`` are the anchor lengths: the first for the corpus; the others deal oversize groups out anew, over finer anchors.
     """
 
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        u = unit()
-        for pdf in frames:
-            out = []
-            for doc, tag, text in zip(pdf["doc_id"].array, pdf["tag"].array, pdf["text"], strict=True):
-                anchor, digest, start, count = runs_of(u.symbols(u.items(text)), width, gram)
-                if len(anchor):
-                    out.append((np.full(len(anchor), doc), np.full(len(anchor), tag), anchor.view(np.int64), digest.view(np.int64), start, count))
-            if out:
-                yield pd.DataFrame(dict(zip(("doc_id", "tag", "anchor", "digest", "start", "count"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    runs = written(docs.where("doc_id is not null and length(text) > 0").mapInPandas(find, "doc_id long, tag int, anchor long, digest long, start int, count int"))
-    shared = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    found = written(runs.join(shared, "anchor").select("anchor", "digest", "doc_id", "tag", "start", "count"))
-    kinds = written(found.groupBy("anchor", "digest").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), F.min(F.struct("doc_id", "tag", "start", "count")).alias("r")))
-    wide = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("anchor", F.lit(True).alias("wide")))
-    kinds = kinds.join(wide, "anchor", "left").select("anchor", "digest", "copies", "r.*", F.coalesce("wide", F.lit(False)).alias("wide"))
-    wanted = kinds.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "digest", "copies", "start", "count", "wide")).alias("w"))
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        u = unit()
-        for pdf in frames:
-            rows = []
-            for text, w in zip(pdf["text"], pdf["w"], strict=True):
-                items = u.items(text)
-                rows += [(x["anchor"], x["digest"], x["copies"], x["count"], x["wide"], u.segment(items, x["start"], x["count"] + width - 1)) for x in w]
-            for k in range(0, len(rows), 20_000):
-                yield pd.DataFrame(rows[k : k + 20_000], columns=["anchor", "digest", "copies", "count", "wide", "segment"])
-
-    segments = written(docs.join(wanted, ["doc_id", "tag"]).select("text", "w").mapInPandas(cut, "anchor long, digest long, copies int, count int, wide boolean, segment binary"))
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        u = unit()
-        for pdf in whole_groups(frames, "anchor", block, lambda p: int(p["segment"].str.len().sum())):
-            pdf = pdf.drop_duplicates(["anchor", "digest"])
-            flags = kernel([u.parts(s) for s in pdf["segment"]], pdf["count"].tolist(), pdf["copies"].to_numpy(), width, pdf["anchor"].to_numpy())
-            rows = [(a, d, s) for a, d, f in zip(pdf["anchor"], pdf["digest"], flags, strict=True) if (s := _spans(f))]
-            yield pd.DataFrame(rows, columns=["anchor", "digest", "spans"])
-
-    spans = "anchor long, digest long, spans array<struct<start:int,length:int>>"
-    narrow = segments.where("not wide").select("anchor", "digest", "copies", "count", "segment")
-    judged = narrow.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(judge, spans)
-
-    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        u = unit()
-        for pdf in frames:
-            out = []
-            for a, d, c, s in zip(pdf["anchor"], pdf["digest"], pdf["copies"], pdf["segment"], strict=True):
-                symbols = u.symbols(u.parts(s))
-                one, two = Sums(symbols).all(width).view(np.int64), Sums(symbols, 1).all(width).view(np.int64)
-                out.append((one, two, np.full(len(one), a), np.full(len(one), d), np.full(len(one), c), np.arange(len(one))))
-            if out:
-                yield pd.DataFrame(dict(zip(("one", "two", "anchor", "digest", "copies", "at"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    broad = segments.where("wide").select("anchor", "digest", "copies", "segment").dropDuplicates(["anchor", "digest"])
-    broad = written(broad.mapInPandas(windows, "one long, two long, anchor long, digest long, copies int, at int"))
-    twice = written(broad.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two"))
-    counted = broad.join(twice, ["one", "two"]).groupBy("anchor", "digest").agg(F.collect_list(F.struct(F.col("at").alias("start"), F.lit(1).alias("length"))).alias("spans"))
-    hits = written(judged.unionByName(counted))
-    back = found.join(hits, ["anchor", "digest"]).select("doc_id", "tag", F.expr("transform(spans, s -> named_struct('start', s.start + start, 'length', s.length))").alias("s"))
-    return back.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    def __init__(self, unit: Unit, kernel: Kernel, width: int, grams: tuple[int, ...], group_limit: int = 200, block: int = 100_000) -> None:
+        self.unit, self.kernel, self.width, self.grams = unit, kernel, width, grams
+        self.group_limit, self.block = group_limit, block
+
+    def spans(self, docs: DataFrame) -> DataFrame:
+        """``(doc_id, tag, spans)`` for ``docs(doc_id, tag, text)``: where repeated windows start, as (start, length).
+
+        ``tag`` tells apart rows that repeat a doc_id; equal rows are copies of one another.
+        """
+        unit, width, gram = self.unit, self.width, self.grams[0]
+
+        def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            u = unit()
+
+            def runs(rows: list[tuple], symbols: list[np.ndarray]) -> pd.DataFrame:
+                k, anchor, digest, start, count = runs_of(np.concatenate(symbols), np.array(list(map(len, symbols))), width, gram)
+                ids = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+                return pd.DataFrame({"doc_id": ids[0][k], "tag": ids[1][k], "anchor": anchor.view(np.int64), "digest": digest.view(np.int64), "start": start, "count": count})
+
+            for pdf in frames:
+                rows, symbols, held, out = [], [], 0, []
+                for doc, tag, text in zip(pdf["doc_id"].array, pdf["tag"].array, pdf["text"], strict=True):
+                    own = u.symbols(u.items(text))
+                    if len(own) < width:
+                        continue
+                    rows.append((doc, tag))
+                    symbols.append(own)
+                    held += len(own)
+                    if held >= 1 << 16:
+                        out.append(runs(rows, symbols))
+                        rows, symbols, held = [], [], 0
+                if rows:
+                    out.append(runs(rows, symbols))
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+
+        runs = written(docs.where("doc_id is not null and length(text) > 0").mapInPandas(find, "doc_id long, tag int, anchor long, digest long, start int, count int"))
+        shared = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
+        found = written(runs.join(shared.hint("shuffle_hash"), "anchor").select("anchor", "digest", "doc_id", "tag", "start", "count"))
+        firsts = [F.first(c).alias(c) for c in ("doc_id", "tag", "start", "count")]
+        kinds = written(found.groupBy("anchor", "digest").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), *firsts))
+        wide = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > self.group_limit).select("anchor", F.lit(True).alias("wide")))
+        kinds = kinds.join(wide, "anchor", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+        wanted = kinds.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "digest", "copies", "start", "count", "wide")).alias("w"))
+
+        def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            u = unit()
+            for pdf in frames:
+                rows = []
+                for text, w in zip(pdf["text"], pdf["w"], strict=True):
+                    items = u.items(text)
+                    rows += [(x["anchor"], x["digest"], x["copies"], x["count"], x["wide"], u.segment(items, x["start"], x["count"] + width - 1)) for x in w]
+                for k in range(0, len(rows), 20_000):
+                    yield pd.DataFrame(rows[k : k + 20_000], columns=["anchor", "digest", "copies", "count", "wide", "segment"])
+
+        texts = docs.select("doc_id", "tag", "text").join(wanted, ["doc_id", "tag"]).select("text", "w")
+        segments = written(texts.mapInPandas(cut, "anchor long, digest long, copies int, count int, wide boolean, segment binary"))
+        hits = written(self._resolve(segments, 1))
+        back = found.join(hits, ["anchor", "digest"]).select("doc_id", "tag", F.expr("transform(spans, s -> named_struct('start', s.start + start, 'length', s.length))").alias("s"))
+        return back.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("s")).alias("spans"))
+
+    def _resolve(self, segments: DataFrame, level: int) -> DataFrame:
+        """Hits among ``segments``: small groups by the kernel, wide ones over finer anchors, the last of them window by window."""
+        narrow = self._judged(segments.where("not wide").drop("wide"))
+        broad = segments.where("wide").dropDuplicates(["anchor", "digest"]).drop("wide")
+        if segments.where("wide").isEmpty():
+            return narrow
+        return narrow.unionByName(self._refined(broad, level) if level < len(self.grams) else self._counted(broad))
+
+    def _judged(self, segments: DataFrame) -> DataFrame:
+        unit, kernel, width, block = self.unit, self.kernel, self.width, self.block
+
+        def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            u = unit()
+            for pdf in whole_groups(frames, "anchor", block, lambda p: int(p["segment"].str.len().sum())):
+                pdf = pdf.drop_duplicates(["anchor", "digest"])
+                flags = kernel([u.parts(s) for s in pdf["segment"]], pdf["count"].tolist(), pdf["copies"].to_numpy(), width, pdf["anchor"].to_numpy())
+                rows = [(a, d, s) for a, d, f in zip(pdf["anchor"], pdf["digest"], flags, strict=True) if (s := _spans(f))]
+                yield pd.DataFrame(rows, columns=["anchor", "digest", "spans"])
+
+        return segments.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(judge, HITS)
+
+    def _refined(self, segments: DataFrame, level: int) -> DataFrame:
+        unit, width, gram = self.unit, self.width, self.grams[level]
+
+        def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            u = unit()
+            for pdf in frames:
+                parts = [u.parts(s) for s in pdf["segment"]]
+                symbols = list(map(u.symbols, parts))
+                k, anchor, digest, start, count = runs_of(np.concatenate(symbols), np.array(list(map(len, symbols))), width, gram)
+                out = pdf[["anchor", "digest", "copies"]].iloc[k].rename(columns={"anchor": "up_anchor", "digest": "up_digest"})
+                text = [u.segment(parts[a], b, c + width - 1) for a, b, c in zip(k.tolist(), start.tolist(), count.tolist(), strict=True)]
+                yield out.assign(anchor=anchor.view(np.int64), digest=digest.view(np.int64), at=start, count=count, segment=text)
+
+        schema = "up_anchor long, up_digest long, copies int, anchor long, digest long, at int, count int, segment binary"
+        pieces = written(segments.mapInPandas(split, schema))
+        kinds = written(pieces.groupBy("anchor", "digest").agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), F.first("count").alias("count"), F.first("segment").alias("segment")))
+        groups = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("copies").alias("c")).where("c > 1")
+        groups = written(groups.select("anchor", (F.col("n") > self.group_limit).alias("wide")))
+        hits = written(self._resolve(kinds.join(groups, "anchor"), level + 1))
+        return self._lifted(pieces.select("up_anchor", "up_digest", "anchor", "digest", "at").join(hits, ["anchor", "digest"]))
+
+    def _counted(self, segments: DataFrame) -> DataFrame:
+        unit, width = self.unit, self.width
+
+        def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            u = unit()
+            for pdf in frames:
+                out = []
+                for a, d, c, s in zip(pdf["anchor"], pdf["digest"], pdf["copies"], pdf["segment"], strict=True):
+                    symbols = u.symbols(u.parts(s))
+                    one, two = Sums(symbols).all(width).view(np.int64), Sums(symbols, 1).all(width).view(np.int64)
+                    out.append((one, two, np.full(len(one), a), np.full(len(one), d), np.full(len(one), c), np.arange(len(one))))
+                if out:
+                    yield pd.DataFrame(dict(zip(("one", "two", "up_anchor", "up_digest", "copies", "at"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+        every = written(segments.mapInPandas(windows, "one long, two long, up_anchor long, up_digest long, copies int, at int"))
+        twice = written(every.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two"))
+        return self._lifted(every.join(twice, ["one", "two"]).withColumn("spans", F.expr("array(named_struct('start', 0, 'length', 1))")))
+
+    @staticmethod
+    def _lifted(pieces: DataFrame) -> DataFrame:
+        moved = F.expr("transform(spans, s -> named_struct('start', s.start + at, 'length', s.length))").alias("s")
+        lifted = pieces.select(F.col("up_anchor").alias("anchor"), F.col("up_digest").alias("digest"), moved)
+        return lifted.groupBy("anchor", "digest").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def covered(spans: list, n: int, width: int) -> np.ndarray:

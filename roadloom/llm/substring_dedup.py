@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounds
-from .repeats import WordUnit, _spans, covered, repeated_spans, with_tag
+from .repeats import WordUnit, WindowRepeats, _spans, covered, with_tag
 
 
 class ReferenceBlock:
@@ -20,14 +20,14 @@ class ReferenceBlock:
     def __init__(self, segments: list[list[bytes]], copies: list[int], seed: int) -> None:
         self.segments, self.copies, self.seed = segments, copies, seed
         self.index: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        for k, s in enumerate(segments):
+        for k, s in enumerate(segments if len(segments) > 1 or copies[0] < 2 else ()):
             for j in range(len(s) - seed + 1):
                 self.index[tuple(s[j : j + seed])].append((k, j))
 
     def longest(self, k: int, i: int, least: int = 0) -> int:
         """Words that the factor at ``i`` of segment ``k`` has: its longest match at any other place (0: under ``seed``, or ``least``)."""
         own = self.segments[k]
-        best = len(own) - i if self.copies[k] > 1 else 0
+        best = 0
         for other, j in self.index.get(tuple(own[i : i + self.seed]), ()):
             if other == k and j == i:
                 continue
@@ -45,7 +45,12 @@ class ReferenceBlock:
         return best
 
     def parse(self, k: int, count: int, width: int) -> np.ndarray:
-        """Greedy factors of segment ``k``, long ones marked, and the windows over factor boundaries looked up one by one."""
+        """Greedy factors of segment ``k``, long ones marked, and the windows over factor boundaries looked up one by one.
+
+        A segment of two or more copies is one factor: its other copy.
+        """
+        if self.copies[k] > 1:
+            return np.ones(count, bool)
         hit = np.zeros(count, bool)
         i = 0
         while i < count:
@@ -68,7 +73,7 @@ def parsed_windows(segments: list[list[bytes]], counts: list[int], copies: np.nd
     return out
 
 
-def substring_dedup(docs: DataFrame, width: int = 35, gram: int = 12) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 35, grams: tuple[int, ...] = (9, 28)) -> DataFrame:
     """Adds ``n_words, spans, n_removed, kept`` to each row of ``docs(doc_id, text, ...)``.
 
     A word goes if any window of ``width`` words over it also starts at another place of the corpus, in the same document or another.
@@ -79,7 +84,7 @@ def substring_dedup(docs: DataFrame, width: int = 35, gram: int = 12) -> DataFra
     """
     rest = [c for c in docs.columns if c not in ("n_words", "spans", "n_removed", "kept", "tag")]
     docs = with_tag(docs.select(*rest))
-    spans = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "text"), WordUnit, parsed_windows, width, gram)
+    spans = WindowRepeats(WordUnit, parsed_windows, width, grams).spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "text"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

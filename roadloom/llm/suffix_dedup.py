@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import ByteUnit, _spans, covered, repeated_spans, with_tag
+from .repeats import ByteUnit, WindowRepeats, _spans, covered, with_tag
 
 
 def two_stage_order(data: np.ndarray, text: bytes, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -58,12 +57,18 @@ def two_stage_order(data: np.ndarray, text: bytes, wanted: np.ndarray, depth: in
 def repeated_windows(segments: list[bytes], counts: list[int], copies: np.ndarray, width: int, groups: np.ndarray | None = None) -> list[np.ndarray]:
     """For each segment, which of its first ``counts`` windows of ``width`` bytes occur at another place among the segments.
 
-    A segment of two or more copies is laid out twice. Window starts, and the suffixes from which theirs are induced, are sorted;
-    a window is repeated if it shares at least ``width`` bytes with its neighbour in that order.
+    Window starts, and the suffixes from which theirs are induced, are sorted; a window is repeated if it shares at least ``width``
+    bytes with its neighbour in that order, or if its segment counts for two copies. A group that is one such segment needs no order.
     """
-    laid = [(k, s) for k, s in enumerate(segments) for _ in range(min(2, int(copies[k])))]
+    alone = np.zeros(len(segments), bool)
+    if groups is not None and len(segments):
+        edges = np.concatenate([[True], groups[1:] != groups[:-1], [True]])
+        alone = edges[:-1] & edges[1:] & (copies > 1)
+    laid = [(k, s) for k, s in enumerate(segments) if not alone[k]]
+    if not laid:
+        return [np.ones(c, bool) for c in counts]
     sizes = np.array([len(s) for _, s in laid], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(laid) else np.zeros(0, np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     text = b"".join([s for _, s in laid] + [b"\x00\xff" * width])
     data = np.frombuffer(text, np.uint8)
     span = np.array([counts[k] for k, _ in laid], np.int64)
@@ -88,13 +93,14 @@ def repeated_windows(segments: list[bytes], counts: list[int], copies: np.ndarra
         same = (view[a] == view[b]).all(axis=1)
         hit[a[same]] = True
         hit[b[same]] = True
-    out = [np.zeros(c, bool) for c in counts]
+    out = [np.ones(c, bool) for c in counts]
     for (k, _), at in zip(laid, starts.tolist(), strict=True):
-        out[k] |= hit[at : at + counts[k]]
+        if copies[k] < 2:
+            out[k] = hit[at : at + counts[k]]
     return out
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200, gram: int = 64) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (40, 160)) -> DataFrame:
     """``(doc_id, n_bytes, spans, kept)``: what is left of each text once every repeated ``width``-byte string is taken out.
 
     A byte goes if any ``width``-byte string over it also starts at another place of the corpus, in the same document or another;
@@ -103,7 +109,7 @@ def suffix_dedup(docs: DataFrame, width: int = 200, gram: int = 64) -> DataFrame
     texts shorter than ``width`` stay; further columns are ignored; an empty table gives an empty result.
     """
     docs = with_tag(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    spans = repeated_spans(docs, ByteUnit, repeated_windows, width, gram)
+    spans = WindowRepeats(ByteUnit, repeated_windows, width, grams).spans(docs)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -117,6 +123,3 @@ def suffix_dedup(docs: DataFrame, width: int = 200, gram: int = 64) -> DataFrame
     joined = docs.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
     return joined.mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<start:int,length:int>>, kept binary")
 
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
