@@ -1,15 +1,68 @@
-"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.llm import decontamination, jaccard_join, packing, substring_dedup, toxicity
+from roadloom.llm.common import table, written
+from roadloom.llm.queries import TOXIC_FROM, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents with a toxicity score of 0.3 or more."""
+    model = toxicity.fitted(spark, sf_dir, docs)
+    scored = toxicity.score_toxicity(docs, model, "_toxicity")
+    return scored.where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles."""
+    return jaccard_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of texts; a text without any stays as it is, n_chars follows the text."""
+    cut = substring_dedup.substring_dedup(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    cut = cut.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cut.select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that hold a copy of a benchmark item, edited or not."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of at most 4096 tokens; one row per piece."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_leaks),
+    ("best_fit_packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL cannot express learnt scores, alignments and tokens; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``, each one's result written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
     return docs

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard_join, metric_join, packing, substring_dedup, suffix_dedup, token_counts, toxicity
+from . import chat, decontamination, html_extraction, jaccard_join, metric_join, packing, substring_dedup, suffix_dedup, token_counts, toxicity
 from .common import table
 
+#: Documents that score this or more are toxic.
+TOXIC_FROM = 0.3
+
 
 def tokenizer_path(name: str) -> str:
     """Where an installed public tokenizer's file lies; every executor has it at its own place."""
@@ -34,6 +37,11 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extraction.extract_main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,7 +63,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = toxicity.score_toxicity(docs, toxicity.fitted(spark, sf_dir, docs))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_html_extraction": op4_html_extraction,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
