@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,39 +55,55 @@ def boxes_overlap(a: Column, b: Column) -> Column:
     return (a["miny"] <= b["maxy"]) & (b["miny"] <= a["maxy"]) & (a["minx"] <= b["maxx"]) & (b["minx"] <= a["maxx"])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _upto(curve: Column) -> Column:
+    return cumulative(F.coalesce(segment_lengths(curve), F.array().cast("array<double>")))
+
+
+def _at(curve: Column, upto: Column, goal: Column) -> Column:
+    """The point after a length: on the first segment whose end lies beyond it, or the last point."""
+
+    def on(i: Column) -> Column:
+        a, b = F.element_at(curve, i), F.element_at(curve, i + 1)
+        t = F.try_divide(goal - F.element_at(upto, i), F.element_at(upto, i + 1) - F.element_at(upto, i))
+        return F.when(i >= F.size(upto), F.element_at(curve, -1)).otherwise(let(t, lambda t: point(a["y"] + t * (b["y"] - a["y"]), a["x"] + t * (b["x"] - a["x"]))))
+
+    return let(F.size(F.filter(upto, lambda u: u <= goal)), lambda n: on(F.greatest(n, F.lit(1))))
+
+
 def position_at(curve: Column, fraction: Column) -> Column:
-    """The point at a fraction of arc length: on the first segment whose end lies beyond it; the last point from 1 on."""
-    lengths = segment_lengths(curve)
-    upto = cumulative(lengths)
-    goal = fraction * F.element_at(upto, -1)
-    at = F.filter(F.sequence(F.lit(1), F.size(lengths)), lambda i: F.element_at(upto, i + 1) > goal)[0]
-    a, b = F.element_at(curve, at), F.element_at(curve, at + 1)
-    t = F.try_divide(goal - F.element_at(upto, at), F.element_at(lengths, at))
-    inner = point(a["y"] + t * (b["y"] - a["y"]), a["x"] + t * (b["x"] - a["x"]))
-    return F.when((fraction >= 1) | at.isNull(), F.element_at(curve, -1)).otherwise(inner)
+    """The point at a fraction of arc length; the last point from 1 on."""
+    return let(_upto(curve), lambda u: F.when(fraction >= 1, F.element_at(curve, -1)).otherwise(let(fraction * F.element_at(u, -1), lambda g: _at(curve, u, g))))
+
+
+def _part(curve: Column, upto: Column, low: Column, high: Column) -> Column:
+    """The part between two lengths, vertices strictly between them kept."""
+    between = F.filter(F.sequence(F.lit(1), F.size(curve)), lambda i: (F.element_at(upto, i) > low + 1e-9) & (F.element_at(upto, i) < high - 1e-9))
+    return F.concat(F.array(_at(curve, upto, low)), F.transform(between, lambda i: F.element_at(curve, i)), F.array(_at(curve, upto, high)))
 
 
 def cut(curve: Column, low: Column, high: Column) -> Column:
-    """The part of a curve between two fractions of its length, vertices strictly between them kept."""
-    lengths = segment_lengths(curve)
-    upto = cumulative(lengths)
-    whole = F.element_at(upto, -1)
-    between = F.filter(F.sequence(F.lit(1), F.size(curve)), lambda i: (F.element_at(upto, i) > low * whole + 1e-9) & (F.element_at(upto, i) < high * whole - 1e-9))
-    return F.concat(F.array(position_at(curve, low)), F.transform(between, lambda i: F.element_at(curve, i)), F.array(position_at(curve, high)))
+    """The part of a curve between two fractions of its length."""
+    return let(_upto(curve), lambda u: _part(curve, u, low * F.element_at(u, -1), high * F.element_at(u, -1)))
 
 
 def cut_intervals(curve: Column, fractions: Column) -> Column:
-    """Pieces between consecutive fractions (sorted, in (0, 1)), the ends included."""
+    """Pieces between consecutive fractions (those in (0, 1), sorted), the ends included."""
     inner = F.filter(F.array_sort(F.array_distinct(fractions)), lambda f: (f > 1e-5) & (f < 1 - 1e-5))
-    all_ = F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0)))
-    n = F.size(all_)
-    return F.zip_with(F.slice(all_, 1, n - 1), F.slice(all_, 2, n - 1), lambda a, b: cut(curve, a, b))
+    every = F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0)))
+    ends = lambda f, w: F.slice(f, w, F.size(f) - 1)
+    return let(_upto(curve), lambda u: let(every, lambda f: F.zip_with(ends(f, 1), ends(f, 2), lambda a, b: _part(curve, u, a * F.element_at(u, -1), b * F.element_at(u, -1)))))
 
 
 def cut_pieces(curve: Column, pieces: Column | int) -> Column:
+    """Equal pieces."""
     n = F.lit(pieces) if isinstance(pieces, int) else pieces
-    steps = F.sequence(F.lit(0), n - 1)
-    return F.transform(steps, lambda i: cut(curve, i / n, (i + 1) / n))
+    step = lambda u: F.element_at(u, -1) / n
+    return let(_upto(curve), lambda u: F.transform(F.sequence(F.lit(0), n - 1), lambda i: _part(curve, u, i * step(u), (i + 1) * step(u))))
 
 
 def cut_max_distance(curve: Column, most: float = 10.0) -> Column:
@@ -99,21 +117,24 @@ def nearest_on_segment(a: Column, b: Column, p: Column) -> Column:
     dy, dx = b["y"] - a["y"], b["x"] - a["x"]
     flat = (F.abs(dy) < 1e-4) & (F.abs(dx) < 1e-4)
     t = F.when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((p["y"] - a["y"]) * dy + (p["x"] - a["x"]) * dx, dy * dy + dx * dx))))
-    y, x = a["y"] + t * dy, a["x"] + t * dx
-    return F.struct(distance(F.struct(y.alias("y"), x.alias("x")), p).alias("distance"), y.alias("y"), x.alias("x"), t.alias("t"))
+    spot = lambda t: F.struct((a["y"] + t * dy).alias("y"), (a["x"] + t * dx).alias("x"), t.alias("t"))
+    return let(let(t, spot), lambda q: F.struct(distance(q, p).alias("distance"), q["y"].alias("y"), q["x"].alias("x"), q["t"].alias("t")))
 
 
 def nearest_on_curve(curve: Column, p: Column) -> Column:
     """(distance, index, y, x, fraction) of the curve's nearest point to ``p``; the first of equal segments wins."""
-    lengths = segment_lengths(curve)
-    upto = cumulative(lengths)
 
-    def one(s: Column, i: Column) -> Column:
-        near = nearest_on_segment(s["a"], s["b"], p)
-        fraction = F.coalesce(F.try_divide(F.element_at(upto, i + 1) + near["t"] * F.element_at(lengths, i + 1), F.element_at(upto, -1)), F.lit(0.0))
-        return F.struct(near["distance"].alias("distance"), i.alias("index"), near["y"].alias("y"), near["x"].alias("x"), fraction.alias("fraction"))
+    def of(upto: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            def found(near: Column) -> Column:
+                along = F.element_at(upto, i + 1) + near["t"] * (F.element_at(upto, i + 2) - F.element_at(upto, i + 1))
+                return F.struct(near["distance"].alias("distance"), i.alias("index"), near["y"].alias("y"), near["x"].alias("x"), F.coalesce(F.try_divide(along, F.element_at(upto, -1)), F.lit(0.0)).alias("fraction"))
+
+            return let(nearest_on_segment(s["a"], s["b"], p), found)
+
+        return F.array_min(F.transform(segments(curve), one))
 
-    return F.array_min(F.transform(segments(curve), one))
+    return let(_upto(curve), of)
 
 
 def rotate(p: Column, angle: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import curve as C
+from ..scratch import settled
 from .coverage import edge_coverage
-from .structure import incidence, settled, vectorize
+from .structure import incidence, vectorize
 
 NODE = "graph_id string, nid long, y double, x double, render string, origin string"
 EDGE = "graph_id string, u long, v long, k int, curve array<struct<y:double,x:double>>, render string, origin string"
@@ -57,25 +58,25 @@ def reconnect_graph(nodes: pd.DataFrame, edges: pd.DataFrame, starts: list[int],
         k = 1 + max((key[2] for key in live if key[:2] == (a, b)), default=-1)
         live[(a, b, k)] = [np.array([place[a], place[b]]), render, origin, False]
     out = pd.DataFrame([(graph, u, v, k, [{"y": float(y), "x": float(x)} for y, x in c], r, o) for (u, v, k), (c, r, o, _) in live.items()], columns=["graph_id", "u", "v", "k", "curve", "render", "origin"])
-    more = pd.DataFrame(added, columns=["graph_id", "nid", "y", "x", "render", "origin"])
-    return pd.concat([nodes[["graph_id", "nid", "y", "x", "render", "origin"]], more], ignore_index=True), out
+    names = ["graph_id", "nid", "y", "x", "render", "origin"]
+    return pd.DataFrame(nodes[names].values.tolist() + added, columns=names), out
 
 
 def _reconnected(nodes: DataFrame, edges: DataFrame, starts: DataFrame, render: str, origin: str, node_origin: str) -> tuple[DataFrame, DataFrame]:
     """``reconnect_graph`` for every graph_id; one graph fits a task (see README), the sweep over graphs is what is distributed."""
-    rows = nodes.select("graph_id", F.struct("nid", "y", "x", "render", "origin", "target").alias("n"), F.lit(None).cast("struct<u:long,v:long,k:int,curve:array<struct<y:double,x:double>>,render:string,origin:string,target:boolean>").alias("e"), F.lit(None).cast("long").alias("s"))
-    rows = rows.unionByName(edges.select("graph_id", F.struct("u", "v", "k", "curve", "render", "origin", "target").alias("e")), allowMissingColumns=True)
-    rows = rows.unionByName(starts.select("graph_id", F.col("nid").alias("s")), allowMissingColumns=True)
+    rows = nodes.select(F.lit("n").alias("kind"), "graph_id", "nid", "y", "x", "render", "origin", "target")
+    rows = rows.unionByName(edges.select(F.lit("e").alias("kind"), "graph_id", "u", "v", "k", "curve", "render", "origin", "target"), allowMissingColumns=True)
+    rows = rows.unionByName(starts.select(F.lit("s").alias("kind"), "graph_id", "nid"), allowMissingColumns=True)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph = pdf["graph_id"].iloc[0]
-        n = pd.DataFrame([{"graph_id": graph, **r} for r in pdf["n"].dropna()], columns=["graph_id", "nid", "y", "x", "render", "origin", "target"]).astype({"target": bool})
-        e = pd.DataFrame([{"graph_id": graph, **r} for r in pdf["e"].dropna()], columns=["graph_id", "u", "v", "k", "curve", "render", "origin", "target"])
-        s = [int(v) for v in pdf["s"].dropna()]
-        nodes_out, edges_out = reconnect_graph(n, e, s, render, origin, node_origin)
-        a = nodes_out.assign(kind="n")
-        b = edges_out.assign(kind="e")
-        return pd.concat([a, b], ignore_index=True)[["kind", "graph_id", "nid", "y", "x", "u", "v", "k", "curve", "render", "origin"]].astype({"nid": "Int64", "u": "Int64", "v": "Int64", "k": "Int64"})
+        part = {k: pdf[pdf["kind"] == k] for k in "nes"}
+        n = part["n"][["graph_id", "nid", "y", "x", "render", "origin", "target"]].astype({"nid": "int64", "target": bool})
+        e = part["e"][["u", "v", "k", "curve", "render", "origin", "target"]].astype({"u": "int64", "v": "int64", "k": "int64", "target": bool})
+        new_nodes, new_edges = reconnect_graph(n, e, part["s"]["nid"].astype("int64").tolist(), render, origin, node_origin)
+        out = new_nodes.assign(kind="n").to_dict("records") + new_edges.assign(kind="e").to_dict("records")
+        frame = pd.DataFrame(out, columns=["kind", "graph_id", "nid", "y", "x", "u", "v", "k", "curve", "render", "origin"])
+        frame["graph_id"] = pdf["graph_id"].iloc[0]
+        return frame.astype({"nid": "Int64", "u": "Int64", "v": "Int64", "k": "Int64"})
 
     schema = "kind string, graph_id string, nid long, y double, x double, u long, v long, k int, curve array<struct<y:double,x:double>>, render string, origin string"
     both = settled(rows.groupBy("graph_id").applyInPandas(run, schema))

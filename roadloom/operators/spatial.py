@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import curve as C
+from ..scratch import settled
 
 
 def _cells(box: Column, size: float, pad: float) -> Column:
@@ -52,14 +53,15 @@ def nearest(left: DataFrame, right: DataFrame, distance: Column, radius: float,
     ``left(lid, lbox, ...)`` and ``right(rid, rbox, ...)`` meet within a radius that doubles for the rows still without a neighbour
     inside it; ``distance`` must be at least the distance of the boxes. Rows with lid = rid do not meet.
     """
-    out, open_ = None, left
+    out, open_, right = None, settled(left), settled(right)
     if right.isEmpty():
         return left.select("lid", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("distance")).limit(0)
     for _ in range(rounds):
         met = box_join(open_, right, radius, radius).where("lid != rid").withColumn("distance", distance).where(F.col("distance") <= radius)
-        found = met.groupBy("lid").agg(F.min(F.struct("distance", "rid")).alias("m")).select("lid", F.col("m.rid").alias("rid"), F.col("m.distance").alias("distance")).persist()
+        found = met.groupBy("lid").agg(F.min(F.struct("distance", "rid")).alias("m")).select("lid", F.col("m.rid").alias("rid"), F.col("m.distance").alias("distance"))
+        found = settled(found)
         out = found if out is None else out.unionByName(found)
-        open_ = open_.join(found.select("lid"), "lid", "left_anti")
+        open_ = settled(open_.join(found.select("lid"), "lid", "left_anti"))
         if open_.isEmpty():
             break
         radius *= 2

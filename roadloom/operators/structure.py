@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import curve as C
+from ..scratch import settled
 from .spatial import radius_join
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster shares, lineage cut."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="roadloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/roadloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def canonical(edges: DataFrame) -> DataFrame:
     """Edges with u <= v, their curves turned to run from u to v."""
     turned = F.col("u") > F.col("v")

@@ -1,10 +1,436 @@
-"""Every query of the road-network engine by name, with its SQL where SQL can express it."""
+"""Every query of the road-network engine by name, with its SQL where SQL can express it.
+
+The given tables stand in for road data: events are trace points, embeddings are polylines of 32 points and, by their first two
+numbers, nodes; conversations are chains, lineitem is a multigraph of suppliers and parts with annotated edges.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import curve as C
+from ..functions import geodesy as G
+from ..operators import coverage, fusion, metrics, spatial, structure
+from ..sources import traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits)
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("trip"), F.col("value").alias("y"), (F.col("event_id") % 97).cast("double").alias("x"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+
+
+def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings")
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    curve = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(at(2 * i + 1).alias("y"), at(2 * i + 2).alias("x")))
+    return e.select("vec_id", curve.alias("curve"))
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "embeddings")
+    return e.select(F.lit("g").alias("graph_id"), F.col("vec_id").alias("nid"), (F.element_at("embedding", 1).cast("double") * 1000).alias("y"), (F.element_at("embedding", 2).cast("double") * 1000).alias("x"))
+
+
+def short_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of each polyline's first segment, scaled like the nodes."""
+    c = polylines(spark, sf_dir).select("vec_id", F.col("curve")[0].alias("p"), F.col("curve")[1].alias("q"))
+    p = lambda k: F.struct(*[((F.col("p")[a] + (F.col("q")[a] - F.col("p")[a]) * k) * 1000).alias(a) for a in ("y", "x")])
+    return c.select(F.col("vec_id").alias("id"), p(0.0).alias("a"), p(0.05).alias("b"))
+
+
+def multigraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = load(spark, sf_dir, "lineitem")
+    t = F.ceil("l_quantity").cast("double")
+    return li.select(
+        F.lit("g").alias("graph_id"), F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1_000_000).alias("v"), F.col("l_quantity").alias("length"),
+        F.when(t > 40, F.lit(float("inf"))).otherwise(t).alias("threshold"), "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_linestatus",
+    )
+
+
+def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("length"))
+    nxt = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    e = c.select("conv_id", "turn", "length", nxt.alias("next")).where("next is not null")
+    return e.select(F.col("conv_id").cast("string").alias("graph_id"), F.col("turn").alias("u"), F.col("next").alias("v"), "length")
+
+
+POINTS = "p AS (SELECT user_id AS trip, value AS y, CAST(event_id % 97 AS DOUBLE) AS x, epoch_us(ts) / 1e6 AS t FROM events)"
+LINES = """pts AS (SELECT vec_id, i, CAST(embedding[2*i+1] AS DOUBLE) AS y, CAST(embedding[2*i+2] AS DOUBLE) AS x FROM embeddings, range(0, 32) AS r(i)),
+seg AS (SELECT vec_id, i, y, x, ny, nx, sqrt((ny-y)*(ny-y)+(nx-x)*(nx-x)) AS len FROM (SELECT *, lead(y) OVER w AS ny, lead(x) OVER w AS nx FROM pts WINDOW w AS (PARTITION BY vec_id ORDER BY i)) WHERE ny IS NOT NULL),
+cum AS (SELECT *, sum(len) OVER (PARTITION BY vec_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto, sum(len) OVER (PARTITION BY vec_id) AS whole FROM seg)"""
+NODES = "n AS (SELECT vec_id AS nid, CAST(embedding[1] AS DOUBLE)*1000 AS y, CAST(embedding[2] AS DOUBLE)*1000 AS x FROM embeddings)"
+SHORT = """s AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE)*1000 AS ay, CAST(embedding[2] AS DOUBLE)*1000 AS ax,
+  (CAST(embedding[1] AS DOUBLE) + (CAST(embedding[3] AS DOUBLE) - CAST(embedding[1] AS DOUBLE))*0.05)*1000 AS byy, (CAST(embedding[2] AS DOUBLE) + (CAST(embedding[4] AS DOUBLE) - CAST(embedding[2] AS DOUBLE))*0.05)*1000 AS bx FROM embeddings)"""
+MULTI = "e AS (SELECT l_suppkey AS u, l_partkey + 1000000 AS v, l_quantity AS length, CASE WHEN ceil(l_quantity) > 40 THEN CAST('inf' AS DOUBLE) ELSE ceil(l_quantity) END AS threshold, * FROM lineitem)"
+CHAIN = "e AS (SELECT * FROM (SELECT CAST(conv_id AS VARCHAR) AS graph_id, turn AS u, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS v, CAST(length(text) AS DOUBLE) AS length FROM conversations) WHERE v IS NOT NULL)"
+
+
+@query(f"""WITH {POINTS}, s AS (SELECT trip, sqrt(pow(y - lag(y) OVER w, 2) + pow(x - lag(x) OVER w, 2)) AS step, t - lag(t) OVER w AS dt FROM p WINDOW w AS (PARTITION BY trip ORDER BY t)),
+g AS (SELECT trip, count(*) AS n, coalesce(sum(step), 0) AS d, sum(dt) AS dt, count(dt) AS k FROM s GROUP BY trip)
+SELECT count(*) AS trips, CAST(sum(n) AS BIGINT) AS samples, round(sum(d), 4) AS distance, round(avg(n), 6) AS samples_per_trip, round(avg(d), 4) AS distance_per_trip, round(sum(dt)/sum(k), 4) AS mean_interval FROM g""")
+def trip_statistics(spark, sf_dir):
+    s = traces.trip_statistics(points(spark, sf_dir))
+    return s.select("trips", "samples", r(F.col("distance"), 4).alias("distance"), r(F.col("samples_per_trip")).alias("samples_per_trip"), r(F.col("distance_per_trip"), 4).alias("distance_per_trip"), r(F.col("mean_interval"), 4).alias("mean_interval"))
+
+
+@query(f"WITH {POINTS} SELECT min(y) AS miny, min(x) AS minx, max(y) AS maxy, max(x) AS maxx FROM p")
+def trip_roi(spark, sf_dir):
+    return points(spark, sf_dir).agg(F.min("y").alias("miny"), F.min("x").alias("minx"), F.max("y").alias("maxy"), F.max("x").alias("maxx"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+f AS (SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '[ \\t\\n\\x0B\\f\\r]+'), lambda s: s <> '') AS f FROM l)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, f[1] AS f1, f[2] AS f2, f[3] AS f3 FROM f WHERE len(f) = 3""")
+def trip_parse_filter(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    f = F.filter(F.split("line", r"[ \t\n\x0B\f\r]+"), lambda s: s != "")
+    return d.select("doc_id", "line_no", f.alias("f")).where(F.size("f") == 3).select("doc_id", "line_no", *[F.col("f")[k].alias(f"f{k + 1}") for k in range(3)])
+
+
+@query(f"WITH {LINES} SELECT vec_id, round(sum(len), 6) AS length FROM seg GROUP BY vec_id")
+def curve_length(spark, sf_dir):
+    return polylines(spark, sf_dir).select("vec_id", r(C.length(F.col("curve"))).alias("length"))
+
+
+@query(f"WITH {LINES} SELECT vec_id, min(y) AS miny, min(x) AS minx, max(y) AS maxy, max(x) AS maxx FROM pts GROUP BY vec_id")
+def curve_bbox(spark, sf_dir):
+    return polylines(spark, sf_dir).select("vec_id", C.bounding_box(F.col("curve")).alias("b")).select("vec_id", "b.*")
+
+
+AT = "SELECT vec_id, f, round(y + (goal - (upto - len)) / len * (ny - y), 6) AS y, round(x + (goal - (upto - len)) / len * (nx - x), 6) AS x FROM (SELECT *, f * whole AS goal, row_number() OVER (PARTITION BY vec_id, f ORDER BY i) AS k FROM cum, (VALUES (0.25), (0.5), (0.9)) AS v(f) WHERE upto > f * whole) WHERE k = 1"
+
+
+@query(f"WITH {LINES} SELECT vec_id, CAST(f AS DOUBLE) AS fraction, y, x FROM ({AT})")
+def curve_position_at(spark, sf_dir):
+    c = polylines(spark, sf_dir).select("vec_id", "curve", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9))).alias("fraction"))
+    return c.select("vec_id", "fraction", C.position_at(F.col("curve"), F.col("fraction")).alias("p")).select("vec_id", "fraction", r(F.col("p.y")).alias("y"), r(F.col("p.x")).alias("x"))
+
+
+# a piece's length along the original curve is a quarter of the whole; cut points keep every vertex between
+@query(f"WITH {LINES}, w AS (SELECT vec_id, max(whole) AS whole FROM cum GROUP BY vec_id) SELECT vec_id, CAST(k AS INTEGER) AS piece, round(whole / 4, 6) AS length FROM w, range(0, 4) AS q(k)")
+def curve_cut_pieces(spark, sf_dir):
+    c = polylines(spark, sf_dir).select("vec_id", F.posexplode(C.cut_pieces(F.col("curve"), 4)).alias("piece", "part"))
+    return c.select("vec_id", "piece", r(C.length(F.col("part"))).alias("length"))
+
+
+@query(f"""WITH {LINES}, q AS (SELECT vec_id + 1 AS pid, y AS py, x AS px FROM pts WHERE i = 0),
+t AS (SELECT s.vec_id, s.i, s.y, s.x, s.ny, s.nx, py, px, CASE WHEN abs(ny-y) < 1e-4 AND abs(nx-x) < 1e-4 THEN 0 ELSE greatest(0, least(1, ((py-y)*(ny-y)+(px-x)*(nx-x))/((ny-y)*(ny-y)+(nx-x)*(nx-x)))) END AS t FROM seg s JOIN q ON s.vec_id = q.pid)
+SELECT vec_id, round(min(sqrt(pow(y+t*(ny-y)-py,2)+pow(x+t*(nx-x)-px,2))), 6) AS distance FROM t GROUP BY vec_id""")
+def nearest_on_curve(spark, sf_dir):
+    c = polylines(spark, sf_dir)
+    q = c.select((F.col("vec_id") + 1).alias("vec_id"), F.col("curve")[0].alias("p"))
+    return c.join(q, "vec_id").select("vec_id", r(C.nearest_on_curve(F.col("curve"), F.col("p"))["distance"]).alias("distance"))
+
+
+@query(f"""WITH {SHORT}, b AS (SELECT id, least(ay,byy) AS miny, least(ax,bx) AS minx, greatest(ay,byy) AS maxy, greatest(ax,bx) AS maxx FROM s)
+SELECT l.id AS lid, q.id AS rid FROM b l JOIN b q ON l.miny - 5 <= q.maxy AND q.miny <= l.maxy + 5 AND l.minx - 5 <= q.maxx AND q.minx <= l.maxx + 5 AND l.id < q.id""")
+def bbox_range_join(spark, sf_dir):
+    s = short_segments(spark, sf_dir).withColumn("box", C.bounding_box(F.array("a", "b")))
+    met = spatial.box_join(s.select(F.col("id").alias("lid"), F.col("box").alias("lbox")), s.select(F.col("id").alias("rid"), F.col("box").alias("rbox")), 5.0, 20.0)
+    return met.where("lid < rid").select("lid", "rid")
+
+
+def _sides(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    return n.select(F.col("nid").alias("lid"), F.col("y").alias("ly"), F.col("x").alias("lx")), n.select(F.col("nid").alias("rid"), F.col("y").alias("ry"), F.col("x").alias("rx"))
+
+
+@query(f"""WITH {NODES} SELECT lid, rid, round(d, 6) AS distance FROM (SELECT a.nid AS lid, b.nid AS rid, sqrt(pow(a.y-b.y,2)+pow(a.x-b.x,2)) AS d, row_number() OVER (PARTITION BY a.nid ORDER BY sqrt(pow(a.y-b.y,2)+pow(a.x-b.x,2)), b.nid) AS k FROM n a JOIN n b ON a.nid <> b.nid) WHERE k = 1""")
+def nearest_node(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return spatial.nearest_point(left, right, 40.0).select("lid", "rid", r(F.col("distance")).alias("distance"))
+
+
+@query(f"""WITH {NODES}, {SHORT}, t AS (SELECT n.nid AS lid, n.y AS py, n.x AS px, s.*, CASE WHEN abs(byy-ay) < 1e-4 AND abs(bx-ax) < 1e-4 THEN 0 ELSE greatest(0, least(1, ((n.y-ay)*(byy-ay)+(n.x-ax)*(bx-ax))/((byy-ay)*(byy-ay)+(bx-ax)*(bx-ax)))) END AS t FROM n JOIN s ON n.nid <> s.id)
+SELECT lid, round(min(sqrt(pow(ay+t*(byy-ay)-py,2)+pow(ax+t*(bx-ax)-px,2))), 6) AS distance FROM t GROUP BY lid""")
+def nearest_edge(spark, sf_dir):
+    left, _ = _sides(spark, sf_dir)
+    curves = short_segments(spark, sf_dir).select(F.col("id").alias("rid"), F.array("a", "b").alias("curve"))
+    return spatial.nearest_curve(left, curves, 40.0).select("lid", r(F.col("distance")).alias("distance"))
+
+
+@query(f"WITH {NODES} SELECT a.nid AS lid, b.nid AS rid, round(sqrt(pow(a.y-b.y,2)+pow(a.x-b.x,2)), 6) AS distance FROM n a JOIN n b ON sqrt(pow(a.y-b.y,2)+pow(a.x-b.x,2)) <= 10 QUALIFY row_number() OVER (PARTITION BY a.nid ORDER BY sqrt(pow(a.y-b.y,2)+pow(a.x-b.x,2)), b.nid) <= 500")
+def radius_kd_ball(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return spatial.kd_ball(left, right, 10.0, 500).select("lid", "rid", r(F.col("distance")).alias("distance"))
+
+
+@query(f"WITH {NODES} SELECT nid FROM n WHERE y BETWEEN -100 AND 100 AND x BETWEEN -50 AND 150")
+def roi_cut(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    no_edges = n.select("graph_id", F.col("nid").alias("u"), F.col("nid").alias("v"))
+    return structure.cut_out(n, no_edges, (-100.0, -50.0), (100.0, 150.0))[0].select("nid")
+
+
+@query(f"""WITH RECURSIVE {NODES}, p AS (SELECT a.nid AS a, b.nid AS b FROM n a JOIN n b ON a.nid <> b.nid AND abs(a.y-b.y) <= 10 AND abs(a.x-b.x) <= 10),
+c AS (SELECT DISTINCT a AS nid, a AS root FROM p UNION SELECT p.b, c.root FROM c JOIN p ON p.a = c.nid)
+SELECT nid, min(root) AS canonical FROM c GROUP BY nid""")
+def dedupe_nodes(spark, sf_dir):
+    return structure.duplicated_nodes(nodes(spark, sf_dir), 10.0)
+
+
+@query(f"WITH {MULTI}, i AS (SELECT u AS nid, v AS other FROM e UNION ALL SELECT v, u FROM e) SELECT nid, count(*) AS degree, count(DISTINCT other) AS neighbours FROM i GROUP BY nid")
+def node_degree(spark, sf_dir):
+    return structure.degrees(multigraph(spark, sf_dir)).select("nid", "degree", "neighbours")
+
+
+@query(f"WITH {CHAIN}, i AS (SELECT graph_id, u AS nid, v AS other FROM e UNION ALL SELECT graph_id, v, u FROM e) SELECT graph_id, nid, count(DISTINCT other) <> 2 OR count(*) <> 2 AS is_endpoint FROM i GROUP BY graph_id, nid")
+def endpoints(spark, sf_dir):
+    return structure.endpoints(chain_edges(spark, sf_dir)).select("graph_id", "nid", "is_endpoint")
+
+
+@query(f"WITH {MULTI} SELECT u, v, count(*) AS n_edges FROM e GROUP BY u, v HAVING count(*) > 1")
+def multi_edges(spark, sf_dir):
+    return structure.multi_edges(multigraph(spark, sf_dir)).select("u", "v", "n_edges")
+
+
+@query(f"WITH {MULTI} SELECT u, v, min(l_extendedprice) AS price FROM e GROUP BY u, v")
+def sanitize_edges(spark, sf_dir):
+    keyed = structure.keyed(structure.canonical(multigraph(spark, sf_dir)), "l_extendedprice", "l_orderkey", "l_linenumber")
+    return structure.sanitize_simplified(keyed).select("u", "v", F.col("l_extendedprice").alias("price"))
+
+
+@query(f"WITH {CHAIN} SELECT graph_id, min(u) AS head, max(v) AS tail, count(*) AS n_edges, sum(length) AS length FROM e GROUP BY graph_id")
+def simplify_chains(spark, sf_dir):
+    return structure.chains(chain_edges(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT vec_id AS u, CAST(i AS INTEGER) AS part, round(len, 6) AS length FROM seg")
+def vectorize_edges(spark, sf_dir):
+    e = polylines(spark, sf_dir).select(F.lit("g").alias("graph_id"), F.col("vec_id").alias("u"), (F.col("vec_id") + 1).alias("v"), F.lit(0).alias("k"), "curve")
+    return structure.vectorize(e).select("u", "part", r(F.col("length")).alias("length"))
+
+
+def tree(spark, sf_dir):
+    n, c = load(spark, sf_dir, "nation"), load(spark, sf_dir, "customer")
+    up = n.select((F.col("n_regionkey") + 1).cast("long").alias("u"), (F.col("n_nationkey") + 100).cast("long").alias("v"))
+    return up.unionAll(c.select((F.col("c_nationkey") + 100).cast("long").alias("u"), (F.col("c_custkey") + 1000).alias("v"))).select(F.lit("g").alias("graph_id"), "u", "v", F.lit(1.0).alias("length"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_regionkey + 1 AS a, n_nationkey + 100 AS b FROM nation UNION ALL SELECT c_nationkey + 100, c_custkey + 1000 FROM customer),
+i AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), h AS (SELECT r_regionkey + 1 AS root, r_regionkey + 1 AS nid, 0 AS depth FROM region UNION SELECT h.root, i.b, h.depth + 1 FROM h JOIN i ON h.nid = i.a WHERE h.depth < 2),
+m AS (SELECT root, nid, min(depth) AS depth FROM h GROUP BY root, nid) SELECT CAST(root AS BIGINT) AS root, depth, count(*) AS n FROM m GROUP BY root, depth""")
+def khop(spark, sf_dir):
+    roots = load(spark, sf_dir, "region").select(F.lit("g").alias("graph_id"), (F.col("r_regionkey") + 1).cast("long").alias("nid"))
+    return structure.hops(tree(spark, sf_dir), roots, 2).groupBy("root", "depth").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CHAIN}, c AS (SELECT graph_id, u AS n, coalesce(sum(length) OVER (PARTITION BY graph_id ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM (SELECT * FROM e UNION ALL SELECT graph_id, max(v), NULL, 0 FROM e GROUP BY graph_id)) SELECT a.graph_id, a.n AS u, b.n AS v, b.at - a.at AS dist FROM c a JOIN c b ON a.graph_id = b.graph_id AND a.n <= b.n")
+def shortest_paths(spark, sf_dir):
+    return metrics.shortest_paths(chain_edges(spark, sf_dir))
+
+
+@query(f"WITH {MULTI} SELECT u, v, threshold, count(*) AS n FROM e WHERE threshold <= 10 GROUP BY ALL")
+def prune_threshold(spark, sf_dir):
+    return structure.prune(multigraph(spark, sf_dir), 10.0).groupBy("u", "v", "threshold").agg(F.count("*").alias("n"))
+
+
+RENDER = "CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN 'deleted' WHEN l_returnflag = 'A' THEN 'injected' WHEN l_linestatus = 'O' THEN 'original' ELSE 'connection' END"
+
+
+def rendered(spark, sf_dir):
+    return multigraph(spark, sf_dir).withColumn("render", F.expr(RENDER))
+
+
+@query(f"WITH {MULTI} SELECT u, v, count(*) AS n FROM e WHERE {RENDER} <> 'deleted' AND u % 10 <> 0 GROUP BY u, v")
+def remove_deleted(spark, sf_dir):
+    e = rendered(spark, sf_dir)
+    n = structure.incidence(e).select("graph_id", "nid").distinct().withColumn("render", F.when((F.col("nid") % 10 == 0) & (F.col("nid") < 1_000_000), "deleted").otherwise("original"))
+    return structure.remove_deleted(n, e)[1].groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MULTI} SELECT threshold, count(*) FILTER ({RENDER} = 'original') AS original, count(*) FILTER ({RENDER} = 'injected') AS injected, count(*) FILTER ({RENDER} = 'connection') AS connection, count(*) FILTER ({RENDER} = 'deleted') AS deleted, count(*) AS total, count(*) FILTER ({RENDER} <> 'deleted') AS live FROM e GROUP BY threshold")
+def action_counts(spark, sf_dir):
+    return fusion.action_counts(rendered(spark, sf_dir), "threshold")
+
+
+@query(f"WITH {MULTI}, h AS (SELECT t, count(u) AS n FROM range(1, 51) AS q(t) LEFT JOIN e ON e.threshold = t GROUP BY t) SELECT CAST(t AS INTEGER) AS threshold, n, CAST(sum(n) OVER (ORDER BY t) AS BIGINT) AS upto FROM h")
+def coverage_ecdf(spark, sf_dir):
+    h = multigraph(spark, sf_dir).where("threshold <= 50").groupBy(F.col("threshold").cast("int").alias("threshold")).agg(F.count("*").alias("n"))
+    full = spark.range(1, 51).select(F.col("id").cast("int").alias("threshold")).join(h, "threshold", "left").select("threshold", F.coalesce("n", F.lit(0)).alias("n"))
+    return full.withColumn("upto", F.sum("n").over(Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+@query(f"WITH {MULTI} SELECT (SELECT count(*) FROM (SELECT u FROM e UNION SELECT v FROM e)) AS n_nodes, count(*) AS n_edges, round(2.0 * count(*) / (SELECT count(*) FROM (SELECT u FROM e UNION SELECT v FROM e)), 6) AS mean_degree, sum(length) AS total_length, round(avg(length), 6) AS mean_length FROM e")
+def graph_info(spark, sf_dir):
+    e = multigraph(spark, sf_dir)
+    n = structure.incidence(e).agg(F.count_distinct("nid").alias("n_nodes"))
+    g = e.agg(F.count("*").alias("n_edges"), F.sum("length").alias("total_length"), r(F.avg("length")).alias("mean_length"))
+    return n.crossJoin(F.broadcast(g)).select("n_nodes", "n_edges", r(2.0 * F.col("n_edges") / F.col("n_nodes")).alias("mean_degree"), "total_length", "mean_length")  # two single rows
+
+
+@query("""WITH s AS (SELECT o_orderpriority AS kind, (o_orderkey % 3 > 0)::INT AS tp, (o_orderkey % 7 = 0)::INT AS fp, (o_custkey % 5 = 0)::INT AS fn FROM orders WHERE NOT ((o_orderkey % 3 > 0)::INT = 0 AND (o_orderkey % 7 = 0)::INT = 0)),
+g AS (SELECT kind, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM s GROUP BY kind)
+SELECT kind, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(tp/(tp+fp), 6) AS precision, round(tp/(tp+fn), 6) AS recall, round(2*(tp/(tp+fp))*(tp/(tp+fn))/((tp/(tp+fp))+(tp/(tp+fn))), 6) AS f1 FROM g""")
+def topo_score(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    s = o.select(F.col("o_orderpriority").alias("kind"), (F.col("o_orderkey") % 3 > 0).cast("int").alias("tp"), (F.col("o_orderkey") % 7 == 0).cast("int").alias("fp"), (F.col("o_custkey") % 5 == 0).cast("int").alias("fn"))
+    t = metrics.topo(s, "kind", prime=True)
+    return t.select("kind", "tp", "fp", "fn", *[r(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+SCORE = "CASE WHEN category = 'C' THEN 1 - least(abs(a - b) / a, 1) ELSE 0 END"
+SAMPLES = "s AS (SELECT o_orderkey AS sample_id, o_orderpriority AS kind, CASE WHEN o_orderkey % 5 = 0 THEN 'A' WHEN o_orderkey % 7 = 0 THEN 'B' ELSE 'C' END AS category, o_totalprice AS a, o_totalprice * (0.5 + (o_custkey % 11) / 10.0) AS b FROM orders)"
+
+
+def apls_rows(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    cat = F.when(F.col("o_orderkey") % 5 == 0, "A").when(F.col("o_orderkey") % 7 == 0, "B").otherwise("C")
+    s = o.select(F.col("o_orderkey").alias("sample_id"), F.col("o_orderpriority").alias("kind"), cat.alias("category"), F.col("o_totalprice").alias("a"), (F.col("o_totalprice") * (0.5 + (F.col("o_custkey") % 11) / 10.0)).alias("b"))
+    return s.withColumn("score", F.when(F.col("category") == "C", metrics.sample_score(F.col("a"), F.col("b"))).otherwise(0.0))
+
+
+@query(f"WITH {SAMPLES} SELECT kind, round(avg({SCORE}), 6) AS apls, count(*) AS n_samples FROM s WHERE category <> 'A' GROUP BY kind")
+def apls_score(spark, sf_dir):
+    return metrics.apls(apls_rows(spark, sf_dir), "kind", prime=True).select("kind", r(F.col("apls")).alias("apls"), "n_samples")
+
+
+@query(f"WITH {SAMPLES} SELECT kind, CAST(k AS INTEGER) AS n, round(m, 9) AS score FROM (SELECT kind, row_number() OVER w AS k, avg({SCORE}) OVER (PARTITION BY kind ORDER BY sample_id ROWS UNBOUNDED PRECEDING) AS m FROM s WINDOW w AS (PARTITION BY kind ORDER BY sample_id)) WHERE k % 10 = 0 AND k <= 1000")
+def score_stabilisation(spark, sf_dir):
+    w = Window.partitionBy("kind").orderBy("sample_id")
+    s = apls_rows(spark, sf_dir).select("kind", F.row_number().over(w).alias("n"), F.avg("score").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    return s.where("n % 10 = 0 and n <= 1000").select("kind", "n", r(F.col("m"), 9).alias("score"))
+
+
+@query("SELECT o_orderstatus AS place, round(corr(o_totalprice, o_custkey), 6) AS price_customer, round(corr(o_totalprice, o_orderkey), 6) AS price_order FROM orders GROUP BY o_orderstatus")
+def continuation_corr(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_orderstatus").alias("place")).agg(r(F.corr("o_totalprice", "o_custkey")).alias("price_customer"), r(F.corr("o_totalprice", "o_orderkey")).alias("price_order"))
+
+
+PLACES = "c AS (SELECT c_custkey, 41.8::DOUBLE + (c_custkey % 100)/1000.0::DOUBLE AS lat, (-87.6)::DOUBLE - (c_custkey % 70)/1000.0::DOUBLE AS lon FROM customer)"
+
+
+def places(spark, sf_dir):
+    k = F.col("c_custkey")
+    return load(spark, sf_dir, "customer").select(k, (F.lit(41.8) + (k % 100) / F.lit(1000.0)).alias("lat"), (F.lit(-87.6) - (k % 70) / F.lit(1000.0)).alias("lon"))
+
+
+MERC_Y = "(pi() - ln(1/cos(radians(lat)) + tan(radians(lat)))) / (2*pi())"
+
+
+@query(f"WITH {PLACES} SELECT c_custkey, round({MERC_Y}, 9) AS y, round((pi() + radians(lon)) / (2*pi()), 9) AS x FROM c")
+def mercator(spark, sf_dir):
+    y, x = G.mercator_from_latlon(F.col("lat"), F.col("lon"))
+    return places(spark, sf_dir).select("c_custkey", r(y, 9).alias("y"), r(x, 9).alias("x"))
+
+
+@query(f"""WITH {PLACES}, k AS (SELECT *, log2(2*pi()*6371007*cos(radians(lat))/(256*0.5)) AS ideal FROM c)
+SELECT c_custkey, round(2*pi()*6371007*cos(radians(lat))/(256*pow(2,16)), 6) AS gsd,
+CAST(CASE WHEN 2*pi()*6371007*cos(radians(lat))/(256*pow(2,floor(ideal)-1)) <= 0.75 THEN floor(ideal)-1 WHEN 2*pi()*6371007*cos(radians(lat))/(256*pow(2,floor(ideal))) <= 0.75 THEN floor(ideal) ELSE ceil(ideal) END AS INTEGER) AS zoom FROM k""")
+def gsd_zoom(spark, sf_dir):
+    return places(spark, sf_dir).select("c_custkey", r(G.ground_resolution(F.col("lat"), F.lit(16))).alias("gsd"), G.derive_zoom(F.col("lat"), 0.5, 0.25).alias("zoom"))
+
+
+@query(f"""WITH {PLACES}, k AS (SELECT c_custkey, radians(lat) AS phi, floor((lon+180)/6)+1 AS zone, lon, lat, 0.0066943799901413165::DOUBLE AS e2 FROM c),
+m AS (SELECT *, radians(lon - ((zone-1)*6-177)) * cos(phi) AS a, pow(tan(phi),2) AS t, e2/(1-e2)*pow(cos(phi),2) AS q, e2/(1-e2) AS ep, 6378137/sqrt(1-e2*pow(sin(phi),2)) AS n,
+ 6378137*((1-e2/4-3*e2*e2/64-5*e2*e2*e2/256)*phi-(3*e2/8+3*e2*e2/32+45*e2*e2*e2/1024)*sin(2*phi)+(15*e2*e2/256+45*e2*e2*e2/1024)*sin(4*phi)-35*e2*e2*e2/3072*sin(6*phi)) AS arc FROM k)
+SELECT c_custkey, CAST(zone AS INTEGER) AS zone, round(0.9996*(arc+n*tan(phi)*(a*a/2+(5-t+9*q+4*q*q)*pow(a,4)/24+(61-58*t+t*t+600*q-330*ep)*pow(a,6)/720)), 3) AS north,
+round(0.9996*n*(a+(1-t+q)*pow(a,3)/6+(5-18*t+t*t+72*q-58*ep)*pow(a,5)/120)+500000, 3) AS east FROM m""")
+def utm_project(spark, sf_dir):
+    north, east = G.utm_from_latlon(F.col("lat"), F.col("lon"))
+    return places(spark, sf_dir).select("c_custkey", G.utm_zone(F.col("lon")).alias("zone"), r(north, 3).alias("north"), r(east, 3).alias("east"))
+
+
+def _ccw(a: str, b: str, c: str) -> str:
+    return f"(({c[1]}-{a[1]})*({b[0]}-{a[0]}) > ({b[1]}-{a[1]})*({c[0]}-{a[0]}))"
+
+
+_P = {n: (f"{t}.{p}x" if p == "a" else f"{t}.bx", f"{t}.ay" if p == "a" else f"{t}.byy") for n, (t, p) in {"a": ("l", "a"), "b": ("l", "b"), "c": ("q", "a"), "d": ("q", "b")}.items()}
+
+
+@query(f"WITH {SHORT} SELECT l.id AS lid, q.id AS rid FROM s l JOIN s q ON l.id < q.id AND {_ccw(_P['a'], _P['c'], _P['d'])} <> {_ccw(_P['b'], _P['c'], _P['d'])} AND {_ccw(_P['a'], _P['b'], _P['c'])} <> {_ccw(_P['a'], _P['b'], _P['d'])}")
+def segment_crossings(spark, sf_dir):
+    return spatial.crossings(short_segments(spark, sf_dir), 20.0)
+
+
+_COS = "((l.byy-l.ay)*(q.byy-q.ay)+(l.bx-l.ax)*(q.bx-q.ax))/(sqrt(pow(l.byy-l.ay,2)+pow(l.bx-l.ax,2))*sqrt(pow(q.byy-q.ay,2)+pow(q.bx-q.ax,2)))"
+
+
+@query(f"WITH {SHORT}, f AS (SELECT * FROM s WHERE sqrt(pow(byy-ay,2)+pow(bx-ax,2)) >= 10) SELECT l.id AS lid, q.id AS rid, round(abs({_COS}), 6) AS cosine FROM f l JOIN f q ON l.id < q.id AND least(l.ay,l.byy)-20 <= greatest(q.ay,q.byy) AND least(q.ay,q.byy) <= greatest(l.ay,l.byy)+20 AND least(l.ax,l.bx)-20 <= greatest(q.ax,q.bx) AND least(q.ax,q.bx) <= greatest(l.ax,l.bx)+20 WHERE abs({_COS}) > 0.985")
+def parallel_edges(spark, sf_dir):
+    return spatial.parallels(short_segments(spark, sf_dir), 20.0).select("lid", "rid", r(F.col("cosine")).alias("cosine"))
+
+
+@query(f"WITH {CHAIN}, g AS (SELECT graph_id, count(*) + 1 AS n, sum(length) AS total FROM e GROUP BY graph_id) SELECT e.graph_id, u, v, length FROM e JOIN g ON e.graph_id = g.graph_id WHERE n >= 3 AND total > 1500")
+def spur_filter(spark, sf_dir):
+    return structure.drop_small_parts(chain_edges(spark, sf_dir), 3, 1500.0, 30.0).select("graph_id", "u", "v", "length")
+
+
+def _shifted(spark, sf_dir, by: float) -> tuple[DataFrame, DataFrame]:
+    """Every polyline as one edge of its own graph, scaled, and its segments moved ``by``."""
+    c = polylines(spark, sf_dir).select(F.col("vec_id").cast("string").alias("graph_id"), F.lit(1).cast("long").alias("u"), F.lit(2).cast("long").alias("v"), F.lit(0).alias("k"), F.transform("curve", lambda p: F.struct((p["y"] * 1000).alias("y"), (p["x"] * 1000).alias("x"))).alias("curve"))
+    s = structure.vectorize(c).select(F.col("graph_id").alias("tgraph"), F.col("part").cast("long").alias("tu"), (F.col("part") + 1).cast("long").alias("tv"), *[F.struct((F.col(f"{p}.y") + by).alias("y"), F.col(f"{p}.x").alias("x")).alias(p) for p in ("a", "b")])
+    return c, s
+
+
+@query()
+def coverage_match(spark, sf_dir):
+    edges, target = _shifted(spark, sf_dir, 4.2)
+    return coverage.edge_coverage(edges, target, 20).select("graph_id", "threshold", F.size("covered_by").alias("n_covered"))
+
+
+def _fused(spark, sf_dir, variant: str) -> DataFrame:
+    """Two parallel chains a graph: a base along y = 0 and a patch that follows it, then leaves it."""
+    chain = chain_edges(spark, sf_dir).select("graph_id", "u", "v")
+    p = lambda y, x: F.struct(y.cast("double").alias("y"), x.cast("double").alias("x"))
+    zero = F.lit(0.0)
+    line = lambda off, y: F.array(p(y(F.col("u")), F.col("u") * 100.0), p(y(F.col("v")), F.col("v") * 100.0))
+    base = chain.select("graph_id", "u", "v", F.lit(0).alias("k"), line(0, lambda c: zero).alias("curve"))
+    rise = lambda c: 4.0 + F.greatest(c - 2, F.lit(0)) * 60.0
+    patch = chain.select("graph_id", (F.col("u") + 1000).alias("u"), (F.col("v") + 1000).alias("v"), F.lit(0).alias("k"), line(1000, rise).alias("curve"), F.when(F.col("v") <= 2, 4.0).otherwise(float("inf")).alias("threshold"))
+    ends = lambda e: e.select("graph_id", F.inline(F.array(F.struct(F.col("u").alias("nid"), F.col("curve")[0].alias("p")), F.struct(F.col("v").alias("nid"), F.element_at("curve", -1).alias("p"))))).distinct().select("graph_id", "nid", "p.*")
+    n, e = fusion.fuse(ends(base), base, ends(patch), patch, 20.0)[variant]
+    return fusion.action_counts(e, "graph_id").join(n.groupBy("graph_id").agg(F.count("*").alias("n_nodes")), "graph_id")
+
+
+@query()
+def fuse_inject(spark, sf_dir):
+    return _fused(spark, sf_dir, "a")
+
+
+@query()
+def fuse_delete(spark, sf_dir):
+    return _fused(spark, sf_dir, "b")
+
+
+@query()
+def fuse_reconnect(spark, sf_dir):
+    return _fused(spark, sf_dir, "c")
+
+
+@query()
+def topo_match(spark, sf_dir):
+    n = nodes(spark, sf_dir).select((F.floor(F.col("y") / 300) * 1000 + F.floor(F.col("x") / 300)).cast("long").alias("seed"), "y", "x")
+    return metrics.topo_samples(n, n.withColumn("y", F.col("y") + 3.0), 5.0)
+
+
+@query()
+def apls_sample(spark, sf_dir):
+    e = chain_edges(spark, sf_dir).where("length > 0").withColumn("k", F.lit(0))
+    spots = metrics.random_positions(e.select(F.xxhash64("graph_id").alias("u"), F.xxhash64("graph_id", "u").alias("v"), "k", "length"), 500, 7)
+    return spots.select("sample_id", "u", "fraction")
