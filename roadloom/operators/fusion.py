@@ -67,13 +67,14 @@ def _reconnected(nodes: DataFrame, edges: DataFrame, starts: DataFrame, render:
     rows = nodes.select(F.lit("n").alias("kind"), "graph_id", "nid", "y", "x", "render", "origin", "target")
     rows = rows.unionByName(edges.select(F.lit("e").alias("kind"), "graph_id", "u", "v", "k", "curve", "render", "origin", "target"), allowMissingColumns=True)
     rows = rows.unionByName(starts.select(F.lit("s").alias("kind"), "graph_id", "nid"), allowMissingColumns=True)
+    rows = rows.withColumn("curve", F.coalesce("curve", F.array().cast("array<struct<y:double,x:double>>")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         part = {k: pdf[pdf["kind"] == k] for k in "nes"}
         n = part["n"][["graph_id", "nid", "y", "x", "render", "origin", "target"]].astype({"nid": "int64", "target": bool})
         e = part["e"][["u", "v", "k", "curve", "render", "origin", "target"]].astype({"u": "int64", "v": "int64", "k": "int64", "target": bool})
         new_nodes, new_edges = reconnect_graph(n, e, part["s"]["nid"].astype("int64").tolist(), render, origin, node_origin)
-        out = new_nodes.assign(kind="n").to_dict("records") + new_edges.assign(kind="e").to_dict("records")
+        out = [{"kind": "n", "curve": [], **r} for r in new_nodes.to_dict("records")] + new_edges.assign(kind="e").to_dict("records")
         frame = pd.DataFrame(out, columns=["kind", "graph_id", "nid", "y", "x", "u", "v", "k", "curve", "render", "origin"])
         frame["graph_id"] = pdf["graph_id"].iloc[0]
         return frame.astype({"nid": "Int64", "u": "Int64", "v": "Int64", "k": "Int64"})
