@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,26 @@ def normal_words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if isinstance(text, str) else []
 
 
+class Numbers(dict):
+    """Word numbers of white-space chunks, made once for each; refilled when full."""
+
+    def __init__(self, vocabulary: dict[str, int], most: int = 800_000) -> None:
+        self.vocabulary, self.most = vocabulary, most
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[chunk] = tuple(self.vocabulary.get(w, 0) for w in normal_words(chunk))
+        return found
+
+    def __reduce__(self) -> tuple:
+        return Numbers, (self.vocabulary, self.most)
+
+    def of(self, text: str | None) -> np.ndarray:
+        chunks = text.split() if isinstance(text, str) else []
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, chunks)), np.int64)
+
+
 class Items:
     """A block of test items as word numbers, with the places of their n-grams. Number 0 is any word that no item has."""
 
@@ -38,6 +59,7 @@ class Items:
             for j, h in enumerate(self.grams(w).tolist()):
                 self.places[h].append((k, j))
         self.keys = np.array(sorted(self.places), np.uint64)
+        self.numbers = Numbers(self.vocabulary)
 
     def size(self, words: np.ndarray) -> int:
         return min(self.gram, len(words))
@@ -46,10 +68,6 @@ class Items:
         """Hashes of the n-grams of an item; an item shorter than ``gram`` has none and is matched as a whole."""
         return Sums(words.astype(np.uint64)).all(self.gram) if len(words) >= self.gram else np.zeros(0, np.uint64)
 
-    def number(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-
     def hits(self, numbers: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the document has an n-gram of ``keys``, and which."""
         if len(numbers) < self.gram or not len(keys):
@@ -151,7 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 3, stretch: int = 5
             total = np.zeros(len(it.keys), np.int64)
             for pdf in frames:
                 for text in pdf["text"]:
-                    _, found = it.hits(it.number(normal_words(text)), it.keys)
+                    _, found = it.hits(it.numbers.of(text), it.keys)
                     total += np.bincount(np.searchsorted(it.keys, np.unique(found)), minlength=len(total))
             live = np.flatnonzero(total)
             yield pd.DataFrame({"gram": it.keys[live].view(np.int64), "n": total[live]})
@@ -165,7 +183,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 3, stretch: int = 5
             for pdf in frames:
                 rows = []
                 for doc, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
-                    rows += [(doc, it.ids[k], s, a, b) for k, s, a, b in alignments(it, keys, it.number(normal_words(text)), least)]
+                    rows += [(doc, it.ids[k], s, a, b) for k, s, a, b in alignments(it, keys, it.numbers.of(text), least)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
 
         own = docs.mapInPandas(align, schema)
