@@ -14,7 +14,7 @@ from .common import Forest, bounds, components, mix, whole_groups, written
 from .repeats import Sums
 
 #: Runs, levels below a run's first split, and splits made at each of them.
-RUNS, LEVELS, BRANCHES = 10, 3, 2
+RUNS, LEVELS, BRANCHES = 10, 2, 2
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -26,14 +26,24 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(Sums(hashes).all(min(n, len(words))))
 
 
-SALTS = mix(np.arange(1, RUNS + RUNS * LEVELS * BRANCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+SALTS = mix(np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+FURTHER = RUNS * LEVELS * BRANCHES
 
 
 def sampled(tokens: np.ndarray) -> np.ndarray:
-    """For each place of the runs' trees the token with the smallest hash: equal in two sets with their Jaccard similarity as chance."""
-    out = np.empty(len(SALTS), np.uint64)
-    for k in range(0, len(SALTS), 8):
-        out[k : k + 8] = mix(tokens[None, :] ^ SALTS[k : k + 8, None]).min(axis=1)
+    """For each place of the runs' trees a sampled token, equal in two sets with their Jaccard similarity as chance.
+
+    The runs' first splits take the token with the smallest hash. The further ones share one hash: its residue deals the tokens out
+    to the places, where the smallest stands; a place without a token takes the next one's.
+    """
+    out = np.empty(len(SALTS) + FURTHER, np.uint64)
+    for k, salt in enumerate(SALTS):
+        out[k] = mix(tokens ^ salt).min()
+    h = mix(tokens + np.uint64(0x632BE59BD9B4E019))
+    spots = np.full(FURTHER, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(spots, (h % np.uint64(FURTHER)).astype(np.int64), h)
+    filled = np.flatnonzero(spots != np.iinfo(np.uint64).max)
+    out[len(SALTS) :] = spots[filled[np.searchsorted(filled, np.arange(FURTHER)) % len(filled)]]
     return out
 
 
@@ -135,7 +145,7 @@ def _compare(sets: list[np.ndarray], paths: list[np.ndarray], bucket: int, sides
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, least: float = 0.8, limit: int = 200, chunk: int = 400) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, least: float = 0.8, limit: int = 400, chunk: int = 400) -> DataFrame:
     """``(doc_id, text_class, class_id, n_links, kept)``: documents whose ``n``-word shingle sets have a Jaccard similarity of ``least``.
 
     Documents with the same set are one text class (its smallest doc_id). ``n_links`` counts the other documents directly linked,
