@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import mix, table
 from .repeats import Sums
 
-#: Orders of the class models; the shared model below them has order 3. Slots of the shared model's hashed counts.
-ORDERS, SHARED_ORDER, SLOTS = (6, 5, 4), 3, 1 << 18
+#: Orders of the class models; the shared model below them has order 2. Slots of the shared model's hashed counts.
+ORDERS, SHARED_ORDER, SLOTS = (6, 5, 4, 3), 2, 1 << 16
 
 
 def laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
