@@ -39,7 +39,8 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
 
 def sample_score(a: Column, b: Column) -> Column:
     """1 - min(|a - b| / a, 1); null for a zero or unknown length."""
-    return 1 - F.least(F.try_divide(F.abs(a - b), a), F.lit(1.0))
+    d = F.try_divide(F.abs(a - b), a)
+    return 1 - F.when(d > 1, F.lit(1.0)).otherwise(d)
 
 
 def apls(samples: DataFrame, *groups: str, prime: bool = False) -> DataFrame:
