@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, table
+from .common import mix, table, written
 from .repeats import Sums
 
 #: Orders of the class models; the shared model below them has order 2. Slots of the shared model's hashed counts.
@@ -20,18 +20,28 @@ ORDERS, SHARED_ORDER, SLOTS = (6, 5, 4, 3), 2, 1 << 16
 def laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of the words, each between two spaces; the place in its word and the number of the word of each."""
     joined = "".join([f" {w} " for w in words])
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    place = (np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
     return codes, place, word
 
 
-def ending_grams(codes: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the ``order``-grams that lie in one word, and their hashes."""
+def ending_grams(codes: np.ndarray, place: np.ndarray, order: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the ``order``-grams that lie in one word, and their hashes, made block by block to bound what stands beside them."""
     ends = np.flatnonzero(place >= order - 1)
-    sums = Sums(mix(codes + np.uint64(1)))
-    return ends, sums.of(ends - order + 1, order)
+    grams = np.empty(len(ends), np.uint64)
+    for a in range(0, len(ends), block):
+        own = ends[a : a + block] - (order - 1)
+        low = int(own[0])
+        sums = Sums(mix(codes[low : int(own[-1]) + order].astype(np.uint64) + np.uint64(1)))
+        grams[a : a + block] = sums.of(own - low, order)
+    return ends, grams
+
+
+def at_places(place: np.ndarray, least: int, wanted: np.ndarray) -> np.ndarray:
+    """Which of the positions with a place of ``least`` or more each wanted one is."""
+    return (np.cumsum(place >= least, dtype=np.int32) - 1)[wanted]
 
 
 @dataclass
@@ -53,12 +63,11 @@ def _counts(codes: np.ndarray, place: np.ndarray, word: np.ndarray, weight: np.n
     """Grams of ``order``, their (continuation) counts, and their contexts, from the words with a positive weight."""
     ends, grams = ending_grams(codes, place, order)
     _, contexts = ending_grams(codes, place, order - 1)
-    before = np.flatnonzero(place >= order - 2)
-    contexts = contexts[np.searchsorted(before, ends - 1)]
+    contexts = contexts[at_places(place, order - 2, ends - 1)]
     live = weight[word[ends]] > 0
     ends, grams, contexts = ends[live], grams[live], contexts[live]
     if not top:  # one for each different character before the gram
-        ahead = np.where(place[ends] >= order, codes[np.maximum(ends - order, 0)] + np.uint64(1), np.uint64(0))
+        ahead = np.where(place[ends] >= order, codes[np.maximum(ends - order, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
         _, first = np.unique(mix(grams ^ mix(ahead + np.uint64(7))), return_index=True)
         ends, grams, contexts = ends[first], grams[first], contexts[first]
     amount = weight[word[ends]] if top else np.ones(len(ends))
@@ -86,8 +95,9 @@ class KneserNeyPair:
             ends, grams = ending_grams(codes, place, order)
             union, first = np.unique(grams, return_index=True)
             tails = ending_grams(codes, place, order - 1)
-            tail = tails[1][np.searchsorted(tails[0], ends[first])]
-            head = tails[1][np.searchsorted(tails[0], ends[first] - 1)]
+            tail = tails[1][at_places(place, order - 2, ends[first])]
+            head = tails[1][at_places(place, order - 2, ends[first] - 1)]
+            del ends, grams, first, tails
             at, _ = _find(lower_keys, tail)
             own = []
             for k, (keys, count, contexts, total, spare, discount) in enumerate(per_class):
@@ -211,34 +221,50 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> To
     """Fits on rows of ``labels(doc_id, toxic)``; shared counts come from every row of ``docs``.
 
     Of each class at most ``max_rows`` labelled documents, those with the smallest hashed doc_id, are used: three quarters for the
-    class models, the others for the logistic curve from length-normalised log-likelihood ratio to probability. Null labels and texts
-    are left out. Without a document of both classes every score is 0.
+    class models, the others for the logistic curve from length-normalised log-likelihood ratio to probability. Only their ids, word
+    counts and ratios reach the driver, so its memory is bounded by ``max_rows``. Null labels and texts are left out; of rows that
+    repeat a doc_id the smallest text and label count. Without a document of both classes every score is 0.
     """
-    rows = docs.select("doc_id", "text").join(labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"]), "doc_id")
-    rows = rows.where("text is not null").withColumn("h", F.xxhash64("doc_id"))
-    taken = pd.concat([rows.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(max_rows).toPandas() for k in (0, 1)], ignore_index=True)
-    shared = shared_counts(docs)
-    fit = (taken["h"].to_numpy(np.int64) >> 7) % 4 != 0
-    y = taken["toxic"].to_numpy(np.int64)
-    if not all(((y == k) & f).any() for k in (0, 1) for f in (fit, ~fit)):
-        fit = np.ones(len(y), bool)
-    counts: dict[str, list[int]] = {}
-    for text, label, use in zip(taken["text"], y.tolist(), fit.tolist(), strict=True):
-        for w in words_of(text) if use else ():
-            counts.setdefault(w, [0, 0])[1 - label] += 1
-    words = list(counts) or [""]
-    weight = np.array([counts[w] for w in counts], float).reshape(-1, 2) if counts else np.zeros((1, 2))
-    pair = KneserNeyPair(words, weight[:, 0], weight[:, 1], shared)
-    if not ((y == 0).any() and (y == 1).any()):
+    known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("toxic"))
+    known = docs.select("doc_id").distinct().join(known, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    ids = [tuple(r) for k in (0, 1) for r in known.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(max_rows).collect()]
+    chosen = docs.sparkSession.createDataFrame(ids, known.schema)
+    taken = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    taken = written(taken.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), (F.pmod(F.shiftright(F.first("h"), 7), F.lit(4)) != 0).alias("fit")))
+    kinds = {(r["toxic"], r["fit"]) for r in taken.select("toxic", "fit").distinct().collect()}
+    split = len(kinds) == 4
+    pair = KneserNeyPair(*word_counts(taken.where("fit") if split else taken), shared_counts(docs))
+    if len({toxic for toxic, _ in kinds}) < 2:
         return ToxicityModel(pair, 0.0, -30.0)
-    hold = ~fit if (~fit).any() else fit
-    value = DocumentScorer(pair)(taken["text"][hold].tolist())
-    return ToxicityModel(pair, *logistic(value, y[hold]))
+    plain = ToxicityModel(pair, 1.0, 0.0)
+    held = score_toxicity((taken.where("not fit") if split else taken).select("toxic", "text"), plain, "value", raw=True).select("value", "toxic").toPandas()
+    held = held.sort_values(["value", "toxic"])
+    return ToxicityModel(pair, *logistic(held["value"].to_numpy(), held["toxic"].to_numpy(np.int64)))
+
 
+def word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of ``docs(text, toxic)`` with how often toxic and ordinary ones have them, counted where the rows are."""
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, list[int]] = {}
+        for pdf in frames:
+            for text, label in zip(pdf["text"], pdf["toxic"].tolist(), strict=True):
+                for w in words_of(text):
+                    counts.setdefault(w, [0, 0])[1 - label] += 1
+        yield pd.DataFrame([(w, *c) for w, c in counts.items()], columns=["word", "toxic", "ordinary"])
+
+    sums = docs.select("text", "toxic").mapInPandas(run, "word string, toxic long, ordinary long")
+    rows = sums.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas().sort_values("word")
+    if not len(rows):
+        return [""], np.zeros(1), np.zeros(1)
+    return rows["word"].tolist(), rows["toxic"].to_numpy(float), rows["ordinary"].to_numpy(float)
+
+
+def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score", raw: bool = False) -> DataFrame:
     """Adds ``column``, the probability of toxicity of each whole text, to ``docs``; null and empty texts count as no words.
 
+    With ``raw`` it is the length-normalised log-likelihood ratio instead.
+
     The model (bounded by the rows it was fitted on) is broadcast once. A column of the same name is replaced; repeated rows get
     equal scores; an empty table stays empty.
     """
@@ -251,7 +277,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score")
         for pdf in frames:
             texts = pdf["text"].tolist()
             value = np.concatenate([score(texts[k : k + 256]) for k in range(0, len(texts), 256)]) if texts else np.zeros(0)
-            yield pdf.assign(**{column: m.probability(value)})
+            yield pdf.assign(**{column: value if raw else m.probability(value)})
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + f", `{column}` double"
     return docs.select(*rest).mapInPandas(run, schema)
