@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -14,38 +14,28 @@ from pyspark.sql import functions as F
 
 from .repeats import Sums
 
-WORD = re.compile(r"\w+")
+ASCII = bytes(range(128))
+#: ASCII characters that no word holds become spaces; the others of that kind are found among what is not ASCII.
+SPACED = bytes(c if c >= 128 or chr(c).isalnum() or chr(c) == "_" else 32 for c in range(256))
+NO_WORD = re.compile(r"[^\w\x00-\x7f]")
 
 
-def normal_words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if isinstance(text, str) else []
-
-
-class Numbers(dict):
-    """Word numbers of white-space chunks, made once for each; refilled when full."""
-
-    def __init__(self, vocabulary: dict[str, int], most: int = 800_000) -> None:
-        self.vocabulary, self.most = vocabulary, most
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        found = self[chunk] = tuple(self.vocabulary.get(w, 0) for w in normal_words(chunk))
-        return found
-
-    def __reduce__(self) -> tuple:
-        return Numbers, (self.vocabulary, self.most)
-
-    def of(self, text: str | None) -> np.ndarray:
-        chunks = text.split() if isinstance(text, str) else []
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, chunks)), np.int64)
+def normal_words(text: str | None) -> list[bytes]:
+    """The runs of letters, digits and underscores of a text in lower case, as UTF-8."""
+    if not isinstance(text, str):
+        return []
+    low = text.lower()
+    raw = low.encode("utf-8", "surrogatepass")
+    if len(raw) != len(low) and NO_WORD.search(raw.translate(None, ASCII).decode("utf-8", "surrogatepass")):
+        raw = NO_WORD.sub(" ", low).encode("utf-8", "surrogatepass")
+    return raw.translate(SPACED).split()
 
 
 class Items:
     """A block of test items as word numbers, with the places of their n-grams. Number 0 is any word that no item has."""
 
     def __init__(self, items: list[tuple[int, str | None]], gram: int) -> None:
-        self.vocabulary: dict[str, int] = {}
+        self.vocabulary: dict[bytes, int] = {}
         self.gram = gram
         self.ids: list[int] = []
         self.words: list[np.ndarray] = []
@@ -59,7 +49,10 @@ class Items:
             for j, h in enumerate(self.grams(w).tolist()):
                 self.places[h].append((k, j))
         self.keys = np.array(sorted(self.places), np.uint64)
-        self.numbers = Numbers(self.vocabulary)
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        words = normal_words(text)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def size(self, words: np.ndarray) -> int:
         return min(self.gram, len(words))
@@ -169,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 3, stretch: int = 5
             total = np.zeros(len(it.keys), np.int64)
             for pdf in frames:
                 for text in pdf["text"]:
-                    _, found = it.hits(it.numbers.of(text), it.keys)
+                    _, found = it.hits(it.numbers(text), it.keys)
                     total += np.bincount(np.searchsorted(it.keys, np.unique(found)), minlength=len(total))
             live = np.flatnonzero(total)
             yield pd.DataFrame({"gram": it.keys[live].view(np.int64), "n": total[live]})
@@ -183,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 3, stretch: int = 5
             for pdf in frames:
                 rows = []
                 for doc, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
-                    rows += [(doc, it.ids[k], s, a, b) for k, s, a, b in alignments(it, keys, it.numbers.of(text), least)]
+                    rows += [(doc, it.ids[k], s, a, b) for k, s, a, b in alignments(it, keys, it.numbers(text), least)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
 
         own = docs.mapInPandas(align, schema)
