@@ -129,21 +129,11 @@ class ByteUnit:
 class WordUnit:
     """Documents as their words: the longest runs without a space or one of the characters 9 to 13."""
 
-    def __init__(self, cached: int = 500_000) -> None:
-        self.cached, self.known = cached, {}
-
     def items(self, text: str | None) -> list[bytes]:
         return text.encode().split() if isinstance(text, str) else []
 
     def symbols(self, items: list[bytes]) -> np.ndarray:
-        known = self.known
-        fresh = set(items).difference(known)
-        if len(known) + len(fresh) > self.cached:
-            known.clear()
-            fresh = set(items)
-        for w in fresh:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, items), np.uint64, len(items))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
 
     def segment(self, items: list[bytes], start: int, length: int) -> bytes:
         return b" ".join(items[start : start + length])
@@ -193,7 +183,7 @@ class WindowRepeats:
                 return pd.DataFrame({"doc_id": ids[0][k], "tag": ids[1][k], "anchor": anchor.view(np.int64), "digest": digest.view(np.int64), "start": start, "count": count})
 
             for pdf in frames:
-                rows, symbols, held, out = [], [], 0, []
+                rows, symbols, held = [], [], 0
                 for doc, tag, text in zip(pdf["doc_id"].array, pdf["tag"].array, pdf["text"], strict=True):
                     own = u.symbols(u.items(text))
                     if len(own) < width:
@@ -202,12 +192,10 @@ class WindowRepeats:
                     symbols.append(own)
                     held += len(own)
                     if held >= 1 << 16:
-                        out.append(runs(rows, symbols))
+                        yield runs(rows, symbols)
                         rows, symbols, held = [], [], 0
                 if rows:
-                    out.append(runs(rows, symbols))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+                    yield runs(rows, symbols)
 
         runs = written(docs.where("doc_id is not null and length(text) > 0").mapInPandas(find, "doc_id long, tag int, anchor long, digest long, start int, count int"))
         shared = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
