@@ -49,9 +49,9 @@ def sampled(tokens: np.ndarray) -> np.ndarray:
 
 def _prints(docs: DataFrame, n: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+        for part in (pdf.iloc[a : a + 256] for pdf in frames for a in range(0, len(pdf), 256)):
             rows = []
-            for doc, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
+            for doc, text in zip(part["doc_id"].array, part["text"], strict=True):
                 s = shingles(text, n)
                 if not len(s):
                     rows.append((doc, 0, 0, 0, []))

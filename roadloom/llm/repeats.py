@@ -33,14 +33,13 @@ class Powers:
         self.up = [np.ones(1, np.uint64)] * 2
         self.down = [np.ones(1, np.uint64)] * 2
 
-    def to(self, n: int) -> None:
-        if len(self.up[0]) <= n:
-            n = max(n + 1, 1 << 16, 2 * len(self.up[0]))
-            for k in range(2):
-                for store, base in ((self.up, BASES[k]), (self.down, INVERSES[k])):
-                    run = np.full(n, base, np.uint64)
-                    run[0] = 1
-                    store[k] = np.cumprod(run, dtype=np.uint64)
+    def to(self, n: int, k: int) -> None:
+        if len(self.up[k]) <= n:
+            n = max(n + 1, 1 << 16)
+            for store, base in ((self.up, BASES[k]), (self.down, INVERSES[k])):
+                run = np.full(n, base, np.uint64)
+                run[0] = 1
+                store[k] = np.cumprod(run, dtype=np.uint64, out=run)
 
 
 POWERS = Powers()
@@ -50,7 +49,7 @@ class Sums:
     """Prefix sums from which the hash of any slice of a symbol sequence follows in constant time."""
 
     def __init__(self, symbols: np.ndarray, k: int = 0) -> None:
-        POWERS.to(len(symbols) + 1)
+        POWERS.to(len(symbols) + 1, k)
         self.k, self.n = k, len(symbols)
         self.p = np.zeros(self.n + 1, np.uint64)
         np.cumsum(symbols * POWERS.up[k][: self.n], dtype=np.uint64, out=self.p[1:])
