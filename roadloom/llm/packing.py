@@ -15,46 +15,98 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: The tokenizer drops white space and no token spans it, nor the place between a letter or digit and full stops or commas after which
-#: no other mark stands; so ids can be made and kept by chunk.
-CUTS = re.compile(r"[ \t\n\r]+|(?<=[^\W_])([.,]+)(?=[ \t\n\r]|[^\W_]|\Z)")
+#: A word of plain letters, which are one pre-token whatever stands around them, and the marks after it, which are another one.
+PLAIN = re.compile(rb"((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-/:-@\[-`{-~]*+)").fullmatch
 
 
-class ChunkEncoder:
-    """Ids of texts as little-endian 32-bit integers, through a bounded cache from chunks to their ids."""
+def words_of(text: str) -> list[bytes]:
+    """What stands between white space, which the tokenizer drops and no token spans; in lower case where that is surely the same.
 
-    def __init__(self, tokenizer: str, cached: int = 1_200_000) -> None:
+    Outside Latin-1 a letter may combine with what follows in one case only; and special strings are told by their case.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return text.encode().split()
+
+
+class WordEncoder:
+    """Ids of texts as little-endian 32-bit integers, through a bounded cache from words to their ids.
+
+    New words of plain letters are encoded many at a time, as one text whose ids the tokenizer's word ends divide again.
+    """
+
+    def __init__(self, tokenizer: str, cached: int = 1_200_000, group: int = 500) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.model, self.cached, self.known = Tokenizer.from_file(tokenizer), cached, {}
+        self.model, self.cached, self.group, self.known = Tokenizer.from_file(tokenizer), cached, group, {}
         self.model.no_truncation()
         self.model.no_padding()
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _each(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
+
+    def _joined(self, words: list[bytes]) -> None:
+        ids = np.array(self.model.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        at = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(at) != len(words):
+            self._each(words)
+            return
+        data, stops = ids.tobytes(), at.tolist()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True))
+
+    def learn(self, fresh: set[bytes]) -> None:
+        known, plain, other, marked = self.known, set(), set(), []
+        for w in fresh:
+            m = PLAIN(w)
+            if not m:
+                other.add(w)
+                continue
+            letters, marks = m.groups()
+            if letters not in known:
+                plain.add(letters)
+            if marks:
+                marked.append((w, letters, marks))
+                if marks not in known:
+                    other.add(marks)
+        order = list(plain)
+        for k in range(0, len(order), self.group):
+            self._joined(order[k : k + self.group])
+        if other:
+            self._each(list(other))
+        for w, letters, marks in marked:
+            known[w] = known[letters] + known[marks]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [list(filter(None, CUTS.split(t))) for t in texts]
+        split = [words_of(t) for t in texts]
         fresh = set().union(*split).difference(self.known)
         if fresh:
             if len(self.known) + len(fresh) > self.cached:
                 self.known.clear()
                 fresh = set().union(*split)
-            order = list(fresh)
-            for c, e in zip(order, self.model.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                self.known[c] = array("I", e.ids).tobytes()
+            self.learn(fresh)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
 #: Encoders of this worker process: tasks that it runs one after the other share their caches.
-ENCODERS: dict[str, ChunkEncoder] = {}
+ENCODERS: dict[str, WordEncoder] = {}
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: each document's ids and ``end_id``, cut at ``capacity``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ENCODERS.get(tokenizer) or ENCODERS.setdefault(tokenizer, ChunkEncoder(tokenizer))
+        encode = ENCODERS.get(tokenizer) or ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for pdf in frames:
             rows = []
