@@ -105,6 +105,15 @@ def test_packing(spark, corpus):
     assert got.groupby("sequence_id")["length"].sum().max() <= 4096
 
 
+def test_word_ids_are_the_tokenizers():
+    encode = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"), cached=500, group=7)
+    bits = ["a", "B", "é", "É", "Über", " ", "  ", "\n", "\t", ".", "'", "'s", "'S", "'re", "W\u030a", "\u0301", "İ", "Σ", "<|endoftext|>", "<|", "<|ENDOFTEXT|>", "\x1c", "\xa0", "\u3000", "漢", "1", "½", "µ", "×", "_", "!?", "🙂", "x\u0338", "\x00"]
+    for seed in range(300):
+        r = random.Random(seed)
+        texts = ["".join(r.choices(bits, k=r.randint(0, 14))) for _ in range(10)]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encode(texts)] == [encode.model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_best_fit_plan_equals_best_fit_decreasing():
     r = random.Random(1)
     for _ in range(100):
