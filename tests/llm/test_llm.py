@@ -197,6 +197,27 @@ def test_leaks(spark):
     assert decontamination.leaks(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_edited_copies(spark):
+    """Seeds find what brute-force alignment of every item with every document finds, with and without clean copies beside."""
+    lengths = [3, 5, 8, 10, 11, 20, 40, 60]
+    items = {k: prose(300 + k, n).split() for k, n in enumerate(lengths)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    for clean in (False, True):
+        texts = []
+        for k, w in items.items():
+            for every in (2, 3, 4, 5, 6, 7):
+                for shift in range(0, every, 2):
+                    swapped = ["zz" if j % every == shift else x for j, x in enumerate(w)]
+                    longer = [y for j, x in enumerate(w) for y in ([x, "zz"] if j % every == shift else [x])]
+                    texts += [" ".join(["yy"] * 90 + c + ["xx"] * 90) for c in (swapped, longer)]
+            texts += [" ".join(w)] * 3 if clean else []
+        got = {(r.doc_id, r.item_id) for r in decontamination.leaks(docs_of(spark, list(enumerate(texts))), bench).collect()}
+        numbers = {w: n for n, w in enumerate(sorted({x for t in texts for x in t.split()} | {x for w in items.values() for x in w}))}
+        coded = {k: np.array([numbers[x] for x in w]) for k, w in items.items()}
+        want = {(d, k) for d, t in enumerate(texts) for k, w in coded.items() if decontamination.smith_waterman(w, np.array([numbers[x] for x in t.split()]))[0] >= 0.6 * len(w) - 1e-9}
+        assert got == want and len({k for _, k in want}) == len(items)
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(5)
     rows = [(k, prose(1000 + k, 60) + (" " + " ".join(r.choice(["slimeball", "dunderhead", "nitwitted"]) for _ in range(3)) if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(240)]
