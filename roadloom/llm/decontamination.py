@@ -131,7 +131,7 @@ def alignments(items: Items, seeds: set[int], numbers: np.ndarray) -> list[tuple
             slack = n // 2 + 2
             a, b = max(0, at - j - slack), min(len(numbers), at - j + n + slack)
             if spans[k] and a <= spans[k][-1][1]:
-                spans[k][-1][1] = max(b, spans[k][-1][1])
+                spans[k][-1] = [min(a, spans[k][-1][0]), max(b, spans[k][-1][1])]
             else:
                 spans[k].append([a, b])
     out = []

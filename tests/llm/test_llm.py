@@ -218,6 +218,16 @@ def test_leaks_of_edited_copies(spark):
         assert got == want and len({k for _, k in want}) == len(items)
 
 
+def test_leak_with_a_repeated_seed():
+    """A seed that the item holds twice, far apart, opens the span of its later place too."""
+    words = [f"w{k}" for k in range(40)]
+    words[37:] = words[:3]
+    items = decontamination.Items([(1, " ".join(words))], 3, 0.6)
+    numbers = items.numbers(" ".join(["yy"] * 90 + [words[0], "zz", *words[2:]] + ["xx"] * 90))
+    seed = int(items.grams(items.words[0], 3)[0])
+    assert decontamination.alignments(items, {seed}, numbers)[0][1] == 38 / 40
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(5)
     rows = [(k, prose(1000 + k, 60) + (" " + " ".join(r.choice(["slimeball", "dunderhead", "nitwitted"]) for _ in range(3)) if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(240)]
