@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, table, written
 from .repeats import Sums
 
-#: Orders of the class models; the shared model below them has order 2. Slots of the shared model's hashed counts.
-ORDERS, SHARED_ORDER, SLOTS = (6, 5, 4, 3), 2, 1 << 16
+#: Orders of the class models; order of the one below them, which is shared, and the highest shared one. What the shared model takes off each count.
+ORDERS, BASE_ORDER, SHARED_ORDER, DISCOUNT = (6, 5, 4, 3), 2, 4, 0.75
+#: Bits of a code point and its successor; a long holds three.
+BITS, EACH = 21, 3
 
 
 def laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,6 +42,28 @@ def ending_grams(codes: np.ndarray, place: np.ndarray, order: int, block: int =
     return ends, grams
 
 
+def packed_grams(codes: np.ndarray, place: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The exact ``order``-grams at ``ends``: the last three code points, and those before, with 0 for what lies before the word."""
+    low, high = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+    for k in range(order):
+        code = np.where(place[ends] >= k, codes[np.maximum(ends - k, 0)].astype(np.int64) + 1, 0)
+        part = low if k < EACH else high
+        part |= code << (BITS * (k % EACH))
+    return high, low
+
+
+def packed_counts(words: dict[str, int]) -> pd.DataFrame:
+    """Sums of the counts of ``words`` by the grams they hold, one at each character after the first space."""
+    codes, place, word = laid_out(list(words))
+    ends = np.flatnonzero(place > 0)
+    high, low = packed_grams(codes, place, ends, SHARED_ORDER)
+    amount = np.fromiter(words.values(), np.int64, len(words))[word[ends]]
+    order = np.lexsort((low, high))
+    high, low, amount = high[order], low[order], amount[order]
+    starts = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(high) else np.zeros(0, np.int64)
+    return pd.DataFrame({"high": high[starts], "low": low[starts], "n": np.add.reduceat(amount, starts) if len(starts) else amount})
+
+
 def at_places(place: np.ndarray, least: int, wanted: np.ndarray) -> np.ndarray:
     """Which of the positions with a place of ``least`` or more each wanted one is."""
     return (np.cumsum(place >= least, dtype=np.int32) - 1)[wanted]
@@ -78,7 +103,7 @@ def _counts(codes: np.ndarray, place: np.ndarray, word: np.ndarray, weight: np.n
 class KneserNeyPair:
     """A toxic and an ordinary interpolated Kneser-Ney model over the characters of words, with one shared model below both."""
 
-    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: tuple[np.ndarray, np.ndarray], class_orders: tuple[int, ...] = ORDERS) -> None:
+    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: dict[int, pd.DataFrame], class_orders: tuple[int, ...] = ORDERS) -> None:
         codes, place, word = laid_out(words)
         self.tables: dict[int, OrderTable] = {}
         lower_keys, lower = self._base(codes, place, shared)
@@ -97,6 +122,7 @@ class KneserNeyPair:
             tails = ending_grams(codes, place, order - 1)
             tail = tails[1][at_places(place, order - 2, ends[first])]
             head = tails[1][at_places(place, order - 2, ends[first] - 1)]
+            factor = self._shared(codes, place, ends[first], order, shared) if order in shared else 1.0
             del ends, grams, first, tails
             at, _ = _find(lower_keys, tail)
             own = []
@@ -104,7 +130,7 @@ class KneserNeyPair:
                 g, has = _find(keys, union)
                 c, there = _find(contexts, head)
                 seen = np.where(has & there, np.maximum((count[g] if len(count) else 0) - discount, 0) / (total[c] if len(total) else 1), 0.0)
-                own.append(seen + np.where(there, spare[c] if len(spare) else 1.0, 1.0) * lower[k][at])
+                own.append(seen + np.where(there, spare[c] if len(spare) else 1.0, 1.0) * lower[k][at] * factor)
             every = np.unique(np.concatenate([per_class[0][2], per_class[1][2]]))
             weights = []
             for _, _, contexts, _, spare, _ in per_class:
@@ -114,22 +140,24 @@ class KneserNeyPair:
             lower_keys, lower = union, own
 
     @staticmethod
-    def _base(codes: np.ndarray, place: np.ndarray, shared: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _shared(codes: np.ndarray, place: np.ndarray, ends: np.ndarray, order: int, shared: dict[int, pd.DataFrame]) -> np.ndarray:
+        """What the shared model has for the ``order``-grams at ``ends``; 1 without it."""
+        high, low = packed_grams(codes, place, ends, order)
+        return pd.DataFrame({"high": high, "low": low}).merge(shared[order], "left", ["high", "low"])["value"].fillna(1.0).to_numpy(float)
+
+    @classmethod
+    def _base(cls, codes: np.ndarray, place: np.ndarray, shared: dict[int, pd.DataFrame]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Shared probabilities of the lowest grams, the same for both classes."""
-        ends, grams = ending_grams(codes, place, SHARED_ORDER)
+        ends, grams = ending_grams(codes, place, BASE_ORDER)
         keys, first = np.unique(grams, return_index=True)
-        two = ending_grams(codes, place, SHARED_ORDER - 1)
-        context = two[1][np.searchsorted(two[0], ends[first] - 1)]
-        p = (shared[0][(keys % np.uint64(SLOTS)).astype(np.int64)] + 0.01) / (shared[1][(context % np.uint64(SLOTS)).astype(np.int64)] + 10.0)
-        p = np.minimum(p, 1.0)
-        return keys, [p, p]
+        return keys, [cls._shared(codes, place, ends[first], BASE_ORDER, shared)] * 2
 
     def log_ratios(self, words: list[str]) -> np.ndarray:
         """For each word, the toxic less the ordinary log-likelihood."""
         codes, place, word = laid_out(words)
         value = np.zeros(len(codes))
         known = np.zeros(len(codes), bool)
-        for order in ORDERS:
+        for order in sorted(self.tables, reverse=True):
             t = self.tables[order]
             ends, grams = ending_grams(codes, place, order)
             open_ = ~known[ends]
@@ -171,26 +199,55 @@ class DocumentScorer:
         return np.array([sum(map(self.known.__getitem__, w)) / max(len(w), 1) for w in split])
 
 
-def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the lowest-order grams and of their contexts over all documents, in ``SLOTS`` hashed slots each."""
+def shared_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
+    """``(high, low, n)``: how often all documents have each ``SHARED_ORDER``-gram of characters, exactly, as a table keyed by the gram.
+
+    A task counts words, ``held`` different ones at a time, and gives out the sums by gram.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        three, two = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        words: Counter[str] = Counter()
         for pdf in frames:
             for text in pdf["text"]:
-                if not isinstance(text, str) or not text:
-                    continue
-                codes = np.frombuffer(f" {' '.join(words_of(text))} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                sums = Sums(mix(codes + np.uint64(1)))
-                for order, slots in ((SHARED_ORDER, three), (SHARED_ORDER - 1, two)):
-                    if len(codes) >= order:
-                        slots += np.bincount((sums.all(order) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        live = np.flatnonzero(three + two)
-        yield pd.DataFrame({"slot": live, "three": three[live], "two": two[live]})
-
-    rows = docs.select("text").mapInPandas(run, "slot int, three long, two long").groupBy("slot").agg(F.sum("three").alias("three"), F.sum("two").alias("two")).toPandas()
-    out = np.zeros(SLOTS), np.zeros(SLOTS)
-    out[0][rows["slot"]], out[1][rows["slot"]] = rows["three"], rows["two"]
+                words.update(words_of(text))
+                if len(words) >= held:
+                    yield packed_counts(words)
+                    words.clear()
+        yield packed_counts(words)
+
+    return docs.select("text").mapInPandas(run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
+
+
+def _cut(order: int, prefix: str = "") -> list[Column]:
+    """The last ``order`` characters of packed grams."""
+    masks = {"high": (1 << BITS * max(order - EACH, 0)) - 1, "low": (1 << BITS * min(order, EACH)) - 1}
+    return [F.col(name).bitwiseAND(F.lit(mask)).alias(prefix + name) for name, mask in masks.items()]
+
+
+def shared_model(docs: DataFrame, fit: DataFrame) -> dict[int, pd.DataFrame]:
+    """``(high, low, value)`` by order for each gram that the words of ``fit(text)`` hold, from the counts of all ``docs``.
+
+    For ``BASE_ORDER`` the value is the shared probability, for an order from ``BASE_ORDER`` + 2 on what the longer context multiplies
+    it by. Higher orders are discounted and interpolated with the one below. Counts of lower orders and of contexts are sums over the
+    whole table; only the grams of ``fit`` are carried through the joins and reach the driver.
+    """
+    every, wanted = written(shared_counts(docs)), written(shared_counts(fit).select("high", "low"))
+    out, below = {}, None
+    for order in range(BASE_ORDER, SHARED_ORDER + 1):
+        counts = every.groupBy(*_cut(order)).agg(F.sum("n").alias("n"))
+        before = [F.col("high").alias("before_high"), F.col("low").bitwiseAND(F.lit(~((1 << BITS) - 1))).alias("before_low")]
+        contexts = counts.groupBy(*before).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        own = counts.join(wanted.select(*_cut(order)).distinct(), ["high", "low"]).select("high", "low", "n", *before, *_cut(order - 1, "tail_"))
+        own = own.join(contexts, ["before_high", "before_low"])
+        if below is None:
+            own = own.withColumn("p", F.least(F.lit(1.0), (F.col("n") + 0.01) / (F.col("total") + 10.0))).withColumn("value", F.col("p"))
+        else:
+            own = own.join(below, ["tail_high", "tail_low"]).withColumn("p", (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("q")) / F.col("total"))
+            own = own.withColumn("value", F.col("p") / F.col("q"))
+        own = written(own.select("high", "low", "p", "value"))
+        below = own.select(F.col("high").alias("tail_high"), F.col("low").alias("tail_low"), F.col("p").alias("q"))
+        if order != BASE_ORDER + 1:
+            out[order] = own.select("high", "low", "value").toPandas()
     return out
 
 
@@ -233,7 +290,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> To
     taken = written(taken.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), (F.pmod(F.shiftright(F.first("h"), 7), F.lit(4)) != 0).alias("fit")))
     kinds = {(r["toxic"], r["fit"]) for r in taken.select("toxic", "fit").distinct().collect()}
     split = len(kinds) == 4
-    pair = KneserNeyPair(*word_counts(taken.where("fit") if split else taken), shared_counts(docs))
+    fit = taken.where("fit") if split else taken
+    pair = KneserNeyPair(*word_counts(fit), shared_model(docs, fit))
     if len({toxic for toxic, _ in kinds}) < 2:
         return ToxicityModel(pair, 0.0, -30.0)
     plain = ToxicityModel(pair, 1.0, 0.0)

@@ -239,6 +239,26 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
 
 
+def test_shared_counts(spark):
+    """Counts of all documents are exact, also with more different grams than any fixed table holds, and reach the model."""
+    r = random.Random(9)
+    texts = [" ".join("".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(5)) for _ in range(60)) for _ in range(300)] + ["ab abc \U0010ffff", "Ab\nabc", None, ""]
+    docs = docs_of(spark, list(enumerate(texts)))
+    order = toxicity.SHARED_ORDER
+    want = Counter()
+    for w in (f" {x} " for t in texts if t for x in t.lower().split()):
+        for end in range(2, len(w) + 1):
+            code = sum((ord(c) + 1) << 21 * k for k, c in enumerate(reversed(w[max(0, end - order) : end])))
+            want[code >> 63, code & (1 << 63) - 1] += 1
+    got = {(x.high, x.low): x.n for x in toxicity.shared_counts(docs, held=1000).collect()}
+    assert got == want and len(want) > 1 << 16
+    model = toxicity.shared_model(docs, docs.where("doc_id >= 300"))
+    pairs = Counter(w[k : k + 2] for w in (f" {x} " for t in texts if t for x in t.lower().split()) for k in range(len(w) - 1))
+    after = sum(n for g, n in pairs.items() if g[0] == "a")
+    own = {x.low: x.value for x in model[2].itertuples()}
+    assert order >= 3 and own[(ord("a") + 1 << 21) + ord("b") + 1] == pytest.approx((pairs["ab"] + 0.01) / (after + 10.0))
+
+
 def test_html(spark):
     model = html_extraction.labeller()
     wrong = total = 0
