@@ -261,15 +261,15 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30)))
 
 
-def logistic(value: np.ndarray, label: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve with a little ridge, by Newton's method on the standardised value."""
+def logistic(value: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a logistic curve with a little ridge, by Newton's method on the standardised value of weighted rows."""
     mean, sd = float(value.mean()), float(value.std()) or 1.0
     x = np.stack([(value - mean) / sd, np.ones(len(value))], 1)
     b = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (p - label) + 0.05 * b
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), grad)
+        grad = x.T @ (weight * (p - label)) + 0.05 * b
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), grad)
         b = b - np.clip(step, -2, 2)
     return float(b[0] / sd), float(b[1] - b[0] * mean / sd)
 
@@ -278,13 +278,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> To
     """Fits on rows of ``labels(doc_id, toxic)``; shared counts come from every row of ``docs``.
 
     Of each class at most ``max_rows`` labelled documents, those with the smallest hashed doc_id, are used: three quarters for the
-    class models, the others for the logistic curve from length-normalised log-likelihood ratio to probability. Only their ids, word
-    counts and ratios reach the driver, so its memory is bounded by ``max_rows``. Null labels and texts are left out; of rows that
+    class models, the others for the logistic curve from length-normalised log-likelihood ratio to probability. A row of the
+    curve weighs as many labelled documents of its class as it stands for, so that the cut does not change the classes' shares. Only
+    ids, word counts and ratios reach the driver, so its memory is bounded by ``max_rows``. Null labels and texts are left out; of rows that
     repeat a doc_id the smallest text and label count. Without a document of both classes every score is 0.
     """
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("toxic"))
     known = docs.select("doc_id").distinct().join(known, "doc_id").withColumn("h", F.xxhash64("doc_id"))
     ids = [tuple(r) for k in (0, 1) for r in known.where(F.col("toxic") == k).orderBy("h", "doc_id").limit(max_rows).collect()]
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = docs.sparkSession.createDataFrame(ids, known.schema)
     taken = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     taken = written(taken.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), (F.pmod(F.shiftright(F.first("h"), 7), F.lit(4)) != 0).alias("fit")))
@@ -297,7 +299,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> To
     plain = ToxicityModel(pair, 1.0, 0.0)
     held = score_toxicity((taken.where("not fit") if split else taken).select("toxic", "text"), plain, "value", raw=True).select("value", "toxic").toPandas()
     held = held.sort_values(["value", "toxic"])
-    return ToxicityModel(pair, *logistic(held["value"].to_numpy(), held["toxic"].to_numpy(np.int64)))
+    label = held["toxic"].to_numpy(np.int64)
+    stands_for = np.array([counts.get(k, 0) / max(1, sum(r[1] == k for r in ids)) for k in (0, 1)])
+    return ToxicityModel(pair, *logistic(held["value"].to_numpy(), label, stands_for[label]))
 
 
 def word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -259,6 +259,22 @@ def test_shared_counts(spark):
     assert order >= 3 and own[(ord("a") + 1 << 21) + ord("b") + 1] == pytest.approx((pairs["ab"] + 0.01) / (after + 10.0))
 
 
+def test_toxicity_keeps_class_shares(spark, monkeypatch):
+    """The rows of the curve weigh what each class has in the labels, also where one class is cut."""
+    docs = docs_of(spark, [(k, prose(2000 + k, 30) + (" slimeball dunderhead" if k % 10 == 0 else "")) for k in range(200)])
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(200)], "doc_id long, toxic int")
+    seen = []
+    own = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda *a: seen.append(a) or own(*a))
+    toxicity.fit_toxicity(docs, labels, max_rows=30)
+    _, label, weight = seen[0]
+    assert set(weight[label == 0]) == {6.0} and set(weight[label == 1]) == {1.0}
+    value, y = np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 1, 0, 1])
+    times = np.array([3, 1, 3, 1])
+    repeated = own(np.repeat(value, times), np.repeat(y, times), np.ones(8))
+    assert np.allclose(own(value, y, times.astype(float)), repeated, atol=0.05)
+
+
 def test_html(spark):
     model = html_extraction.labeller()
     wrong = total = 0
