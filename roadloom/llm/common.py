@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import settled as written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="roadloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: What else a worker process lets go of when a task of it ends.
+AT_TASK_END: list[Callable[[], None]] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read again: a cut lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/roadloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def give_back() -> None:
+    """Returns what this worker process has freed to the system, as others of its executor may need it."""
+    for step in AT_TASK_END:
+        step()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``df.mapInPandas(run, schema)`` whose tasks give their memory back when they end; workers serve many tasks, one by one."""
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            yield from run(frames)
+        finally:
+            give_back()
+
+    return df.mapInPandas(whole, schema)
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

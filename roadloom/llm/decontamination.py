@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .repeats import Sums
 
 ASCII = bytes(range(128))
@@ -46,6 +47,7 @@ class Items:
     """A block of test items as word numbers, with the places of their n-grams. Number 0 is any word that no item has.
 
     An item's n-grams have ``gram`` words, or fewer if it is so short that a copy that reaches ``least`` need not hold one of that size.
+    An item of fewer than ``gram`` words is one n-gram, as only whole copies of it are told from chance.
     """
 
     def __init__(self, items: list[tuple[int, str | None]], gram: int, least: float) -> None:
@@ -55,11 +57,11 @@ class Items:
         self.words: list[np.ndarray] = []
         for item, text in items:
             words = normal_words(text)
-            if len(words) >= gram:
+            if words:
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
-        self.sizes = [next((q for q in range(gram, 1, -1) if sure_hits(len(w), least, q) > 0), 1) for w in self.words]
-        self.sure = [max(1, sure_hits(len(w), least, q)) for w, q in zip(self.words, self.sizes, strict=True)]
+        self.sizes = [len(w) if len(w) < gram else next((q for q in range(gram, 1, -1) if sure_hits(len(w), least, q) > 0), 1) for w in self.words]
+        self.sure = [1 if len(w) < gram else max(1, sure_hits(len(w), least, q)) for w, q in zip(self.words, self.sizes, strict=True)]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, w in enumerate(self.words):
             for j, h in enumerate(self.grams(w, self.sizes[k]).tolist()):
@@ -173,8 +175,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 3, least: float = 0
     Words are compared in lower case without punctuation. Seeds are an item's n-grams that the whole corpus has least often, as many as
     make sure that any copy holds one; where a document does, Smith-Waterman aligns the item with the passage around it (1 for an equal word, -1 for another or a gap), and
     the best score over the item's length counts from ``least`` on. Items are broadcast in blocks of bounded size, one pass each.
-    Null and empty texts leak nothing; items of fewer than ``gram`` words are ignored, as chance holds them anywhere; equal rows give
-    equal results; other columns are ignored; empty tables give an empty result.
+    Null and empty texts leak nothing; items of fewer than ``gram`` words count where a document has them whole; of alignments that
+    score alike the first counts; equal rows give equal results; other columns are ignored; empty tables give an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark, out = docs.sparkSession, None
@@ -193,7 +195,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 3, least: float = 0
             live = np.flatnonzero(total)
             yield pd.DataFrame({"gram": it.keys[live].view(np.int64), "n": total[live]})
 
-        rows = docs.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        rows = mapped(docs.select("text"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
         frequency = {r["gram"] % (1 << 64): r["n"] for r in rows}
         seeds = spark.sparkContext.broadcast(rare_seeds(items, frequency))
 
@@ -205,7 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 3, least: float = 0
                     rows += [(doc, it.ids[k], s, a, b) for k, s, a, b in alignments(it, keys, it.numbers(text))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "start_word", "end_word"])
 
-        own = docs.mapInPandas(align, schema)
+        own = mapped(docs, align, schema)
         out = own if out is None else out.unionByName(own)
     return out if out is not None else spark.createDataFrame([], schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -13,6 +14,10 @@ BLOCK = set("address article aside blockquote body button caption center dd deta
 SILENT = set("head title script style template noscript svg math".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+#: What a head may hold; anything else, or text, ends it. Elements whose inside no tag from outside closes, or none that opens there.
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+SEALED = set("template noscript".split())
+DRAWN = set("svg math".split())
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
 
@@ -48,7 +53,8 @@ class BlockReader(HTMLParser):
         self.parts.clear()
         self.link_chars = self.chars = 0
 
-    def close_to(self, tags: str | set, stops: tuple[str, ...] = ()) -> None:
+    def close_to(self, tags: set, stops: tuple[str, ...] | set = ()) -> None:
+        """Closes the innermost of ``tags`` and all within it, unless one of ``stops`` lies between."""
         for k in range(len(self.stack) - 1, -1, -1):
             tag = self.stack[k].tag
             if tag in tags:
@@ -58,18 +64,20 @@ class BlockReader(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in HEAD:
+            self._end_head()
         if tag in BLOCK:
-            self.flush()
-            if any(o.tag == "p" for o in self.stack[-8:]) and tag != "button":
-                self.close_to({"p"}, ("td", "th", "li", "div", "button"))
+            if not self._sealed():
+                self.flush()
+            self.close_to(DRAWN, SEALED | {"foreignobject"})  # a block ends a drawing that was left open
+            if tag != "button":
+                self.close_to({"p"}, SEALED | {"td", "th", "li", "div", "button", "foreignobject"})
             if tag in CLOSES:
                 names, stops = CLOSES[tag]
-                self.close_to(set(names.split()), stops)
+                self.close_to(set(names.split()), SEALED.union(stops))
         if tag == "br":
             self.parts.append(" ")
         if tag not in VOID:
-            if tag == "body":
-                self.close_to({"head"})
             own = [tag] if tag in BLOCK else []
             for name, value in attrs:
                 if name in ("class", "id", "role") and value and tag in BLOCK:
@@ -80,11 +88,20 @@ class BlockReader(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCK:
+        if tag in BLOCK and not self._sealed():
             self.flush()
-        self.close_to({tag})
+        self.close_to({tag}, SEALED - {tag})
+
+    def _sealed(self) -> bool:
+        return any(o.tag in SEALED for o in self.stack)
+
+    def _end_head(self) -> None:
+        if self.stack and self.stack[-1].tag == "head":
+            self.stack.pop()
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._end_head()
         if any(o.tag in SILENT for o in self.stack):
             return
         self.parts.append(data)
@@ -104,6 +121,13 @@ def read_blocks(html: str | None) -> list[Block]:
     return reader.blocks
 
 
+@lru_cache(maxsize=1)
+def invented_words(n: int = 8000) -> list[str]:
+    parts = "an er ti th on re le de la en ch ung ció ou st in es qu ma ro".split()
+    rng = np.random.RandomState(3)
+    return ["".join(rng.choice(parts, rng.randint(1, 4))) for _ in range(n)]
+
+
 @dataclass
 class PageMaker:
     """Random pages of many layouts whose blocks' labels are known; words are invented, so that none gives a label away by itself."""
@@ -118,8 +142,8 @@ class PageMaker:
         return self.rng.choice(options.split())
 
     def words(self, low: int, high: int) -> str:
-        parts = "an er ti th on re le de la en ch ung ció ou st in es qu ma ro".split()
-        text = " ".join("".join(self.rng.choice(parts, self.rng.randint(1, 4))) for _ in range(self.rng.randint(low, high)))
+        every = invented_words()
+        text = " ".join([every[k] for k in self.rng.randint(0, len(every), self.rng.randint(low, high)).tolist()])
         return text.capitalize() + self.rng.choice([".", "", "!", ":"], p=[0.7, 0.2, 0.05, 0.05])
 
     def mark(self, name: str) -> str:

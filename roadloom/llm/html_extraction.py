@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .html_blocks import Block, PageMaker, read_blocks
 
 PATHS, WORDS, NUMBERS = 2048, 512, 5
@@ -21,13 +23,49 @@ def slot(token: str, slots: int) -> int:
     return zlib.crc32(token.encode()) % slots
 
 
-def features(blocks: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Hashed tag-path tokens and words of each block, and a few figures."""
+@dataclass
+class Features:
+    """Hashed tag-path tokens and words of a page's blocks, end to end, with how many each block has (one at least), and a few figures."""
+
+    paths: np.ndarray
+    path_sizes: np.ndarray
+    words: np.ndarray
+    word_sizes: np.ndarray
+    numbers: np.ndarray
+
+
+def features(blocks: list[Block]) -> Features:
     paths = [[slot(t, PATHS) for t in b.path] + [slot("|" + (b.path[-1] if b.path else ""), PATHS)] for b in blocks]
     split = [b.text.lower().split() for b in blocks]
-    words = [[slot(w, WORDS) for w in s] for s in split]
+    words = [slot(w, WORDS) for s in split for w in s]
     numbers = np.array([[np.log1p(len(s)) / 4, b.linked, float(b.text[-1:] in ".!?"), len(b.path) / 10, 1.0] for b, s in zip(blocks, split, strict=True)]).reshape(-1, NUMBERS)
-    return paths, words, numbers
+    return Features(np.array([t for p in paths for t in p], np.int64), np.array(list(map(len, paths)), np.int64), np.array(words, np.int64), np.array(list(map(len, split)), np.int64), numbers)
+
+
+def joined(pages: list[Features]) -> Features:
+    return Features(*(np.concatenate([getattr(p, f.name) for p in pages]) for f in fields(Features)))
+
+
+def summed(table: np.ndarray, slots: np.ndarray, sizes: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """The sum of the rows of ``table`` for each run of ``sizes`` slots, a piece of the runs at a time."""
+    out = np.zeros((len(sizes), table.shape[1]))
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        start = int(ends[a] - sizes[a])
+        b = max(a + 1, int(np.searchsorted(ends, start + piece, "right")))
+        out[a:b] = np.add.reduceat(table[slots[start : ends[b - 1]]], ends[a:b] - sizes[a:b] - start)
+        a = b
+    return out
+
+
+def scattered(slots: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by their slots of ``n``."""
+    order = np.argsort(slots, kind="stable")
+    starts = np.flatnonzero(np.diff(slots[order], prepend=-1))
+    out = np.zeros((n, rows.shape[1]))
+    out[slots[order][starts]] = np.add.reduceat(rows[order], starts)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -46,50 +84,56 @@ class BlockLabeller:
             self.w[way + "h"] = r.randn(hidden, 4 * hidden) / np.sqrt(hidden)
             self.w[way + "b"] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])
 
-    def embed(self, pages: list) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs (pages x blocks x size) of a batch of pages' features, and which places hold a block."""
-        longest = max(len(p[2]) for p in pages)
-        size = self.w["path"].shape[1] + self.w["word"].shape[1] + NUMBERS
-        x, there = np.zeros((len(pages), longest, size)), np.zeros((len(pages), longest), bool)
-        a, b = self.w["path"].shape[1], size - NUMBERS
-        for k, (paths, words, numbers) in enumerate(pages):
-            for j, (p, w) in enumerate(zip(paths, words, strict=True)):
-                x[k, j, :a] = self.w["path"][p].sum(0) / np.sqrt(len(p))
-                if w:
-                    x[k, j, a:b] = self.w["word"][w].mean(0)
-            x[k, : len(numbers), b:] = numbers
-            there[k, : len(numbers)] = True
+    def embed(self, page: Features) -> np.ndarray:
+        """Inputs of blocks that lie end to end."""
+        path = summed(self.w["path"], page.paths, page.path_sizes) / np.sqrt(page.path_sizes)[:, None]
+        word = summed(self.w["word"], page.words, page.word_sizes) / page.word_sizes[:, None]
+        return np.concatenate([path, word, page.numbers], 1)
+
+    def padded(self, pages: list[Features]) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs (pages x blocks x size) of a batch of pages, and which places hold a block."""
+        sizes = np.array([len(p.numbers) for p in pages])
+        there = np.arange(sizes.max()) < sizes[:, None]
+        own = self.embed(joined(pages))
+        x = np.zeros((*there.shape, own.shape[1]))
+        x[there] = own
         return x, there
 
-    def _run(self, way: str, x: np.ndarray, there: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    def _run(self, way: str, x: np.ndarray, there: np.ndarray, keep: bool, piece: int = 2048) -> tuple[np.ndarray, list]:
         n, steps, _ = x.shape
         h, c, z = np.zeros((n, self.hidden)), np.zeros((n, self.hidden)), self.hidden
         out, tape = np.zeros((n, steps, z)), []
-        drive = x @ self.w[way + "x"] + self.w[way + "b"]
-        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            gates = drive[:, t] + h @ self.w[way + "h"]
-            s = _sigmoid(gates[:, : 3 * z])
-            i, f, o, g = s[:, :z], s[:, z : 2 * z], s[:, 2 * z :], np.tanh(gates[:, 3 * z :])
-            live = there[:, t : t + 1]
-            new = np.where(live, f * c + i * g, 0)
-            tc = np.tanh(new)
-            if keep:
-                tape.append((t, h, c, i, f, o, g, tc))
-            c = new
-            h = np.where(live, o * tc, 0)
-            out[:, t] = h
+        starts = list(range(0, steps, piece))
+        for a in starts if way == "f" else starts[::-1]:
+            drive = x[:, a : a + piece] @ self.w[way + "x"] + self.w[way + "b"]
+            times = range(a, min(steps, a + piece))
+            for t in times if way == "f" else times[::-1]:
+                gates = drive[:, t - a] + h @ self.w[way + "h"]
+                s = _sigmoid(gates[:, : 3 * z])
+                i, f, o, g = s[:, :z], s[:, z : 2 * z], s[:, 2 * z :], np.tanh(gates[:, 3 * z :])
+                live = there[:, t : t + 1]
+                new = np.where(live, f * c + i * g, 0)
+                tc = np.tanh(new)
+                if keep:
+                    tape.append((t, h, c, i, f, o, g, tc))
+                c = new
+                h = np.where(live, o * tc, 0)
+                out[:, t] = h
         return out, tape
 
-    def chances(self, pages: list) -> list[np.ndarray]:
-        x, there = self.embed(pages)
+    def chances(self, pages: list[Features]) -> list[np.ndarray]:
+        x, there = self.padded(pages)
+        z, w = self.hidden, self.w["out"]
         f, _ = self._run("f", x, there, False)
+        score = f @ w[:z] + x @ w[2 * z :] + self.w["bias"]
+        del f
         b, _ = self._run("b", x, there, False)
-        p = _sigmoid(np.concatenate([f, b, x], 2) @ self.w["out"] + self.w["bias"])
-        return [p[k, : len(pages[k][2])] for k in range(len(pages))]
+        p = _sigmoid(score + b @ w[z : 2 * z])
+        return [p[k, : len(page.numbers)] for k, page in enumerate(pages)]
 
-    def gradient(self, pages: list, labels: list[np.ndarray]) -> tuple[dict[str, np.ndarray], float]:
+    def gradient(self, pages: list[Features], labels: list[np.ndarray]) -> tuple[dict[str, np.ndarray], float]:
         """Gradient of the mean cross-entropy of all blocks, by back-propagation through time."""
-        x, there = self.embed(pages)
+        x, there = self.padded(pages)
         y = np.zeros(there.shape)
         for k, v in enumerate(labels):
             y[k, : len(v)] = v
@@ -116,11 +160,9 @@ class BlockLabeller:
                 dx[:, t] += gates @ self.w[way + "x"].T
                 dh, dc = gates @ self.w[way + "h"].T, dc * fg
         a, e = self.w["path"].shape[1], x.shape[2] - NUMBERS
-        for k, (paths, words, _) in enumerate(pages):
-            for j, (pp, ww) in enumerate(zip(paths, words, strict=True)):
-                np.add.at(g["path"], pp, dx[k, j, :a] / np.sqrt(len(pp)))
-                if ww:
-                    np.add.at(g["word"], ww, dx[k, j, a:e] / len(ww))
+        page, own = joined(pages), dx[there]
+        g["path"] = scattered(page.paths, np.repeat(own[:, :a] / np.sqrt(page.path_sizes)[:, None], page.path_sizes, 0), PATHS)
+        g["word"] = scattered(page.words, np.repeat(own[:, a:e] / page.word_sizes[:, None], page.word_sizes, 0), WORDS)
         loss = -np.where(there, y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12), 0).sum() / n
         return g, float(loss)
 
@@ -153,18 +195,41 @@ def labeller() -> BlockLabeller:
     return train()
 
 
-def main_texts(pages: list[str | None], model: BlockLabeller, batch: int = 32) -> list[str]:
-    """Each page's main blocks in page order, joined by line feeds; pages of similar length are labelled together."""
+def main_texts(pages: list[str | None], model: BlockLabeller, batch: int = 32, places: int = 1 << 13) -> list[str]:
+    """Each page's main blocks in page order, joined by line feeds.
+
+    Pages of similar length are labelled together, ``batch`` and ``places`` (pages times blocks of the longest) of them at most.
+    """
     read = [read_blocks(h) for h in pages]
     out = [""] * len(pages)
     order = sorted((k for k in range(len(pages)) if read[k]), key=lambda k: len(read[k]))
-    for a in range(0, len(order), batch):
-        chosen = order[a : a + batch]
+    a = 0
+    while a < len(order):
+        n = 1
+        while n < batch and a + n < len(order) and (n + 1) * len(read[order[a + n]]) <= places:
+            n += 1
+        chosen = order[a : a + n]
         for k, p in zip(chosen, model.chances([features(read[k]) for k in chosen]), strict=True):
             out[k] = "\n".join(b.text for b, v in zip(read[k], p.tolist(), strict=True) if v >= 0.5)
+            read[k] = []
+        a += n
     return out
 
 
+def _portions(pages: list[str | None], rows: int = 512, chars: int = 8_000_000) -> Iterator[list[str | None]]:
+    """Pages in turn, so many that their blocks have a bound; a longer page is alone."""
+    held, size = [], 0
+    for p in pages:
+        n = len(p) if isinstance(p, str) else 0
+        if held and (len(held) == rows or size + n > chars):
+            yield held
+            held, size = [], 0
+        held.append(p)
+        size += n
+    if held:
+        yield held
+
+
 def extract_main_text(pages: DataFrame, model: BlockLabeller | None = None) -> DataFrame:
     """``(page_id, url, text)`` for every row of ``pages(page_id, url, html)``, from the whole html.
 
@@ -176,7 +241,7 @@ def extract_main_text(pages: DataFrame, model: BlockLabeller | None = None) -> D
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            texts = [t for k in range(0, len(pdf), 512) for t in main_texts(pdf["html"].iloc[k : k + 512].tolist(), shipped.value)]
+            texts = [t for part in _portions(pdf["html"].tolist()) for t in main_texts(part, shipped.value)]
             yield pdf.drop(columns="html").assign(text=texts)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string")
+    return mapped(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), run, "page_id long, url string, text string")

@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, bounds, components, mix, whole_groups, written
+from .common import Forest, bounds, components, mapped, mix, whole_groups, written
 from .repeats import Sums
 
 #: Runs, levels below a run's first split, and splits made at each of them.
-RUNS, LEVELS, BRANCHES = 10, 2, 2
+RUNS, LEVELS, BRANCHES = 10, 6, 2
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -27,7 +27,8 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 SALTS = mix(np.arange(1, RUNS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-FURTHER = RUNS * LEVELS * BRANCHES
+#: Places of the trees below the first split that have a token of their own; the levels after the second take other runs' ones.
+FURTHER = RUNS * 2 * BRANCHES
 
 
 def sampled(tokens: np.ndarray) -> np.ndarray:
@@ -51,16 +52,16 @@ def _prints(docs: DataFrame, n: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in (pdf.iloc[a : a + 256] for pdf in frames for a in range(0, len(pdf), 256)):
             rows = []
-            for doc, text in zip(part["doc_id"].array, part["text"], strict=True):
+            for doc, tag, text in zip(part["doc_id"].array, part["tag"], part["text"], strict=True):
                 s = shingles(text, n)
                 if not len(s):
-                    rows.append((doc, 0, 0, 0, []))
+                    rows.append((doc, tag, 0, 0, 0, []))
                     continue
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                rows.append((doc, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), len(s), sampled(s).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "one", "two", "n", "sample"])
+                rows.append((doc, tag, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), len(s), sampled(s).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "tag", "one", "two", "n", "sample"])
 
-    return docs.mapInPandas(run, "doc_id long, one long, two long, n int, sample array<long>")
+    return mapped(docs, run, "doc_id long, tag long, one long, two long, n int, sample array<long>")
 
 
 def _buckets(sets: DataFrame, limit: int) -> DataFrame:
@@ -70,7 +71,7 @@ def _buckets(sets: DataFrame, limit: int) -> DataFrame:
     done = []
     for level in range(LEVELS + 1):
         rows = written(rows)
-        sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+        sizes = written(rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")).hint("merge")
         done.append(rows.join(sizes.where(F.col("m") <= limit), "bucket").select("bucket", "rep", F.lit(False).alias("wide")))
         wide = written(rows.join(sizes.where(F.col("m") > limit), "bucket").select("bucket", "run", "rep", "m"))
         if wide.isEmpty():
@@ -78,11 +79,11 @@ def _buckets(sets: DataFrame, limit: int) -> DataFrame:
         if level == LEVELS:
             done.append(wide.select("bucket", "rep", F.lit(True).alias("wide")))
             break
-        base = RUNS + level * RUNS * BRANCHES
+        base = RUNS + level % 2 * RUNS * BRANCHES
         spots = F.explode(F.array(*[F.lit(b) for b in range(BRANCHES)])).alias("branch")
         tokens = sets.select("rep", F.slice("sample", base + 1, RUNS * BRANCHES).alias("own"))
-        split = wide.select("bucket", "run", "rep", "m", spots).join(tokens, "rep")
-        token = F.element_at("own", F.col("run") * BRANCHES + F.col("branch") + 1)
+        split = wide.select("bucket", "run", "rep", "m", spots).join(tokens.hint("merge"), "rep")
+        token = F.element_at("own", (F.col("run") + level // 2) % RUNS * BRANCHES + F.col("branch") + 1)
         split = written(split.select("bucket", F.xxhash64("bucket", "branch", token).alias("child"), "run", "rep", "m"))
         # a bucket that a split leaves mostly whole holds sets that are alike: it is compared as it is
         most = split.groupBy("bucket", "child").agg(F.count("*").alias("c"), F.first("m").alias("m")).groupBy("bucket").agg(F.max("c").alias("c"), F.first("m").alias("m"))
@@ -109,7 +110,7 @@ def _useful(members: DataFrame, block: int = 20_000) -> DataFrame:
                 keep[a:b] = min(common) >= keys[a]
             yield pdf.loc[keep, ["bucket", "rep"]]
 
-    return members.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, "bucket long, rep long")
+    return mapped(members.repartition("bucket").sortWithinPartitions("bucket"), run, "bucket long, rep long")
 
 
 def _compare(sets: list[np.ndarray], paths: list[np.ndarray], bucket: int, sides: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -148,22 +149,30 @@ def _compare(sets: list[np.ndarray], paths: list[np.ndarray], bucket: int, sides
 def jaccard_join(docs: DataFrame, n: int = 5, least: float = 0.8, limit: int = 400, chunk: int = 400) -> DataFrame:
     """``(doc_id, text_class, class_id, n_links, kept)``: documents whose ``n``-word shingle sets have a Jaccard similarity of ``least``.
 
-    Documents with the same set are one text class (its smallest doc_id). ``n_links`` counts the other documents directly linked,
-    copies included; ``class_id`` is the smallest doc_id reachable by links, ``kept`` marks that document. Words are split at white
-    space, in lower case; a text of fewer than ``n`` words is one shingle; null and empty texts link with nothing; equal rows are
-    copies; a null doc_id keeps nulls; other columns are ignored; an empty table gives an empty result.
+    Documents with the same set are one text class (its smallest doc_id). ``n_links`` counts the other rows directly linked, copies
+    included; ``class_id`` is the smallest doc_id reachable by links, ``kept`` marks one row of each class: of those with that doc_id,
+    the one that ``one_of_each`` keeps (equal rows are marked alike). Words are split at white space, in lower case; a text of fewer
+    than ``n`` words is one shingle; null and empty texts link with nothing and are kept; rows with a null doc_id take part, and a
+    class of nothing else has null as its id; other columns are ignored; an empty table gives an empty result.
 
     A run puts two similar sets into one bucket with the chance ``least`` or more; ten runs miss a pair at the threshold once in
-    ten million, or, where buckets are wide and split further by two tokens a level, about four times in a million. Buckets of alike
-    sets are compared in blocks. A pair met in several buckets counts in the smallest.
+    ten million, or, where buckets are wide and split further by two tokens a level, about once in a million. Buckets of alike sets are
+    compared in blocks. A pair met in several buckets counts in the smallest.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = classified(docs, n, least, limit, chunk)
+    return joined.select("doc_id", "text_class", "class_id", "n_links", "kept")
+
+
+def classified(docs: DataFrame, n: int = 5, least: float = 0.8, limit: int = 400, chunk: int = 400) -> DataFrame:
+    """As ``jaccard_join``, with ``tag``, a hash of the row's text. Sets are numbered; the numbers stay as they are written once."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tag", F.xxhash64("text"))
     prints = written(_prints(docs, n))
-    live = prints.where("n > 0 and doc_id is not null")
-    sets = written(live.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sample").alias("sample")))
+    whose = F.max(F.struct(F.bitwise_not("doc_id").alias("last"), "tag"))  # the smallest doc_id, if there is one
+    sets = prints.where("n > 0").groupBy("one", "two").agg(whose.alias("whose"), F.count("*").alias("copies"), F.first("sample").alias("sample"))
+    sets = written(sets.select("one", "two", F.bitwise_not("whose.last").alias("doc_id"), "whose.tag", "copies", "sample").withColumn("rep", F.monotonically_increasing_id()))
     buckets = written(_buckets(sets.select("rep", "sample"), limit).dropDuplicates(["bucket", "rep"]))
     paths = written(buckets.groupBy("rep").agg(F.sort_array(F.collect_list("bucket")).alias("paths")))
-    narrow = _useful(buckets.where("not wide").join(paths, "rep").select("bucket", "rep", "paths")).withColumn("wide", F.lit(False))
+    narrow = _useful(buckets.where("not wide").join(paths.hint("merge"), "rep").select("bucket", "rep", "paths")).withColumn("wide", F.lit(False))
     met = written(narrow.unionByName(buckets.where("wide")))
     m = written(met.where("wide").groupBy("bucket").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")))
     wide = met.where("wide").join(m, "bucket").withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
@@ -172,20 +181,21 @@ def jaccard_join(docs: DataFrame, n: int = 5, least: float = 0.8, limit: int = 4
     wide = wide.select("bucket", "rep", "c", other).select(F.xxhash64("bucket", lo, hi).alias("g"), "bucket", "rep", F.when(lo == hi, 2).when(F.col("c") == lo, 0).otherwise(1).alias("side"))
     tasks = met.where("not wide").select(F.col("bucket").alias("g"), "bucket", "rep", F.lit(2).alias("side")).unionByName(wide)
     asked = tasks.groupBy("rep").agg(F.collect_list(F.struct("g", "bucket", "side")).alias("tasks")).join(paths, "rep")
-    owners = sets.join(asked, "rep").select(F.col("rep").alias("doc_id"), "one", "two", "copies", "tasks", "paths")
+    owners = sets.join(asked, "rep").select(F.coalesce("doc_id", "tag").alias("key"), "tag", "rep", "one", "two", "copies", "tasks", "paths")
 
     def sets_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for text, rep, one, two, copies, tasks, paths in zip(pdf["text"], pdf["doc_id"], pdf["one"], pdf["two"], pdf["copies"], pdf["tasks"], pdf["paths"], strict=True):
+            for text, rep, one, two, copies, tasks, paths in zip(pdf["text"], pdf["rep"], pdf["one"], pdf["two"], pdf["copies"], pdf["tasks"], pdf["paths"], strict=True):
                 s = shingles(text, n)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                if ((d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)) == (one, two):  # else another row of the same doc_id
+                if ((d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)) == (one, two):  # else another text of that hash
                     data = s.tobytes()
                     rows += [(t["g"], t["bucket"], t["side"], rep, copies, np.asarray(paths, np.int64).tobytes(), data) for t in tasks]
             yield pd.DataFrame(rows, columns=["g", "bucket", "side", "rep", "copies", "paths", "tokens"])
 
-    shipped = docs.join(owners, "doc_id").mapInPandas(sets_of, "g long, bucket long, side int, rep long, copies long, paths binary, tokens binary")
+    keyed = docs.select(F.coalesce("doc_id", "tag").alias("key"), "tag", "text").join(owners.hint("merge"), ["key", "tag"])
+    shipped = mapped(keyed.select("text", "rep", "one", "two", "copies", "tasks", "paths"), sets_of, "g long, bucket long, side int, rep long, copies long, paths binary, tokens binary")
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(frames, "g", 4_000_000, lambda p: int(p["tokens"].str.len().sum())):
@@ -207,19 +217,26 @@ def jaccard_join(docs: DataFrame, n: int = 5, least: float = 0.8, limit: int = 4
                 rows += [(int(rep[k]), int(links[k]), int(rep[forest.root(k)])) for k in np.flatnonzero(links).tolist()]
             yield pd.DataFrame(rows, columns=["rep", "links", "to"])
 
-    found = written(shipped.repartition("g").sortWithinPartitions("g").mapInPandas(meet, "rep long, links long, to long"))
+    found = written(mapped(shipped.repartition("g").sortWithinPartitions("g"), meet, "rep long, links long, to long"))
     classes = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_set = sets.drop("sample").join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    by_set = written(by_set.select("one", "two", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
+    by_set = sets.drop("sample").join(links.hint("merge"), "rep", "left").join(classes.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+    by_set = written(by_set.withColumn("class", F.coalesce("component", "rep")))
+    firsts = by_set.groupBy("class").agg(F.max(F.struct(F.bitwise_not("doc_id").alias("last"), "tag")).alias("f"))
+    firsts = firsts.select("class", F.bitwise_not("f.last").alias("class_id"), F.col("f.tag").alias("first_tag"))
+    text_class, links = F.col("doc_id").alias("text_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    by_set = written(by_set.join(firsts.hint("merge"), "class").select("one", "two", text_class, links, "class_id", "first_tag"))
     joined = prints.drop("sample").withColumn("has", F.when(F.col("n") > 0, True)).join(by_set.withColumn("has", F.lit(True)), ["one", "two", "has"], "left")
-    own = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", F.coalesce("rep", "doc_id").alias("text_class"), own.alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), (own == F.col("doc_id")).alias("kept"))
+    alone = F.col("has").isNull()
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("tag").eqNullSafe(F.col("first_tag")))
+    return joined.select("doc_id", "tag", F.when(alone, F.col("doc_id")).otherwise(F.col("text_class")).alias("text_class"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), alone.alias("alone"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id, once; rows with a null doc_id stay."""
+    """One row of each class, the first of those with its smallest doc_id; of equal rows one. Rows without words all stay."""
     rest = docs.columns
-    gone = jaccard_join(docs).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*rest)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    own = docs.withColumn("_tag", F.xxhash64("text"))
+    own = own.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.col("_tag")))
+    stay = classified(docs).where("kept").select(F.coalesce("doc_id", "tag").alias("_key"), F.col("tag").alias("_tag"), "alone").distinct()
+    left = own.join(stay.hint("merge"), ["_key", "_tag"])
+    return left.where("not alone").dropDuplicates(["_key", "_tag"]).select(*rest).unionByName(left.where("alone").select(*rest))

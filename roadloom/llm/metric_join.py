@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,147 +11,234 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, written
+from .common import components, give_back, mapped, written
+
+#: Distances from a pivot are at most 2; so many steps of them are told apart in a cell.
+STEPS = 64
+
+
+def unit_rows(vectors: list) -> list[np.ndarray]:
+    """Unit vectors in double precision of sound vectors; scaled by the largest component first, so that no square overflows."""
+    out = []
+    for v in vectors:
+        x = np.asarray(v, float)
+        x = x / np.abs(x).max()
+        out.append(x / np.sqrt((x * x).sum()))
+    return out
+
+
+class Pivots:
+    """Pivots by vector length. Cells have numbers of their own; a length without a pivot is one cell, at distance 0 of all."""
+
+    def __init__(self, units: list[np.ndarray], radius: float) -> None:
+        self.radius = radius
+        by_size = defaultdict(list)
+        for u in units:
+            by_size[len(u)].append(u)
+        self.first, self.points, self.between, n = {}, {}, {}, 0
+        for size in sorted(by_size):
+            p = np.array(by_size[size])
+            self.first[size], self.points[size] = n, p
+            self.between[size] = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+            n += len(p)
+
+    def spread(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Home cells of vectors of one length, their distances there, and all cells that hold what may be in reach, with distances."""
+        size = x.shape[1]
+        if size not in self.points:
+            zero = np.zeros(len(x))
+            return np.full(len(x), -size), zero, [np.array([-size])] * len(x), [np.zeros(1)] * len(x)
+        d2 = np.maximum(0, 2 - 2 * (x @ self.points[size].T))
+        d, k = np.sqrt(d2), np.arange(len(x))
+        home = d.argmin(1)
+        near = (d - d[k, home][:, None]) / 2 <= self.radius
+        near &= (d2 - d2[k, home][:, None]) <= 2 * self.radius * self.between[size][home] + 1e-9  # the bisecting plane
+        cells = [np.flatnonzero(r) for r in near]
+        return home + self.first[size], d[k, home], [c + self.first[size] for c in cells], [d[j, c] for j, c in enumerate(cells)]
+
+
+class Rings:
+    """Each cell's home vectors in rings of like distance from the pivot, wide rings in several parts: the chunks, numbered."""
+
+    def __init__(self, counts: list[tuple[int, int, int]], chunk_rows: int) -> None:
+        by_cell: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(STEPS + 1, np.int64))
+        for cell, step, n in counts:
+            by_cell[cell][step] += n
+        self.ring_of, self.first, self.parts, self.chunks = {}, {}, {}, 0
+        for cell in sorted(by_cell):
+            rings, held, parts = np.zeros(STEPS + 1, np.int64), 0, [0]
+            for step, n in enumerate(by_cell[cell].tolist()):
+                if held and held + n > chunk_rows:
+                    parts.append(0)
+                    held = 0
+                held += n
+                rings[step], parts[-1] = len(parts) - 1, -(-held // chunk_rows)
+            self.ring_of[cell], self.parts[cell] = rings, np.maximum(parts, 1)
+            self.first[cell] = self.chunks + np.concatenate([[0], np.cumsum(self.parts[cell])])
+            self.chunks += int(self.parts[cell].sum())
+
+    def home(self, cell: int, distance: float, draw: int) -> int:
+        ring = self.ring_of[cell][step_of(distance)]
+        return int(self.first[cell][ring] + draw % self.parts[cell][ring])
+
+    def within(self, cell: int, low: float, high: float) -> np.ndarray:
+        if cell not in self.first:
+            return np.zeros(0, np.int64)
+        rings = self.ring_of[cell]
+        return np.arange(self.first[cell][rings[step_of(max(low, 0.0))]], self.first[cell][rings[step_of(high)] + 1])
+
+
+def step_of(distance: float) -> int:
+    return min(STEPS, int(distance * (STEPS / 2)))
+
+
+class Chunk:
+    """The home vectors of a chunk, whom they are linked with, and the labels of those linked through what was seen so far."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, least: float, cells: int = 1 << 22) -> None:
+        self.ids, self.x, self.least = ids, x, least
+        self.links, self.label, self.block = np.zeros(len(ids), np.int64), np.arange(len(ids)), max(1, cells // max(1, len(ids)))
+        self.copies = copies
+        for a in range(0, len(ids), self.block):
+            hit = self.x @ x[a : a + self.block].T >= least
+            own = np.arange(a, min(len(ids), a + self.block))
+            hit[own, own - a] = True
+            self._merge(hit)
+            hit[own, own - a] = False
+            self.links += hit @ copies[a : a + self.block]
+
+    def _merge(self, hit: np.ndarray) -> None:
+        """Gives the vectors that one column has the same label; most columns only have equal ones already."""
+        columns = np.flatnonzero(hit.any(0))
+        hit = hit[:, columns]
+        low = np.where(hit, self.label[:, None], len(self.label)).min(0) if len(columns) else columns
+        high = np.where(hit, self.label[:, None], -1).max(0) if len(columns) else columns
+        for c in np.flatnonzero(low != high).tolist():
+            labels = np.unique(self.label[hit[:, c]])
+            if len(labels) > 1:
+                self.label[np.isin(self.label, labels)] = labels[0]
+
+    def meet(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(id, links, to)`` of the guests that are linked with home vectors, which count the guests in turn."""
+        for a in range(0, len(ids) if len(self.ids) else 0, self.block):
+            hit = self.x @ x[a : a + self.block].T >= self.least
+            columns = np.flatnonzero(hit.any(0))
+            if columns.size:
+                self._merge(hit)
+                hit = hit[:, columns]
+                self.links += hit @ copies[a : a + self.block][columns]
+                yield ids[a : a + self.block][columns], self.copies @ hit, self.ids[hit.argmax(0)]
+
+    def linked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some = np.flatnonzero(self.links)
+        return self.ids[some], self.links[some], self.ids[self.label[some]]
+
+
+def _meeting(least: float):
+    """Streams chunks, each one's home vectors before its guests, into ``(id, links, to)`` rows."""
+
+    def batch_of(part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], names=["id", "links", "to"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, chunk, held = None, None, []
+
+        def settled() -> Chunk:
+            return chunk or Chunk(*(np.concatenate(p) for p in zip(*held, strict=True)), least)
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, guest, ids, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            units = batch.column(4).to_pylist()
+            edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]) | (guest[1:] != guest[:-1])) + 1, [len(keys)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if keys[a] != g:
+                    if chunk or held:
+                        yield batch_of(settled().linked())
+                    g, chunk, held = keys[a], None, []
+                x = np.frombuffer(b"".join(units[a:b]), float).reshape(b - a, -1)
+                if not guest[a]:
+                    held.append((ids[a:b], copies[a:b], x))
+                elif chunk or held:
+                    chunk, held = settled(), []
+                    for part in chunk.meet(ids[a:b], copies[a:b], x):
+                        yield batch_of(part)
+        if chunk or held:
+            yield batch_of(settled().linked())
+        chunk, held = None, []
+        give_back()
 
-def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, and which rows have one: null, zero and non-finite vectors, and those with nulls, don't."""
-    out, ok = [], np.zeros(len(vectors), bool)
-    for k, v in enumerate(vectors):
-        x = np.array([np.nan if c is None else c for c in v], float) if v is not None else np.zeros(0)
-        size = np.sqrt((x * x).sum()) if len(x) and np.isfinite(x).all() else 0.0
-        if size > 0 and np.isfinite(size):
-            out.append(x / size)
-            ok[k] = True
-    return out, ok
+    return run
 
 
-def metric_join(vectors: DataFrame, least: float = 0.95, cell_rows: int = 2048, max_pivots: int = 1024) -> DataFrame:
+def metric_join(vectors: DataFrame, least: float = 0.95, chunk_rows: int | None = None, max_pivots: int = 1024, chunk_bytes: int = 1 << 25) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for ``vectors(vec_id, embedding)``: links are pairs with a cosine of ``least`` or more.
 
     On unit vectors that is a Euclidean distance of r = sqrt(2 - 2 least) at most. Every vector's home is the cell of its nearest
-    pivot; it is also sent to each cell whose border may be within r: by the triangle inequality those with (d - d_home) / 2 <= r, and
-    of them those whose bisecting plane, in the plane's own distance, is. A cell's home vectors, in chunks of about ``cell_rows``, meet
-    all that its cell got in streamed batches, so that no task holds more than a chunk and a batch. Equal vectors count once, with
-    their number. Pivots, one for ``cell_rows`` vectors and at most ``max_pivots``, are the vectors with the smallest hashed ids.
-
-    ``n_links`` counts other rows directly linked, ``component_id`` is the smallest vec_id reachable. Null, zero and non-finite
-    vectors and those with nulls link with nothing, as do vectors of another length. Rows that repeat a vec_id with another vector
-    are one document of the result's components. Other columns are ignored; an empty table gives an empty result.
+    pivot; by the triangle inequality what is in its reach lies in cells with (d - d_home) / 2 <= r whose bisecting plane is in reach,
+    and there in rings between d - r and d + r from the pivot. Rings of up to ``chunk_rows`` vectors (larger ones in parts) are chunks,
+    and of two chunks one hosts the other's vectors as guests, which are streamed, so that a task holds a chunk and a batch. Chunks are
+    for three tasks a core, unless that is more than ``chunk_bytes`` of vectors. Equal vectors count once, with their number. The
+    pivots, one a chunk and at most ``max_pivots``, are the vectors with the smallest hashes.
+
+    ``n_links`` counts other rows directly linked, ``component_id`` is the smallest vec_id reachable (null if all are null), ``kept``
+    marks the rows that have it. Null, empty, zero and non-finite vectors and those with nulls link with nothing and are kept; vectors
+    of different lengths do not link; rows that repeat a vec_id count as different vectors; other columns are ignored; an empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sound = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("embedding", lambda c: c != 0)
-    usable = rows.where(sound & F.col("vec_id").isNotNull())
-    kinds = written(usable.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    total = kinds.count()
-    picked = kinds.orderBy(F.xxhash64("rep"), "rep").limit(max(1, min(max_pivots, -(-total // cell_rows)))).select("embedding").collect()
-    units, _ = unit_rows([r["embedding"] for r in picked])
-    width = max((len(u) for u in units), default=1)
-    pivots = np.array([u for u in units if len(u) == width]).reshape(-1, width)
+    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    kinds = rows.where("sound").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()))
+    sizes = kinds.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    if chunk_rows is None:
+        chunk_rows = max(1024, min(chunk_bytes // (8 * (sizes["width"] or 1)), -(-sizes["n"] // (3 * spark.sparkContext.defaultParallelism))))
+    picked = kinds.orderBy(F.xxhash64("embedding"), "id").limit(max(1, min(max_pivots, -(-sizes["n"] // chunk_rows)))).select("embedding").collect()
     radius = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T)) if len(pivots) else np.zeros((0, 0))
-
-    def spread(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Homes, and the cells that each vector is sent to (its home included)."""
-        d2 = np.maximum(0, 2 - 2 * (x @ pivots.T))
-        d = np.sqrt(d2)
-        home = d.argmin(1)
-        k = np.arange(len(x))
-        near = (d - d[k, home][:, None]) / 2 <= radius
-        plane = (d2 - d2[k, home][:, None]) <= 2 * radius * between[home] + 1e-9
-        return home, near & plane
+    pivots = spark.sparkContext.broadcast(Pivots(unit_rows([r["embedding"] for r in picked]), radius))
 
     def homes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            units, ok = unit_rows(pdf["embedding"].tolist())
-            fit = [len(u) == width for u in units]
-            pdf = pdf[ok][fit]
-            x = np.array([u for u, f in zip(units, fit, strict=True) if f]).reshape(-1, width)
-            if len(pdf):
-                home, sent = spread(x)
-                yield pd.DataFrame({"rep": pdf["rep"], "copies": pdf["copies"], "home": home, "cells": [np.flatnonzero(s).astype(np.int32) for s in sent], "unit": [u.tobytes() for u in x]})
-
-    placed = written(kinds.mapInPandas(homes, "rep long, copies long, home int, cells array<int>, unit binary"))
-    counts = placed.groupBy("home").count().collect()
-    chunks = spark.createDataFrame([(r["home"], -(-r["count"] // cell_rows)) for r in counts], "cell int, chunks int")
-    sent = placed.select("rep", "copies", "home", "unit", F.explode("cells").alias("cell")).join(F.broadcast(chunks), "cell")
-    chunk = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    sent = sent.select("rep", "copies", "unit", "cell", F.when(F.col("home") == F.col("cell"), chunk).otherwise(-1).alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    sent = sent.select((F.col("cell") * 1_000_000 + F.col("chunk")).cast("long").alias("g"), (F.col("own") != F.col("chunk")).alias("guest"), "rep", "copies", "unit")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict = {"g": None}
-
-        def close() -> pa.RecordBatch | None:
-            if state["g"] is None or not len(state["rep"]):
-                return None
-            reps, links, forest = state["rep"], state["links"], state["forest"]
-            rows = [(int(reps[k]), int(links[k]), int(reps[forest.root(k)])) for k in np.flatnonzero(links).tolist()] + state["edges"]
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rep", "links", "to"])
-
-        def compare(rep: np.ndarray, copies: np.ndarray, x: np.ndarray, guests: bool) -> None:
-            home = state["home"]
-            for a in range(0, len(rep), 1024):
-                hit = home @ x[a : a + 1024].T >= least
-                if not guests:
-                    hit &= state["rep"][:, None] != rep[None, a : a + 1024]
-                columns = np.flatnonzero(hit.any(0))
-                if not columns.size:
-                    continue
-                state["links"] += hit[:, columns] @ copies[a : a + 1024][columns]
-                for c in columns.tolist():
-                    who = np.flatnonzero(hit[:, c]).tolist()
-                    for w in who[1:]:
-                        state["forest"].join(who[0], w)
-                    if guests:
-                        state["edges"].append((int(rep[a + c]), 0, int(state["rep"][who[0]])))
-                    else:
-                        at = state["at"][int(rep[a + c])]
-                        state["forest"].join(who[0], at)
-
-        def settle() -> None:
-            rep, copies, x = (np.concatenate(p) for p in zip(*state["rows"], strict=True)) if state["rows"] else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, width)))
-            order = np.argsort(rep)
-            rep, copies, x = rep[order], copies[order], x[order]
-            state.update(rep=rep, home=x, links=np.zeros(len(rep), np.int64), forest=Forest(len(rep)), edges=[], at={int(r): k for k, r in enumerate(rep)}, rows=None)
-            compare(rep, copies, x, False)
-
-        for batch in batches:
-            g, guest = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            rep, copies = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), float).reshape(-1, width)
-            key = g * 2 + guest
-            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else np.zeros(1, int)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if g[a] != state["g"]:
-                    if state["g"] is not None:
-                        if state["rows"] is not None:
-                            settle()
-                        out = close()
-                        if out is not None:
-                            yield out
-                    state.clear()
-                    state.update(g=g[a], rows=[])
-                if not guest[a]:
-                    state["rows"].append((rep[a:b], copies[a:b], x[a:b]))
-                else:
-                    if state["rows"] is not None:
-                        settle()
-                    compare(rep[a:b], copies[a:b], x[a:b], True)
-        if state["g"] is not None:
-            if state["rows"] is not None:
-                settle()
-            out = close()
-            if out is not None:
-                yield out
-
-    found = written(sent.repartition("g").sortWithinPartitions("g", "guest").mapInArrow(meet, "rep long, links long, to long"))
-    linked = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_kind = kinds.join(links, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    by_kind = written(by_kind.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
-    joined = rows.withColumn("key", F.when(sound, F.col("embedding"))).join(by_kind.withColumnRenamed("embedding", "key"), "key", "left")
-    own = F.coalesce("component", "vec_id")
-    return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), (own == F.col("vec_id")).alias("kept"))
+            units = unit_rows(pdf["embedding"].tolist())
+            lengths = np.array([len(u) for u in units])
+            for size in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == size)
+                home, distance, cells, away = pivots.value.spread(np.array([units[k] for k in own]))
+                yield pd.DataFrame({"id": pdf["id"].iloc[own], "copies": pdf["copies"].iloc[own], "home": home, "distance": distance, "cells": cells, "away": away, "unit": [units[k].tobytes() for k in own]})
+
+    placed = mapped(kinds.select("id", "copies", "embedding"), homes, "id long, copies long, home long, distance double, cells array<long>, away array<double>, unit binary")
+    placed = written(placed)
+    step = F.least(F.lit(STEPS), F.floor(F.col("distance") * (STEPS / 2))).cast("int")
+    counts = placed.groupBy("home", step.alias("step")).count().collect()
+    rings = Rings([tuple(r) for r in counts], chunk_rows)
+    shipped = spark.sparkContext.broadcast(rings)
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of two chunks, the one with the smaller number is host if the numbers' sum is even."""
+        r = shipped.value
+        for pdf in frames:
+            draws = (pd.util.hash_array(pdf["id"].to_numpy()) >> np.uint64(1)).astype(np.int64).tolist()
+            own = [r.home(c, d, k) for c, d, k in zip(pdf["home"].tolist(), pdf["distance"].tolist(), draws, strict=True)]
+            hosts = []
+            for g, cells, away in zip(own, pdf.pop("cells"), pdf.pop("away"), strict=True):
+                all_ = np.concatenate([r.within(c, d - radius, d + radius) for c, d in zip(cells.tolist(), away.tolist(), strict=True)])
+                hosts.append(all_[(all_ != g) & ((all_ < g) == ((all_ + g) % 2 == 0))])
+            yield pdf.drop(columns=["home", "distance"]).assign(own=own, hosts=hosts)
+
+    dealt = mapped(placed, deal, "id long, copies long, unit binary, own long, hosts array<long>")
+    dealt = dealt.select("id", "copies", "unit", F.posexplode(F.concat(F.array("own"), "hosts")).alias("at", "g"))
+    dealt = dealt.select("g", (F.col("at") > 0).alias("guest"), "id", "copies", "unit")
+    dealt = dealt.repartition(max(1, min(4 * rings.chunks, 20_000)), "g").sortWithinPartitions("g", "guest")
+    found = written(dealt.mapInArrow(_meeting(least), "id long, links long, to long"))
+    linked = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
+    links = found.groupBy("id").agg(F.sum("links").alias("links"))
+    by_kind = kinds.join(links, "id", "left").join(linked.withColumnRenamed("node", "id"), "id", "left")
+    by_kind = written(by_kind.select("embedding", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component")))
+    least_id = by_kind.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_kind = by_kind.join(least_id, "component").select("embedding", "links", "component_id")
+    joined = rows.where("sound").drop("sound").join(by_kind, "embedding").select("vec_id", F.col("links").cast("long").alias("n_links"), "component_id")
+    rest = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return joined.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

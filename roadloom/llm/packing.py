@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 #: A word of plain letters, which are one pre-token whatever stands around them, and the marks after it, which are another one.
 PLAIN = re.compile(rb"((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-/:-@\[-`{-~]*+)").fullmatch
@@ -39,7 +39,7 @@ class WordEncoder:
     New words of plain letters are encoded many at a time, as one text whose ids the tokenizer's word ends divide again.
     """
 
-    def __init__(self, tokenizer: str, cached: int = 1_200_000, group: int = 500) -> None:
+    def __init__(self, tokenizer: str, cached: int = 400_000, group: int = 500) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -116,7 +116,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int
                 rows += [(doc, k, k * capacity, len(part) // 4, zlib.crc32(part)) for k in range(-(-len(ids) // (4 * capacity))) for part in (ids[4 * capacity * k : 4 * capacity * (k + 1)],)]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class OpenBins:
@@ -198,24 +198,25 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 def pack(pieces: DataFrame, capacity: int = 4096, salted_rows: int = 4096) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``pieces(doc_id, piece, ..., length)``; ``length`` in 1..capacity.
 
-    Only the histogram of lengths (at most ``capacity`` rows) reaches the driver. Ranks within a length come from small salted groups
-    and their running counts, so that a length with a third of all rows is not one task's work. Ties and repeated rows take any order.
+    Only the histogram of lengths (at most ``capacity`` rows) reaches the driver. A length with more than ``salted_rows`` pieces is dealt
+    out at random to groups of about that many, so that no length, nor any number of equal rows, is one task's work; a piece's rank is
+    its place in its group and the sizes of the groups before. Ties and repeated rows take any order.
     """
-    pieces = written(pieces)
+    columns = pieces.columns
+    pieces = written(pieces.withColumn("_draw", F.rand(7)))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    total = sum(histogram.values())
     plan = sorted(best_fit_plan(histogram, capacity))
     shift = 44
     keys = np.array([(p[0] << shift) | p[1] for p in plan], np.int64)
     firsts, each, base, offset = (np.array([p[k] for p in plan], np.int64) for k in (1, 2, 3, 4))
-    salts = max(1, -(-total // salted_rows))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)))
+    salts = pieces.sparkSession.createDataFrame([(n, -(-c // salted_rows)) for n, c in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.floor(F.col("_draw") * F.col("salts"))).drop("salts")
     sums = salted.groupBy("length", "salt").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     sums = written(sums.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before")))
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(sums, ["length", "salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("rank") + F.col("before")).alias("rank"))
+    order = Window.partitionBy("length", "salt").orderBy("_draw")
+    ranked = salted.withColumn("rank", F.row_number().over(order) - 1).join(sums.hint("merge"), ["length", "salt"])
+    ranked = ranked.select(*columns, (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -224,8 +225,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, salted_rows: int = 4096) -> Da
             k = rank - firsts[at]
             yield pdf.assign(sequence_id=base[at] + k // each[at], offset=offset[at] + k % each[at] * length)
 
-    schema = ", ".join(f"{c} {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(place, schema)
+    schema = ", ".join(f"{c} {t}" for c, t in pieces.select(*columns).dtypes) + ", sequence_id long, offset long"
+    return mapped(ranked, place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

@@ -19,47 +19,88 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, whole_groups, written
+from .common import AT_TASK_END, mapped, mix, whole_groups, written
 
 MASK = np.uint64((1 << 24) - 1)
-BASES = np.array([0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1], np.uint64)
-INVERSES = np.array([pow(int(b), -1, 1 << 64) for b in BASES], np.uint64)
+BASE = 0x9E3779B97F4A7C15
+#: The largest prime below 2**31, and bases of two polynomial hashes modulo it.
+PRIME, PRIME_BASES = (1 << 31) - 1, (1_103_515_247, 1_664_525_013)
 
 
 class Powers:
-    """Powers of the two odd bases and of their inverses modulo 2**64, as far as a document needed them so far."""
+    """Powers of a base and of its inverse modulo 2**64, or modulo ``PRIME``, as far as a document needed them so far."""
 
-    def __init__(self) -> None:
-        self.up = [np.ones(1, np.uint64)] * 2
-        self.down = [np.ones(1, np.uint64)] * 2
+    def __init__(self, base: int, prime: bool = False) -> None:
+        self.modulus = PRIME if prime else 1 << 64
+        self.prime = np.uint64(PRIME) if prime else None
+        self.bases = [base, pow(base, -1, self.modulus)]
+        self.reset()
+
+    def reset(self) -> None:
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def to(self, n: int) -> None:
+        if len(self.up) <= n:
+            self.up, self.down = (self._run(max(n + 1, 1 << 16), b) for b in self.bases)
+
+    def _run(self, n: int, base: int) -> np.ndarray:
+        out = np.ones(n, np.uint64)
+        done = 1
+        while done < n:
+            part = out[: min(done, n - done)] * np.uint64(pow(base, done, self.modulus))
+            out[done : done + len(part)] = part if self.prime is None else part % self.prime
+            done *= 2
+        return out
 
-    def to(self, n: int, k: int) -> None:
-        if len(self.up[k]) <= n:
-            n = max(n + 1, 1 << 16)
-            for store, base in ((self.up, BASES[k]), (self.down, INVERSES[k])):
-                run = np.full(n, base, np.uint64)
-                run[0] = 1
-                store[k] = np.cumprod(run, dtype=np.uint64, out=run)
 
+POWERS = Powers(BASE)
+PRIME_POWERS = [Powers(b, True) for b in PRIME_BASES]
 
-POWERS = Powers()
+
+def _forget_long() -> None:
+    for p in (POWERS, *PRIME_POWERS):
+        if len(p.up) > 1 << 18:
+            p.reset()
+
+
+AT_TASK_END.append(_forget_long)
 
 
 class Sums:
-    """Prefix sums from which the hash of any slice of a symbol sequence follows in constant time."""
+    """Prefix sums from which the hash of any slice of a symbol sequence follows in constant time.
 
-    def __init__(self, symbols: np.ndarray, k: int = 0) -> None:
-        POWERS.to(len(symbols) + 1, k)
-        self.k, self.n = k, len(symbols)
+    The hash is a polynomial modulo 2**64: quick, for choosing anchors, shingles and samples.
+    """
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        POWERS.to(len(symbols) + 1)
+        self.n = len(symbols)
         self.p = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(symbols * POWERS.up[k][: self.n], dtype=np.uint64, out=self.p[1:])
+        np.cumsum(symbols * POWERS.up[: self.n], dtype=np.uint64, out=self.p[1:])
 
     def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mix((self.p[start + length] - self.p[start]) * POWERS.down[self.k][start])
+        return mix((self.p[start + length] - self.p[start]) * POWERS.down[start])
 
     def all(self, length: int) -> np.ndarray:
         n = self.n - length + 1
-        return mix((self.p[length:] - self.p[:n]) * POWERS.down[self.k][:n])
+        return mix((self.p[length:] - self.p[:n]) * POWERS.down[:n])
+
+
+class Digests:
+    """Digests of slices by which equal segments are told: two polynomials modulo a prime, which no structure of a text defeats."""
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        self.sums = []
+        own = [symbols & np.uint64(0x3FFFFFFF), symbols >> np.uint64(34)]
+        for s, powers in zip(own, PRIME_POWERS, strict=True):
+            powers.to(len(s) + 1)
+            p = np.zeros(len(s) + 1, np.uint64)
+            np.cumsum(s * powers.up[: len(s)] % powers.prime, dtype=np.uint64, out=p[1:])
+            self.sums.append((p, powers))
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        one, two = ((p[start + length] - p[start]) % w.prime * w.down[start] % w.prime for p, w in self.sums)
+        return (one << np.uint64(32)) | two
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -83,7 +124,7 @@ def runs_of(symbols: np.ndarray, lengths: np.ndarray, width: int, gram: int, chu
     n = len(symbols) - width + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
-    first, second = Sums(symbols), Sums(symbols, 1)
+    first, second = Sums(symbols), Digests(symbols)
     grams = first.all(gram)
     ends = np.cumsum(lengths)
     open_ = np.ones(n + width, bool)  # windows that lie within one document
@@ -167,10 +208,7 @@ class WindowRepeats:
         self.group_limit, self.block = group_limit, block
 
     def spans(self, docs: DataFrame) -> DataFrame:
-        """``(doc_id, tag, spans)`` for ``docs(doc_id, tag, text)``: where repeated windows start, as (start, length).
-
-        ``tag`` tells apart rows that repeat a doc_id; equal rows are copies of one another.
-        """
+        """``(doc_id, tag, spans)`` for ``docs(doc_id, tag, text)`` as ``with_tag`` gives them: where repeated windows start, as (start, length)."""
         unit, width, gram = self.unit, self.width, self.grams[0]
 
         def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +216,7 @@ class WindowRepeats:
 
             def runs(rows: list[tuple], symbols: list[np.ndarray]) -> pd.DataFrame:
                 k, anchor, digest, start, count = runs_of(np.concatenate(symbols), np.array(list(map(len, symbols))), width, gram)
-                ids = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32)
+                ids = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
                 return pd.DataFrame({"doc_id": ids[0][k], "tag": ids[1][k], "anchor": anchor.view(np.int64), "digest": digest.view(np.int64), "start": start, "count": count})
 
             for pdf in frames:
@@ -196,9 +234,9 @@ class WindowRepeats:
                 if rows:
                     yield runs(rows, symbols)
 
-        runs = written(docs.where("doc_id is not null and length(text) > 0").mapInPandas(find, "doc_id long, tag int, anchor long, digest long, start int, count int"))
+        runs = written(mapped(docs.where("length(text) > 0"), find, "doc_id long, tag long, anchor long, digest long, start int, count int"))
         shared = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-        found = written(runs.join(shared.hint("shuffle_hash"), "anchor").select("anchor", "digest", "doc_id", "tag", "start", "count"))
+        found = written(runs.join(shared.hint("merge"), "anchor").select("anchor", "digest", "doc_id", "tag", "start", "count"))
         firsts = [F.first(c).alias(c) for c in ("doc_id", "tag", "start", "count")]
         kinds = written(found.groupBy("anchor", "digest").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("copies"), *firsts))
         wide = written(kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > self.group_limit).select("anchor", F.lit(True).alias("wide")))
@@ -216,7 +254,7 @@ class WindowRepeats:
                     yield pd.DataFrame(rows[k : k + 20_000], columns=["anchor", "digest", "copies", "count", "wide", "segment"])
 
         texts = docs.select("doc_id", "tag", "text").join(wanted, ["doc_id", "tag"]).select("text", "w")
-        segments = written(texts.mapInPandas(cut, "anchor long, digest long, copies int, count int, wide boolean, segment binary"))
+        segments = written(mapped(texts, cut, "anchor long, digest long, copies int, count int, wide boolean, segment binary"))
         hits = written(self._resolve(segments, 1))
         back = found.join(hits, ["anchor", "digest"]).select("doc_id", "tag", F.expr("transform(spans, s -> named_struct('start', s.start + start, 'length', s.length))").alias("s"))
         return back.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("s")).alias("spans"))
@@ -240,7 +278,7 @@ class WindowRepeats:
                 rows = [(a, d, s) for a, d, f in zip(pdf["anchor"], pdf["digest"], flags, strict=True) if (s := _spans(f))]
                 yield pd.DataFrame(rows, columns=["anchor", "digest", "spans"])
 
-        return segments.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(judge, HITS)
+        return mapped(segments.repartition("anchor").sortWithinPartitions("anchor"), judge, HITS)
 
     def _refined(self, segments: DataFrame, level: int) -> DataFrame:
         unit, width, gram = self.unit, self.width, self.grams[level]
@@ -256,7 +294,7 @@ class WindowRepeats:
                 yield out.assign(anchor=anchor.view(np.int64), digest=digest.view(np.int64), at=start, count=count, segment=text)
 
         schema = "up_anchor long, up_digest long, copies int, anchor long, digest long, at int, count int, segment binary"
-        pieces = written(segments.mapInPandas(split, schema))
+        pieces = written(mapped(segments, split, schema))
         kinds = written(pieces.groupBy("anchor", "digest").agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), F.first("count").alias("count"), F.first("segment").alias("segment")))
         groups = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("copies").alias("c")).where("c > 1")
         groups = written(groups.select("anchor", (F.col("n") > self.group_limit).alias("wide")))
@@ -264,20 +302,21 @@ class WindowRepeats:
         return self._lifted(pieces.select("up_anchor", "up_digest", "anchor", "digest", "at").join(hits, ["anchor", "digest"]))
 
     def _counted(self, segments: DataFrame) -> DataFrame:
+        """The last anchors are whole windows: a group is one string, and repeated if it has two copies, as any group of one segment."""
         unit, width = self.unit, self.width
 
         def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             u = unit()
             for pdf in frames:
                 out = []
-                for a, d, c, s in zip(pdf["anchor"], pdf["digest"], pdf["copies"], pdf["segment"], strict=True):
-                    symbols = u.symbols(u.parts(s))
-                    one, two = Sums(symbols).all(width).view(np.int64), Sums(symbols, 1).all(width).view(np.int64)
-                    out.append((one, two, np.full(len(one), a), np.full(len(one), d), np.full(len(one), c), np.arange(len(one))))
-                if out:
-                    yield pd.DataFrame(dict(zip(("one", "two", "up_anchor", "up_digest", "copies", "at"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-        every = written(segments.mapInPandas(windows, "one long, two long, up_anchor long, up_digest long, copies int, at int"))
+                for a, d, c, n, s in zip(pdf["anchor"], pdf["digest"], pdf["copies"], pdf["count"], pdf["segment"], strict=True):
+                    parts = u.parts(s)
+                    prints = [xxhash.xxh3_128_intdigest(u.segment(parts, k, width)) for k in range(n)]
+                    out += [((p >> 64) - (1 << 63), (p & ((1 << 64) - 1)) - (1 << 63), a, d, c, k) for k, p in enumerate(prints)]
+                for k in range(0, len(out), 50_000):
+                    yield pd.DataFrame(out[k : k + 50_000], columns=["one", "two", "up_anchor", "up_digest", "copies", "at"])
+
+        every = written(mapped(segments, windows, "one long, two long, up_anchor long, up_digest long, copies int, at int"))
         twice = written(every.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two"))
         return self._lifted(every.join(twice, ["one", "two"]).withColumn("spans", F.expr("array(named_struct('start', 0, 'length', 1))")))
 
@@ -299,6 +338,7 @@ def covered(spans: list, n: int, width: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def with_tag(docs: DataFrame) -> DataFrame:
-    """Adds ``tag``, which tells apart the rows of a repeated doc_id by their text."""
-    return docs.withColumn("tag", F.hash("text"))
+def with_tag(docs: DataFrame, tag: str = "tag") -> DataFrame:
+    """Adds ``tag`` and ``_key``: the tag tells apart the rows of a repeated doc_id by their text; rows without a doc_id are known by their text alone."""
+    tagged = docs.withColumn(tag, F.xxhash64("text"))
+    return tagged.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.col(tag)))

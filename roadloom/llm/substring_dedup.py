@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounds
+from .common import bounds, mapped
 from .repeats import WordUnit, WindowRepeats, _spans, covered, with_tag
 
 
@@ -79,12 +79,12 @@ def substring_dedup(docs: DataFrame, width: int = 35, grams: tuple[int, ...] = (
     A word goes if any window of ``width`` words over it also starts at another place of the corpus, in the same document or another.
     ``spans`` are the maximal removed runs as (start, length) in words; ``kept`` are the other words, joined by one space. Words are
     runs without white space (space and the characters 9 to 13), unchanged. Null and empty texts have no words; rows with a null
-    doc_id are neither matched nor cut; equal rows are repeats of one another; other columns stay (those named like an added one are
+    doc_id count as any other; equal rows are repeats of one another; other columns stay (those named like an added one are
     replaced); an empty table gives an empty result.
     """
-    rest = [c for c in docs.columns if c not in ("n_words", "spans", "n_removed", "kept", "tag")]
-    docs = with_tag(docs.select(*rest))
-    spans = WindowRepeats(WordUnit, parsed_windows, width, grams).spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "text"))
+    rest = [c for c in docs.columns if c not in ("n_words", "spans", "n_removed", "kept")]
+    docs = with_tag(docs.select(*rest), "_tag")
+    spans = WindowRepeats(WordUnit, parsed_windows, width, grams).spans(docs.select(F.col("_key").alias("doc_id"), F.col("_tag").alias("tag"), "text"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -98,6 +98,6 @@ def substring_dedup(docs: DataFrame, width: int = 35, grams: tuple[int, ...] = (
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
             yield pdf.assign(n_words=n_words, spans=runs, n_removed=removed, kept=kept)
 
-    joined = docs.join(spans.withColumnRenamed("spans", "_spans_found"), ["doc_id", "tag"], "left").select(*rest, "_spans_found")
+    joined = docs.join(spans.select(F.col("doc_id").alias("_key"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans_found")), ["_key", "_tag"], "left").select(*rest, "_spans_found")
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + ", n_words long, spans array<struct<start:int,length:int>>, n_removed long, kept string"
-    return joined.mapInPandas(cut, schema)
+    return mapped(joined, cut, schema)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .repeats import ByteUnit, WindowRepeats, _spans, covered, with_tag
 
 
@@ -105,11 +106,11 @@ def suffix_dedup(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (40
 
     A byte goes if any ``width``-byte string over it also starts at another place of the corpus, in the same document or another;
     matches never cross documents. ``spans`` are the maximal removed runs as (start, length) in bytes, ``kept`` is the rest. Null and
-    empty texts have 0 bytes and no spans; rows with a null doc_id are neither matched nor cut; equal rows are repeats of one another;
+    empty texts have 0 bytes and no spans; rows with a null doc_id count as any other; equal rows are repeats of one another;
     texts shorter than ``width`` stay; further columns are ignored; an empty table gives an empty result.
     """
     docs = with_tag(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    spans = WindowRepeats(ByteUnit, repeated_windows, width, grams).spans(docs)
+    spans = WindowRepeats(ByteUnit, repeated_windows, width, grams).spans(docs.select(F.col("_key").alias("doc_id"), "tag", "text"))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -120,6 +121,6 @@ def suffix_dedup(docs: DataFrame, width: int = 200, grams: tuple[int, ...] = (40
                 rows.append((doc, len(data), _spans(gone), np.frombuffer(data, np.uint8)[~gone].tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = docs.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<start:int,length:int>>, kept binary")
+    joined = docs.join(spans.withColumnRenamed("doc_id", "_key"), ["_key", "tag"], "left").select("doc_id", "text", "spans")
+    return mapped(joined, cut, "doc_id long, n_bytes long, spans array<struct<start:int,length:int>>, kept binary")
 

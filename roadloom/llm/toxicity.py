@@ -11,13 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, table, written
-from .repeats import Sums
+from .common import mapped, mix, table, written
 
-#: Orders of the class models; order of the one below them, which is shared, and the highest shared one. What the shared model takes off each count.
-ORDERS, BASE_ORDER, SHARED_ORDER, DISCOUNT = (6, 5, 4, 3), 2, 4, 0.75
+#: Orders of the class models, and the highest of the shared model below them. What the shared model takes off each count.
+ORDERS, SHARED_ORDER, DISCOUNT = (5, 6), 4, 0.75
 #: Bits of a code point and its successor; a long holds three.
 BITS, EACH = 21, 3
+#: The code of the space before a word, which nothing precedes.
+START = ord(" ") + 1
+#: Widths of the passages, in words, from which the fit chooses; 0 is the whole text.
+SPANS = (1, 2, 3, 5, 8, 16, 0)
 
 
 def laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,18 +33,6 @@ def laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, place, word
 
 
-def ending_grams(codes: np.ndarray, place: np.ndarray, order: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of the ``order``-grams that lie in one word, and their hashes, made block by block to bound what stands beside them."""
-    ends = np.flatnonzero(place >= order - 1)
-    grams = np.empty(len(ends), np.uint64)
-    for a in range(0, len(ends), block):
-        own = ends[a : a + block] - (order - 1)
-        low = int(own[0])
-        sums = Sums(mix(codes[low : int(own[-1]) + order].astype(np.uint64) + np.uint64(1)))
-        grams[a : a + block] = sums.of(own - low, order)
-    return ends, grams
-
-
 def packed_grams(codes: np.ndarray, place: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The exact ``order``-grams at ``ends``: the last three code points, and those before, with 0 for what lies before the word."""
     low, high = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
@@ -52,6 +43,21 @@ def packed_grams(codes: np.ndarray, place: np.ndarray, ends: np.ndarray, order:
     return high, low
 
 
+def last(high: np.ndarray, low: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last ``order`` characters of packed grams."""
+    return high & ((1 << BITS * max(order - EACH, 0)) - 1), low & ((1 << BITS * min(order, EACH)) - 1)
+
+
+def context(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed grams without their last character, which leaves its place empty."""
+    return high, low & ~((1 << BITS) - 1)
+
+
+def keyed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each packed gram."""
+    return mix(mix(high.view(np.uint64)) ^ low.view(np.uint64))
+
+
 def packed_counts(words: dict[str, int]) -> pd.DataFrame:
     """Sums of the counts of ``words`` by the grams they hold, one at each character after the first space."""
     codes, place, word = laid_out(list(words))
@@ -64,9 +70,9 @@ def packed_counts(words: dict[str, int]) -> pd.DataFrame:
     return pd.DataFrame({"high": high[starts], "low": low[starts], "n": np.add.reduceat(amount, starts) if len(starts) else amount})
 
 
-def at_places(place: np.ndarray, least: int, wanted: np.ndarray) -> np.ndarray:
-    """Which of the positions with a place of ``least`` or more each wanted one is."""
-    return (np.cumsum(place >= least, dtype=np.int32) - 1)[wanted]
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
 
 @dataclass
@@ -79,115 +85,116 @@ class OrderTable:
     backoff: np.ndarray
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
+class ClassCounts:
+    """(Continuation) counts of one order in one class, with its contexts' totals and what backing off from them weighs."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, count: np.ndarray) -> None:
+        self.keys, first = np.unique(keyed(high, low), return_index=True)
+        self.count = count[first]
+        ones, twos = (self.count == 1).sum(), (self.count == 2).sum()
+        self.discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+        self.contexts, inverse = np.unique(keyed(*context(high[first], low[first])), return_inverse=True)
+        self.total = np.bincount(inverse, self.count, len(self.contexts))
+        self.spare = np.minimum(self.count, self.discount)
+        self.spare = np.bincount(inverse, self.spare, len(self.contexts)) / np.maximum(self.total, 1e-300)
 
+    def weights(self, contexts: np.ndarray) -> np.ndarray:
+        """What is left for the order below after each context: all of it after one that the class never has."""
+        at, has = _find(self.contexts, contexts)
+        return np.where(has, self.spare[at] if len(self.spare) else 1.0, 1.0)
 
-def _counts(codes: np.ndarray, place: np.ndarray, word: np.ndarray, weight: np.ndarray, order: int, top: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams of ``order``, their (continuation) counts, and their contexts, from the words with a positive weight."""
-    ends, grams = ending_grams(codes, place, order)
-    _, contexts = ending_grams(codes, place, order - 1)
-    contexts = contexts[at_places(place, order - 2, ends - 1)]
-    live = weight[word[ends]] > 0
-    ends, grams, contexts = ends[live], grams[live], contexts[live]
-    if not top:  # one for each different character before the gram
-        ahead = np.where(place[ends] >= order, codes[np.maximum(ends - order, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        _, first = np.unique(mix(grams ^ mix(ahead + np.uint64(7))), return_index=True)
-        ends, grams, contexts = ends[first], grams[first], contexts[first]
-    amount = weight[word[ends]] if top else np.ones(len(ends))
-    keys, first, inverse = np.unique(grams, return_index=True, return_inverse=True)
-    return keys, np.bincount(inverse, amount, len(keys)), contexts[first]
+    def probability(self, grams: np.ndarray, contexts: np.ndarray, below: np.ndarray) -> np.ndarray:
+        at, has = _find(self.keys, grams)
+        c, there = _find(self.contexts, contexts)
+        own = np.where(has & there, np.maximum(self.count[at] - self.discount, 0) / self.total[c], 0.0) if len(self.keys) else 0.0
+        return own + self.weights(contexts) * below
 
 
 class KneserNeyPair:
-    """A toxic and an ordinary interpolated Kneser-Ney model over the characters of words, with one shared model below both."""
+    """A toxic and an ordinary interpolated Kneser-Ney model over the characters of words, both upon one shared model.
 
-    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: dict[int, pd.DataFrame], class_orders: tuple[int, ...] = ORDERS) -> None:
+    Before a word's space stand empty places, so that every character has a gram of the highest order. ``shared(high, low, p)`` holds
+    the shared probability of each ``SHARED_ORDER``-gram of the words. The highest order has counts; those below count the different
+    characters before a gram, or, where it starts with the word and has none, its occurrences.
+    """
+
+    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: pd.DataFrame) -> None:
         codes, place, word = laid_out(words)
+        ends = np.flatnonzero(place > 0)
+        high, low = packed_grams(codes, place, ends, ORDERS[-1])
+        keys, first, inverse = np.unique(keyed(high, low), return_index=True, return_inverse=True)
+        high, low = high[first], low[first]
+        counts = [np.bincount(inverse, w[word[ends]], len(keys)) for w in (toxic, ordinary)]
+        below_high, below_low = last(high, low, SHARED_ORDER)
+        p = pd.DataFrame({"high": below_high, "low": below_low}).merge(shared, "left", ["high", "low"])["p"]
+        own = [p.fillna(1e-6).to_numpy(float)] * 2
         self.tables: dict[int, OrderTable] = {}
-        lower_keys, lower = self._base(codes, place, shared)
-        for order in sorted(ORDERS):
-            per_class = []
-            for weight in (toxic, ordinary) if order in class_orders else (toxic + ordinary,) * 2:
-                keys, count, context = _counts(codes, place, word, weight, order, order == max(ORDERS))
-                ones, twos = (count == 1).sum(), (count == 2).sum()
-                discount = min(0.95, ones / max(1, ones + 2 * twos)) if ones else 0.5
-                contexts, inverse = np.unique(context, return_inverse=True)
-                total = np.bincount(inverse, count, len(contexts))
-                kinds = np.bincount(inverse, minlength=len(contexts))
-                per_class.append((keys, count, contexts, total, np.minimum(1, discount * kinds / np.maximum(total, 1e-9)), discount))
-            ends, grams = ending_grams(codes, place, order)
-            union, first = np.unique(grams, return_index=True)
-            tails = ending_grams(codes, place, order - 1)
-            tail = tails[1][at_places(place, order - 2, ends[first])]
-            head = tails[1][at_places(place, order - 2, ends[first] - 1)]
-            factor = self._shared(codes, place, ends[first], order, shared) if order in shared else 1.0
-            del ends, grams, first, tails
-            at, _ = _find(lower_keys, tail)
-            own = []
-            for k, (keys, count, contexts, total, spare, discount) in enumerate(per_class):
-                g, has = _find(keys, union)
-                c, there = _find(contexts, head)
-                seen = np.where(has & there, np.maximum((count[g] if len(count) else 0) - discount, 0) / (total[c] if len(total) else 1), 0.0)
-                own.append(seen + np.where(there, spare[c] if len(spare) else 1.0, 1.0) * lower[k][at] * factor)
-            every = np.unique(np.concatenate([per_class[0][2], per_class[1][2]]))
-            weights = []
-            for _, _, contexts, _, spare, _ in per_class:
-                c, there = _find(contexts, every)
-                weights.append(np.where(there, spare[c] if len(spare) else 1.0, 1.0))
-            self.tables[order] = OrderTable(union, np.log(own[0] / own[1]).astype(np.float32), every, np.log(weights[0] / weights[1]).astype(np.float32))
-            lower_keys, lower = union, own
+        for order in ORDERS:
+            cut_high, cut_low = last(high, low, order)
+            grams, heads = keyed(cut_high, cut_low), keyed(*context(cut_high, cut_low))
+            models = [ClassCounts(*self._at_order(high, low, n, order)) for n in counts]
+            own = [m.probability(grams, heads, b) for m, b in zip(models, own, strict=True)]
+            contexts = np.unique(heads)
+            backoff = np.log(models[0].weights(contexts) / models[1].weights(contexts))
+            grams, at = np.unique(grams, return_index=True)
+            self.tables[order] = OrderTable(grams, np.log(own[0][at] / own[1][at]).astype(np.float32), contexts, backoff.astype(np.float32))
 
     @staticmethod
-    def _shared(codes: np.ndarray, place: np.ndarray, ends: np.ndarray, order: int, shared: dict[int, pd.DataFrame]) -> np.ndarray:
-        """What the shared model has for the ``order``-grams at ``ends``; 1 without it."""
-        high, low = packed_grams(codes, place, ends, order)
-        return pd.DataFrame({"high": high, "low": low}).merge(shared[order], "left", ["high", "low"])["value"].fillna(1.0).to_numpy(float)
-
-    @classmethod
-    def _base(cls, codes: np.ndarray, place: np.ndarray, shared: dict[int, pd.DataFrame]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Shared probabilities of the lowest grams, the same for both classes."""
-        ends, grams = ending_grams(codes, place, BASE_ORDER)
-        keys, first = np.unique(grams, return_index=True)
-        return keys, [cls._shared(codes, place, ends[first], BASE_ORDER, shared)] * 2
-
-    def log_ratios(self, words: list[str]) -> np.ndarray:
+    def _at_order(high: np.ndarray, low: np.ndarray, count: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        live = count > 0
+        high, low, count = high[live], low[live], count[live]
+        if order < ORDERS[-1]:
+            k = order - EACH - 1
+            starts = np.where(high >> (BITS * k) & ((1 << BITS) - 1) <= START, 1, 0).astype(bool)  # nothing before it: its own count
+            count = np.where(starts, count, 1.0)
+            high, low = last(high, low, order)
+        keys, first, inverse = np.unique(keyed(high, low), return_index=True, return_inverse=True)
+        return high[first], low[first], np.bincount(inverse, count, len(keys))
+
+    def log_ratios(self, words: list[str], block: int = 1 << 19) -> np.ndarray:
         """For each word, the toxic less the ordinary log-likelihood."""
         codes, place, word = laid_out(words)
-        value = np.zeros(len(codes))
-        known = np.zeros(len(codes), bool)
-        for order in sorted(self.tables, reverse=True):
-            t = self.tables[order]
-            ends, grams = ending_grams(codes, place, order)
-            open_ = ~known[ends]
-            ends, grams = ends[open_], grams[open_]
-            at, has = _find(t.grams, grams)
-            value[ends[has]] += t.ratio[at[has]]
-            known[ends[has]] = True
-            rest = ends[~has]
-            two, contexts = ending_grams(codes, place, order - 1)
-            context = contexts[np.searchsorted(two, rest - 1)]
-            at, has = _find(t.contexts, context)
-            value[rest[has]] += t.backoff[at[has]]
-        return np.bincount(word, value, len(words))
+        out = np.zeros(len(words))
+        every = np.flatnonzero(place > 0)
+        for a in range(0, len(every), block):
+            ends = every[a : a + block]
+            high, low = packed_grams(codes, place, ends, ORDERS[-1])
+            value, open_ = np.zeros(len(ends)), np.ones(len(ends), bool)
+            for order in reversed(ORDERS):
+                t = self.tables[order]
+                cut = last(high, low, order)
+                at, has = _find(t.grams, keyed(*cut))
+                now = open_ & has
+                value[now] += t.ratio[at[now]]
+                open_ &= ~has
+                at, has = _find(t.contexts, keyed(*context(*cut)))
+                now = open_ & has
+                value[now] += t.backoff[at[now]]
+            out += np.bincount(word[ends], value, len(words))
+        return out
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if isinstance(text, str) else []
 
 
-class DocumentScorer:
-    """Length-normalised log-likelihood ratios of documents, through a bounded cache of word values.
+def likeliest(values: np.ndarray, span: int) -> float:
+    """The greatest mean of ``span`` consecutive words' log-likelihood ratios; of all words if there are no more or ``span`` is 0."""
+    if not len(values):
+        return 0.0
+    if span == 0 or len(values) <= span:
+        return float(values.sum() / max(span, len(values)))
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    return float((sums[span:] - sums[:-span]).max() / span)
 
-    A word counts by what its log-likelihood ratio exceeds ``margin``: within it lie the words that both models hardly know or know
-    alike, and their sum over a long text would bury a few plain ones.
-    """
 
-    def __init__(self, model: KneserNeyPair, margin: float = 2.5, cached: int = 800_000) -> None:
-        self.model, self.margin, self.cached, self.known = model, margin, cached, {}
+class DocumentScorer:
+    """Length-normalised log-likelihood ratios of documents' likeliest toxic passages, through a bounded cache of word values."""
+
+    def __init__(self, model: KneserNeyPair, cached: int = 300_000) -> None:
+        self.model, self.cached, self.known = model, cached, {}
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def __call__(self, texts: list[str | None], spans: tuple[int, ...]) -> np.ndarray:
         split = [words_of(t) for t in texts]
         fresh = set().union(*split).difference(self.known)
         if fresh:
@@ -195,8 +202,9 @@ class DocumentScorer:
                 self.known.clear()
                 fresh = set().union(*split)
             order = list(fresh)
-            self.known.update(zip(order, np.maximum(self.model.log_ratios(order) - self.margin, 0).tolist(), strict=True))
-        return np.array([sum(map(self.known.__getitem__, w)) / max(len(w), 1) for w in split])
+            self.known.update(zip(order, self.model.log_ratios(order).tolist(), strict=True))
+        values = [np.fromiter(map(self.known.__getitem__, w), float, len(w)) for w in split]
+        return np.array([[likeliest(v, s) for s in spans] for v in values]).reshape(-1, len(spans))
 
 
 def shared_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
@@ -215,7 +223,7 @@ def shared_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
                     words.clear()
         yield packed_counts(words)
 
-    return docs.select("text").mapInPandas(run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
+    return mapped(docs.select("text"), run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
 
 
 def _cut(order: int, prefix: str = "") -> list[Column]:
@@ -224,31 +232,35 @@ def _cut(order: int, prefix: str = "") -> list[Column]:
     return [F.col(name).bitwiseAND(F.lit(mask)).alias(prefix + name) for name, mask in masks.items()]
 
 
-def shared_model(docs: DataFrame, fit: DataFrame) -> dict[int, pd.DataFrame]:
-    """``(high, low, value)`` by order for each gram that the words of ``fit(text)`` hold, from the counts of all ``docs``.
+def shared_model(docs: DataFrame, fit: DataFrame) -> pd.DataFrame:
+    """``(high, low, p)``: the shared Kneser-Ney probability of each ``SHARED_ORDER``-gram that the words of ``fit(text)`` hold.
 
-    For ``BASE_ORDER`` the value is the shared probability, for an order from ``BASE_ORDER`` + 2 on what the longer context multiplies
-    it by. Higher orders are discounted and interpolated with the one below. Counts of lower orders and of contexts are sums over the
-    whole table; only the grams of ``fit`` are carried through the joins and reach the driver.
+    The highest order has the counts of all ``docs``, those below the numbers of different characters before a gram (a gram that
+    starts a word, before which there is nothing, its count); each is discounted and interpolated with the one below. Counts and
+    their contexts' totals are made over the whole table; only the grams of ``fit`` are carried through the joins and reach the driver.
     """
     every, wanted = written(shared_counts(docs)), written(shared_counts(fit).select("high", "low"))
-    out, below = {}, None
-    for order in range(BASE_ORDER, SHARED_ORDER + 1):
-        counts = every.groupBy(*_cut(order)).agg(F.sum("n").alias("n"))
+    counts, tables = every, {}
+    for order in range(SHARED_ORDER, 0, -1):
+        if order < SHARED_ORDER:
+            cut = counts.select(*_cut(order), "n")
+            name, k = ("high", order - EACH - 1) if order > EACH else ("low", order - 1)
+            starts = F.shiftright(name, BITS * k).bitwiseAND(F.lit((1 << BITS) - 1)) <= START if order > 1 else F.lit(False)
+            counts = cut.groupBy("high", "low").agg(F.sum(F.when(starts, F.col("n")).otherwise(1)).alias("n"))
+        tables[order] = counts = written(counts)
+    below = None
+    for order in range(1, SHARED_ORDER + 1):
         before = [F.col("high").alias("before_high"), F.col("low").bitwiseAND(F.lit(~((1 << BITS) - 1))).alias("before_low")]
-        contexts = counts.groupBy(*before).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        own = counts.join(wanted.select(*_cut(order)).distinct(), ["high", "low"]).select("high", "low", "n", *before, *_cut(order - 1, "tail_"))
+        contexts = tables[order].groupBy(*before).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        own = tables[order].join(wanted.select(*_cut(order)).distinct(), ["high", "low"]).select("high", "low", "n", *before, *_cut(order - 1, "tail_"))
         own = own.join(contexts, ["before_high", "before_low"])
         if below is None:
-            own = own.withColumn("p", F.least(F.lit(1.0), (F.col("n") + 0.01) / (F.col("total") + 10.0))).withColumn("value", F.col("p"))
+            own = own.withColumn("p", F.col("n") / F.col("total"))
         else:
             own = own.join(below, ["tail_high", "tail_low"]).withColumn("p", (F.col("n") - DISCOUNT + DISCOUNT * F.col("kinds") * F.col("q")) / F.col("total"))
-            own = own.withColumn("value", F.col("p") / F.col("q"))
-        own = written(own.select("high", "low", "p", "value"))
+        own = written(own.select("high", "low", "p"))
         below = own.select(F.col("high").alias("tail_high"), F.col("low").alias("tail_low"), F.col("p").alias("q"))
-        if order != BASE_ORDER + 1:
-            out[order] = own.select("high", "low", "value").toPandas()
-    return out
+    return own.toPandas()
 
 
 @dataclass
@@ -256,6 +268,7 @@ class ToxicityModel:
     pair: KneserNeyPair
     slope: float
     offset: float
+    span: int = 0
 
     def probability(self, value: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30)))
@@ -274,11 +287,19 @@ def logistic(value: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: i
     return float(b[0] / sd), float(b[1] - b[0] * mean / sd)
 
 
+def ranks_above(value: np.ndarray, label: np.ndarray) -> float:
+    """The chance that a row of label 1 has a greater value than one of label 0 (ties half): the area under the curve."""
+    order = pd.Series(value).rank().to_numpy()
+    ones = int(label.sum())
+    return float((order[label == 1].sum() - ones * (ones + 1) / 2) / max(1, ones * (len(label) - ones)))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> ToxicityModel:
     """Fits on rows of ``labels(doc_id, toxic)``; shared counts come from every row of ``docs``.
 
     Of each class at most ``max_rows`` labelled documents, those with the smallest hashed doc_id, are used: three quarters for the
-    class models, the others for the logistic curve from length-normalised log-likelihood ratio to probability. A row of the
+    class models, the others for the width of the passages (of ``SPANS`` the one that tells the classes apart best) and for the
+    logistic curve from length-normalised log-likelihood ratio to probability. A row of the
     curve weighs as many labelled documents of its class as it stands for, so that the cut does not change the classes' shares. Only
     ids, word counts and ratios reach the driver, so its memory is bounded by ``max_rows``. Null labels and texts are left out; of rows that
     repeat a doc_id the smallest text and label count. Without a document of both classes every score is 0.
@@ -296,12 +317,28 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> To
     pair = KneserNeyPair(*word_counts(fit), shared_model(docs, fit))
     if len({toxic for toxic, _ in kinds}) < 2:
         return ToxicityModel(pair, 0.0, -30.0)
-    plain = ToxicityModel(pair, 1.0, 0.0)
-    held = score_toxicity((taken.where("not fit") if split else taken).select("toxic", "text"), plain, "value", raw=True).select("value", "toxic").toPandas()
-    held = held.sort_values(["value", "toxic"])
+    held = _values((taken.where("not fit") if split else taken).select("toxic", "text"), pair).toPandas()
+    value = np.array(held["values"].tolist(), float).reshape(-1, len(SPANS))
     label = held["toxic"].to_numpy(np.int64)
+    best = max(range(len(SPANS)), key=lambda k: (round(ranks_above(value[:, k], label), 9), -k))
+    order = np.lexsort((label, value[:, best]))
+    value, label = value[order, best], label[order]
     stands_for = np.array([counts.get(k, 0) / max(1, sum(r[1] == k for r in ids)) for k in (0, 1)])
-    return ToxicityModel(pair, *logistic(held["value"].to_numpy(), label, stands_for[label]))
+    return ToxicityModel(pair, *logistic(value, label, stands_for[label]), SPANS[best])
+
+
+def _values(docs: DataFrame, pair: KneserNeyPair) -> DataFrame:
+    """``(toxic, values)``: a text's value for each width of passages."""
+    shipped = docs.sparkSession.sparkContext.broadcast(pair)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = DocumentScorer(shipped.value)
+        for pdf in frames:
+            texts = pdf["text"].tolist()
+            for k in range(0, len(texts), 256):
+                yield pd.DataFrame({"toxic": pdf["toxic"].iloc[k : k + 256], "values": list(score(texts[k : k + 256], SPANS))})
+
+    return mapped(docs.select("toxic", "text"), run, "toxic int, values array<double>")
 
 
 def word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -315,20 +352,19 @@ def word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
                     counts.setdefault(w, [0, 0])[1 - label] += 1
         yield pd.DataFrame([(w, *c) for w, c in counts.items()], columns=["word", "toxic", "ordinary"])
 
-    sums = docs.select("text", "toxic").mapInPandas(run, "word string, toxic long, ordinary long")
+    sums = mapped(docs.select("text", "toxic"), run, "word string, toxic long, ordinary long")
     rows = sums.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas().sort_values("word")
     if not len(rows):
         return [""], np.zeros(1), np.zeros(1)
     return rows["word"].tolist(), rows["toxic"].to_numpy(float), rows["ordinary"].to_numpy(float)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score", raw: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
     """Adds ``column``, the probability of toxicity of each whole text, to ``docs``; null and empty texts count as no words.
 
-    With ``raw`` it is the length-normalised log-likelihood ratio instead.
-
-    The model (bounded by the rows it was fitted on) is broadcast once. A column of the same name is replaced; repeated rows get
-    equal scores; an empty table stays empty.
+    The value of a text is the greatest difference of the two models' log-likelihoods, by word, over its passages of the model's
+    width: a long text is as toxic as its most toxic passage. The model (bounded by the rows it was fitted on) is broadcast once. A
+    column of the same name is replaced; repeated rows get equal scores; an empty table stays empty.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != column]
@@ -338,11 +374,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score",
         score = DocumentScorer(m.pair)
         for pdf in frames:
             texts = pdf["text"].tolist()
-            value = np.concatenate([score(texts[k : k + 256]) for k in range(0, len(texts), 256)]) if texts else np.zeros(0)
-            yield pdf.assign(**{column: value if raw else m.probability(value)})
+            value = np.concatenate([score(texts[k : k + 256], (m.span,))[:, 0] for k in range(0, len(texts), 256)]) if texts else np.zeros(0)
+            yield pdf.assign(**{column: m.probability(value)})
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*rest).dtypes) + f", `{column}` double"
-    return docs.select(*rest).mapInPandas(run, schema)
+    return mapped(docs.select(*rest), run, schema)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:

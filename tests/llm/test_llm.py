@@ -171,18 +171,45 @@ def test_jaccard_join(spark):
         assert (got[a].n_links, got[a].class_id, got[a].kept) == (len(links[a]), min(reach), a == min(reach))
 
 
-def test_metric_join(spark):
+def reachable(links):
+    """The members of each node's component."""
+    out = {}
+    for a in links:
+        reach, todo = {a}, [a]
+        while todo:
+            new = links[todo.pop()] - reach
+            reach |= new
+            todo += new
+        out[a] = reach
+    return out
+
+
+@pytest.mark.parametrize("chunk_rows", [None, 4, 16])
+def test_metric_join(spark, chunk_rows):
     r = np.random.RandomState(0)
     x = r.randn(60, 8)
-    x = np.vstack([x, x[:30] + 0.05 * r.randn(30, 8), x[:5]])
-    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)] + [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] + [1.0] * 7, 1), (203, [None] + [1.0] * 7, 1), (204, [1.0] * 3, 1)]
+    hot = x[7] + 0.02 * r.randn(40, 8)
+    chain = np.stack([np.cos(np.arange(12) * 0.3), np.sin(np.arange(12) * 0.3), *np.zeros((6, 12))], 1)
+    x = np.vstack([x, x[:30] + 0.05 * r.randn(30, 8), x[:5], hot, chain])
+    vectors = {k: v for k, v in enumerate(x)}
+    vectors |= {300: np.array([1.0, 0.0, 0.0]), 301: np.array([1.0, 0.01, 0.0]), 302: np.array([3.0, 4.0]), 303: np.array([1e200, 1e200, 0]), 304: np.array([1.0, 1.0, 0.01])}
+    odd = [(200, None), (201, [0.0] * 8), (202, [float("nan")] + [1.0] * 7), (203, [None] + [1.0] * 7), (204, [])]
+    rows = [(k, v.tolist(), 1) for k, v in vectors.items()] + [(k, v, 1) for k, v in odd]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")
-    got = {g.vec_id: g for g in metric_join.metric_join(df, cell_rows=16).collect()}
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hit = u @ u.T >= 0.95
-    np.fill_diagonal(hit, False)
-    assert len(got) == len(rows) and all(got[k].n_links == hit[k].sum() for k in range(len(x)))
-    assert all(got[k].n_links == 0 and got[k].kept for k in range(200, 205))
+    got = {g.vec_id: g for g in metric_join.metric_join(df, chunk_rows=chunk_rows).collect()}
+    unit = {k: v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for k, v in vectors.items()}
+    links = {a: {b for b in unit if a != b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95} for a in unit}
+    assert len(got) == len(rows) and max(map(len, links.values())) > 35
+    for a, reach in reachable(links).items():
+        assert (got[a].n_links, got[a].component_id, got[a].kept) == (len(links[a]), min(reach), a == min(reach))
+    assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k in range(200, 205))
+
+
+def test_metric_join_of_repeated_ids(spark):
+    """Rows that repeat a vec_id are vectors of their own; rows without one take part."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (None, [1.0, 0.0]), (None, [-1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
+    got = metric_join.metric_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter((g.vec_id, g.n_links, g.component_id, g.kept) for g in got) == Counter([(1, 3, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 3, 1, False), (None, 0, None, True), (3, 3, 1, False), (3, 3, 1, False)])
 
 
 def test_leaks(spark):
@@ -239,8 +266,40 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
 
 
+def kneser_ney(counts, top, discounts, below=None, low=0):
+    """Brute-force interpolated Kneser-Ney over words with counts: ``p(gram)`` for grams, as strings padded with 0, of up to ``top``."""
+    grams = {top: Counter()}
+    for w, n in counts.items():
+        s = "\0" * top + f" {w} "
+        for end in range(top + 2, len(s) + 1):
+            grams[top][s[end - top : end]] += n
+    for k in range(top - 1, low, -1):
+        kinds = {g[-(k + 1) :] for g in grams[k + 1]}
+        grams[k] = Counter()
+        for g in kinds:
+            starts = k > 1 and g[1] in "\0 "
+            grams[k][g[1:]] += grams[k + 1][g] if starts else 1
+    for k in range(top - 1, low, -1):  # a gram that starts a word has one predecessor, whose own count it takes
+        assert sum(grams[k].values()) > 0
+
+    def p(gram):
+        k = len(gram)
+        if k == low:
+            return below(gram) if below else None
+        after = {g: n for g, n in grams[k].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        d = discounts(k, grams[k]) if k > 1 or below else 0.0
+        own = max(grams[k].get(gram, 0) - d, 0) / sum(after.values())
+        if not d:
+            return own
+        return own + sum(min(n, d) for n in after.values()) / sum(after.values()) * p(gram[1:])
+
+    return p
+
+
 def test_shared_counts(spark):
-    """Counts of all documents are exact, also with more different grams than any fixed table holds, and reach the model."""
+    """Counts of all documents are exact, also with more different grams than any fixed table holds."""
     r = random.Random(9)
     texts = [" ".join("".join(chr(r.randrange(0x4E00, 0x9FA0)) for _ in range(5)) for _ in range(60)) for _ in range(300)] + ["ab abc \U0010ffff", "Ab\nabc", None, ""]
     docs = docs_of(spark, list(enumerate(texts)))
@@ -252,11 +311,50 @@ def test_shared_counts(spark):
             want[code >> 63, code & (1 << 63) - 1] += 1
     got = {(x.high, x.low): x.n for x in toxicity.shared_counts(docs, held=1000).collect()}
     assert got == want and len(want) > 1 << 16
-    model = toxicity.shared_model(docs, docs.where("doc_id >= 300"))
-    pairs = Counter(w[k : k + 2] for w in (f" {x} " for t in texts if t for x in t.lower().split()) for k in range(len(w) - 1))
-    after = sum(n for g, n in pairs.items() if g[0] == "a")
-    own = {x.low: x.value for x in model[2].itertuples()}
-    assert order >= 3 and own[(ord("a") + 1 << 21) + ord("b") + 1] == pytest.approx((pairs["ab"] + 0.01) / (after + 10.0))
+
+
+def test_kneser_ney_against_brute_force(spark):
+    """The shared probabilities and both class models' log ratios, on a toy corpus."""
+    r = random.Random(4)
+    texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 7))) for _ in range(30)) for _ in range(12)]
+    docs = docs_of(spark, list(enumerate(texts)))
+    fit = docs.where("doc_id < 6")
+    shared = toxicity.shared_model(docs, fit)
+    words = Counter(w for t in texts for w in t.split())
+    top = toxicity.SHARED_ORDER
+    below = kneser_ney(words, top, lambda k, _: toxicity.DISCOUNT)
+    fit_words = Counter(w for t in texts[:6] for w in t.split())
+
+    def grams(word, k):
+        s = "\0" * k + f" {word} "
+        return [s[end - k : end] for end in range(k + 2, len(s) + 1)]
+
+    def packed(gram):
+        code = sum(((ord(c) + 1) if c != "\0" else 0) << 21 * k for k, c in enumerate(reversed(gram)))
+        return code >> 63, code & (1 << 63) - 1
+
+    got = {(x.high, x.low): x.p for x in shared.itertuples()}
+    wanted = {g for w in fit_words for g in grams(w, top)}
+    assert got.keys() == {packed(g) for g in wanted} and all(got[packed(g)] == pytest.approx(below(g)) for g in wanted)
+    assert sum(below(" ab" + c) for c in "abc ") == pytest.approx(1)
+    classes = [Counter(w for t in part for w in t.split()) for part in (texts[:3], texts[3:6])]
+
+    def discounts(k, counts):
+        ones, twos = (sum(n == x for n in counts.values()) for x in (1, 2))
+        return min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+
+    models = [kneser_ney(c, toxicity.ORDERS[-1], discounts, below, top) for c in classes]
+    every = sorted(fit_words)
+    pair = toxicity.KneserNeyPair(every, *(np.array([c[w] for w in every], float) for c in classes), shared)
+    seen = [w for w in every if all(g in wanted for g in grams(w, top))]
+    want = [sum(np.log(models[0](g) / models[1](g)) for g in grams(w, toxicity.ORDERS[-1])) for w in seen]
+    assert np.allclose(pair.log_ratios(seen), want, atol=1e-4)
+
+
+def test_passages():
+    value = np.array([1.0, -1.0, 3.0, 3.0, -5.0])
+    assert toxicity.likeliest(value, 2) == 3.0 and toxicity.likeliest(value, 0) == pytest.approx(0.2) and toxicity.likeliest(value[:0], 2) == 0.0
+    assert toxicity.likeliest(value[:1], 2) == 0.5
 
 
 def test_toxicity_keeps_class_shares(spark, monkeypatch):
@@ -290,6 +388,46 @@ def test_html(spark):
     assert got[1] == "A &amp; B\none two\nthree" and got[2] == got[3] == ""
 
 
+#: Pages in hand-written markup with their main text.
+PAGES = [
+    ("<html><head><title>x</title><p>lost text</p></html>", "lost text"),
+    ("<html><head><title>x</title>bare text", "bare text"),
+    ("<title>t</title><meta charset=utf-8><article><h1>One</h1><p>two</article>", "One\ntwo"),
+    ("<body><article><p>a<template><p>never</p></template> b</p><p>c</p></article></body>", "a b\nc"),
+    ("<body><main><p>a<noscript><p>never</p></noscript> b</p></main></body>", "a b"),
+    ("<body><article><p>See <svg><text>drawn</text></svg> this figure of words</p><svg><path><p>after the drawing</p></article></body>", "See this figure of words\nafter the drawing"),
+    ("<nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav><article><h1>Tides</h1><p>The sea rises twice a day.</p><ul><li>spring<li>neap</ul></article><footer>&copy; 2020</footer>", "Tides\nThe sea rises twice a day.\nspring\nneap"),
+    ("<div class=cookie-banner><p>We use cookies.</p><button>OK</button></div><main><h1>Bread</h1><p>Flour &amp; water,\n salt.</p></main>", "Bread\nFlour & water, salt."),
+    ("<header><div>The Daily</div></header><div class=sidebar><ul><li><a href=#>More</a></ul></div><article><h2>Rain</h2><p>It rained.</p></article>", "Rain\nIt rained."),
+    ("<article><h1>Owls</h1><p>Owls hunt at night.</p></article><section class=comments><h3>Comments</h3><div class=comment><span>Ann</span><p>Nice owls!</p></div></section>", "Owls\nOwls hunt at night."),
+    ("<article><p>First part.</p><div class=ad>Buy now</div><p>Second part.</p></article>", "First part.\nSecond part."),
+    ("<form><label>Mail</label><input><button>Send</button></form><article><p>Body of it.</p></article><aside><h3>Related</h3><ul><li><a href=#>Other</a></ul></aside>", "Body of it."),
+    ("<article><h1>T</h1><table><tr><td>a<td>b<tr><td>c<td>d</table><blockquote>said so</blockquote></article><footer><p>imprint</p></footer>", "T\na\nb\nc\nd\nsaid so"),
+    ("<div id=content><h1>Plain</h1><p>One.</p><p>Two &#8211; three&hellip;</p></div><div class=footer><p>All rights</p></div>", "Plain\nOne.\nTwo \u2013 three\u2026"),
+]
+
+
+def test_html_pages(spark):
+    rows = [(k, "u", html) for k, (html, _) in enumerate(PAGES)] * 2 + [(None, None, PAGES[0][0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, text int")
+    got = [(r.page_id, r.text) for r in html_extraction.extract_main_text(df).collect()]
+    assert sorted(g for g in got if g[0] is not None) == sorted([(k, t) for k, (_, t) in enumerate(PAGES)] * 2) and (None, PAGES[0][1]) in got
+    assert html_extraction.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_html_of_a_very_long_page():
+    html = "<article>" + "<p>some words here</p>" * 30_000 + "</article>"
+    assert html_extraction.main_texts(["<p>x", html, None], html_extraction.labeller())[1].count("\n") == 29_999
+
+
+def test_labels_do_not_depend_on_the_batch():
+    model = html_extraction.labeller()
+    pages = [p for p in (html_blocks.PageMaker(s).page()[0] for s in range(8_000_000, 8_000_012)) if p]
+    alone = [model.chances([html_extraction.features(p)])[0] for p in pages]
+    for a, b in zip(alone, model.chances([html_extraction.features(p) for p in pages]), strict=True):
+        assert np.allclose(a, b)
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [(1, "a")]).limit(0)
     assert substring_dedup.substring_dedup(none).count() == suffix_dedup.suffix_dedup(none).count() == jaccard_join.jaccard_join(none).count() == 0
