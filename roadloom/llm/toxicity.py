@@ -58,16 +58,16 @@ def keyed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return mix(mix(high.view(np.uint64)) ^ low.view(np.uint64))
 
 
-def packed_counts(words: dict[str, int]) -> pd.DataFrame:
-    """Sums of the counts of ``words`` by the grams they hold, one at each character after the first space."""
-    codes, place, word = laid_out(list(words))
+def packed_counts(words: list[str], amounts: dict[str, np.ndarray], order: int) -> pd.DataFrame:
+    """Sums of the ``amounts`` of ``words`` by the ``order``-grams they hold, one at each character after the first space."""
+    codes, place, word = laid_out(words)
     ends = np.flatnonzero(place > 0)
-    high, low = packed_grams(codes, place, ends, SHARED_ORDER)
-    amount = np.fromiter(words.values(), np.int64, len(words))[word[ends]]
-    order = np.lexsort((low, high))
-    high, low, amount = high[order], low[order], amount[order]
+    high, low = packed_grams(codes, place, ends, order)
+    by = np.lexsort((low, high))
+    high, low, word = high[by], low[by], word[ends[by]]
     starts = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(high) else np.zeros(0, np.int64)
-    return pd.DataFrame({"high": high[starts], "low": low[starts], "n": np.add.reduceat(amount, starts) if len(starts) else amount})
+    sums = {name: np.add.reduceat(n[word], starts) if len(starts) else n[:0] for name, n in amounts.items()}
+    return pd.DataFrame({"high": high[starts], "low": low[starts], **sums})
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,31 +113,30 @@ class ClassCounts:
 class KneserNeyPair:
     """A toxic and an ordinary interpolated Kneser-Ney model over the characters of words, both upon one shared model.
 
-    Before a word's space stand empty places, so that every character has a gram of the highest order. ``shared(high, low, p)`` holds
-    the shared probability of each ``SHARED_ORDER``-gram of the words. The highest order has counts; those below count the different
-    characters before a gram, or, where it starts with the word and has none, its occurrences.
+    Before a word's space stand empty places, so that every character has a gram of the highest order. ``grams(high, low, toxic,
+    ordinary)`` are those with their counts, ``shared(high, low, p)`` holds the shared probability of each ``SHARED_ORDER``-gram that
+    ends one. The highest order has counts; those below count the different characters before a gram, or, where it starts with the
+    word and has none, its occurrences.
     """
 
-    def __init__(self, words: list[str], toxic: np.ndarray, ordinary: np.ndarray, shared: pd.DataFrame) -> None:
-        codes, place, word = laid_out(words)
-        ends = np.flatnonzero(place > 0)
-        high, low = packed_grams(codes, place, ends, ORDERS[-1])
-        keys, first, inverse = np.unique(keyed(high, low), return_index=True, return_inverse=True)
-        high, low = high[first], low[first]
-        counts = [np.bincount(inverse, w[word[ends]], len(keys)) for w in (toxic, ordinary)]
-        below_high, below_low = last(high, low, SHARED_ORDER)
-        p = pd.DataFrame({"high": below_high, "low": below_low}).merge(shared, "left", ["high", "low"])["p"]
-        own = [p.fillna(1e-6).to_numpy(float)] * 2
+    def __init__(self, grams: pd.DataFrame, shared: pd.DataFrame) -> None:
+        high, low = (grams[c].to_numpy(np.int64) for c in ("high", "low"))
+        known = keyed(*(shared[c].to_numpy(np.int64) for c in ("high", "low")))
+        by = np.argsort(known)
+        at, has = _find(known[by], keyed(*last(high, low, SHARED_ORDER)))
+        p = shared["p"].to_numpy(float)[by]
+        own = [np.where(has, p[at] if len(p) else 1.0, 1e-6)] * 2
+        del known, by, at, has
         self.tables: dict[int, OrderTable] = {}
         for order in ORDERS:
-            cut_high, cut_low = last(high, low, order)
-            grams, heads = keyed(cut_high, cut_low), keyed(*context(cut_high, cut_low))
-            models = [ClassCounts(*self._at_order(high, low, n, order)) for n in counts]
-            own = [m.probability(grams, heads, b) for m, b in zip(models, own, strict=True)]
-            contexts = np.unique(heads)
-            backoff = np.log(models[0].weights(contexts) / models[1].weights(contexts))
-            grams, at = np.unique(grams, return_index=True)
-            self.tables[order] = OrderTable(grams, np.log(own[0][at] / own[1][at]).astype(np.float32), contexts, backoff.astype(np.float32))
+            cut = last(high, low, order)
+            names, heads = keyed(*cut), keyed(*context(*cut))
+            models = [ClassCounts(*self._at_order(high, low, grams[c].to_numpy(float), order)) for c in ("toxic", "ordinary")]
+            own = [m.probability(names, heads, b) for m, b in zip(models, own, strict=True)]
+            heads = np.unique(heads)
+            backoff = np.log(models[0].weights(heads) / models[1].weights(heads)).astype(np.float32)
+            names, at = np.unique(names, return_index=True)
+            self.tables[order] = OrderTable(names, np.log(own[0][at] / own[1][at]).astype(np.float32), heads, backoff)
 
     @staticmethod
     def _at_order(high: np.ndarray, low: np.ndarray, count: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +206,7 @@ class DocumentScorer:
         return np.array([[likeliest(v, s) for s in spans] for v in values]).reshape(-1, len(spans))
 
 
-def shared_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
+def shared_counts(docs: DataFrame, held: int = 100_000) -> DataFrame:
     """``(high, low, n)``: how often all documents have each ``SHARED_ORDER``-gram of characters, exactly, as a table keyed by the gram.
 
     A task counts words, ``held`` different ones at a time, and gives out the sums by gram.
@@ -215,32 +214,59 @@ def shared_counts(docs: DataFrame, held: int = 200_000) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter[str] = Counter()
+
+        def sums() -> pd.DataFrame:
+            return packed_counts(list(words), {"n": np.fromiter(words.values(), np.int64, len(words))}, SHARED_ORDER)
+
         for pdf in frames:
             for text in pdf["text"]:
                 words.update(words_of(text))
                 if len(words) >= held:
-                    yield packed_counts(words)
+                    yield sums()
                     words.clear()
-        yield packed_counts(words)
+        yield sums()
 
     return mapped(docs.select("text"), run, "high long, low long, n long").groupBy("high", "low").agg(F.sum("n").alias("n"))
 
 
+def class_grams(docs: DataFrame, held: int = 100_000) -> DataFrame:
+    """``(high, low, toxic, ordinary)``: how often toxic and ordinary ones of ``docs(text, toxic)`` have each gram of the highest order."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: dict[str, list[int]] = {}
+
+        def sums() -> pd.DataFrame:
+            counts = np.array(list(words.values()), np.int64).reshape(-1, 2)
+            return packed_counts(list(words), {"toxic": counts[:, 0], "ordinary": counts[:, 1]}, ORDERS[-1])
+
+        for pdf in frames:
+            for text, label in zip(pdf["text"], pdf["toxic"].tolist(), strict=True):
+                for w in words_of(text):
+                    words.setdefault(w, [0, 0])[1 - label] += 1
+                if len(words) >= held:
+                    yield sums()
+                    words.clear()
+        yield sums()
+
+    sums = mapped(docs.select("text", "toxic"), run, "high long, low long, toxic long, ordinary long")
+    return sums.groupBy("high", "low").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
 def _cut(order: int, prefix: str = "") -> list[Column]:
     """The last ``order`` characters of packed grams."""
     masks = {"high": (1 << BITS * max(order - EACH, 0)) - 1, "low": (1 << BITS * min(order, EACH)) - 1}
     return [F.col(name).bitwiseAND(F.lit(mask)).alias(prefix + name) for name, mask in masks.items()]
 
 
-def shared_model(docs: DataFrame, fit: DataFrame) -> pd.DataFrame:
-    """``(high, low, p)``: the shared Kneser-Ney probability of each ``SHARED_ORDER``-gram that the words of ``fit(text)`` hold.
+def shared_model(docs: DataFrame, grams: DataFrame) -> pd.DataFrame:
+    """``(high, low, p)``: the shared Kneser-Ney probability of each ``SHARED_ORDER``-gram that ends one of ``grams(high, low)``.
 
     The highest order has the counts of all ``docs``, those below the numbers of different characters before a gram (a gram that
     starts a word, before which there is nothing, its count); each is discounted and interpolated with the one below. Counts and
-    their contexts' totals are made over the whole table; only the grams of ``fit`` are carried through the joins and reach the driver.
+    their contexts' totals are made over the whole table; only what ``grams`` need is carried through the joins and reaches the driver.
     """
-    every, wanted = written(shared_counts(docs)), written(shared_counts(fit).select("high", "low"))
-    counts, tables = every, {}
+    counts, wanted = shared_counts(docs), written(grams.select(*_cut(SHARED_ORDER)).distinct())
+    tables = {}
     for order in range(SHARED_ORDER, 0, -1):
         if order < SHARED_ORDER:
             cut = counts.select(*_cut(order), "n")
@@ -298,10 +324,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> To
     """Fits on rows of ``labels(doc_id, toxic)``; shared counts come from every row of ``docs``.
 
     Of each class at most ``max_rows`` labelled documents, those with the smallest hashed doc_id, are used: three quarters for the
-    class models, the others for the width of the passages (of ``SPANS`` the one that tells the classes apart best) and for the
+    class models' grams, the others for the width of the passages (of ``SPANS`` the one that tells the classes apart best) and for the
     logistic curve from length-normalised log-likelihood ratio to probability. A row of the
     curve weighs as many labelled documents of its class as it stands for, so that the cut does not change the classes' shares. Only
-    ids, word counts and ratios reach the driver, so its memory is bounded by ``max_rows``. Null labels and texts are left out; of rows that
+    ids, grams of these rows with their counts and ratios reach the driver, so its memory is bounded by ``max_rows``. Null labels and texts are left out; of rows that
     repeat a doc_id the smallest text and label count. Without a document of both classes every score is 0.
     """
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.min(F.col("toxic").cast("int")).alias("toxic"))
@@ -314,7 +340,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 3000) -> To
     kinds = {(r["toxic"], r["fit"]) for r in taken.select("toxic", "fit").distinct().collect()}
     split = len(kinds) == 4
     fit = taken.where("fit") if split else taken
-    pair = KneserNeyPair(*word_counts(fit), shared_model(docs, fit))
+    grams = written(class_grams(fit))
+    shared = shared_model(docs, grams)
+    pair = KneserNeyPair(grams.toPandas(), shared)
+    del shared
     if len({toxic for toxic, _ in kinds}) < 2:
         return ToxicityModel(pair, 0.0, -30.0)
     held = _values((taken.where("not fit") if split else taken).select("toxic", "text"), pair).toPandas()
@@ -341,24 +370,6 @@ def _values(docs: DataFrame, pair: KneserNeyPair) -> DataFrame:
     return mapped(docs.select("toxic", "text"), run, "toxic int, values array<double>")
 
 
-def word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The words of ``docs(text, toxic)`` with how often toxic and ordinary ones have them, counted where the rows are."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[str, list[int]] = {}
-        for pdf in frames:
-            for text, label in zip(pdf["text"], pdf["toxic"].tolist(), strict=True):
-                for w in words_of(text):
-                    counts.setdefault(w, [0, 0])[1 - label] += 1
-        yield pd.DataFrame([(w, *c) for w, c in counts.items()], columns=["word", "toxic", "ordinary"])
-
-    sums = mapped(docs.select("text", "toxic"), run, "word string, toxic long, ordinary long")
-    rows = sums.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas().sort_values("word")
-    if not len(rows):
-        return [""], np.zeros(1), np.zeros(1)
-    return rows["word"].tolist(), rows["toxic"].to_numpy(float), rows["ordinary"].to_numpy(float)
-
-
 def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
     """Adds ``column``, the probability of toxicity of each whole text, to ``docs``; null and empty texts count as no words.
 

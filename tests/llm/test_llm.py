@@ -318,8 +318,9 @@ def test_kneser_ney_against_brute_force(spark):
     r = random.Random(4)
     texts = [" ".join("".join(r.choice("abc") for _ in range(r.randint(1, 7))) for _ in range(30)) for _ in range(12)]
     docs = docs_of(spark, list(enumerate(texts)))
-    fit = docs.where("doc_id < 6")
-    shared = toxicity.shared_model(docs, fit)
+    fit = docs.where("doc_id < 6").select("text", (F.col("doc_id") < 3).cast("int").alias("toxic"))
+    table = toxicity.class_grams(fit, held=20)
+    shared = toxicity.shared_model(docs, table)
     words = Counter(w for t in texts for w in t.split())
     top = toxicity.SHARED_ORDER
     below = kneser_ney(words, top, lambda k, _: toxicity.DISCOUNT)
@@ -345,7 +346,7 @@ def test_kneser_ney_against_brute_force(spark):
 
     models = [kneser_ney(c, toxicity.ORDERS[-1], discounts, below, top) for c in classes]
     every = sorted(fit_words)
-    pair = toxicity.KneserNeyPair(every, *(np.array([c[w] for w in every], float) for c in classes), shared)
+    pair = toxicity.KneserNeyPair(table.toPandas(), shared)
     seen = [w for w in every if all(g in wanted for g in grams(w, top))]
     want = [sum(np.log(models[0](g) / models[1](g)) for g in grams(w, toxicity.ORDERS[-1])) for w in seen]
     assert np.allclose(pair.log_ratios(seen), want, atol=1e-4)
