@@ -108,7 +108,7 @@ class Forest:
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; the component is its smallest node.
 
-    Alternates large-star and small-star steps until nothing changes, each round written to the shared folder. Hot nodes meet
+    Alternates large-star and small-star steps until nothing changes, each step's edges written to the shared folder. Hot nodes meet
     their minimum in partially aggregated groups and their neighbours in plain joins, which adaptive execution can split.
     """
     now = written(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi").distinct())
@@ -116,11 +116,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         # large star: every node sends its larger neighbours to the smallest node around it
         around = now.select(F.col("hi").alias("x"), F.col("lo").alias("y")).unionAll(now.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
-        least = written(around.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
+        least = around.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = around.where("y > x").join(least, "x").select(F.col("m").alias("lo"), F.col("y").alias("hi"))
         large = written(large.where("lo < hi").distinct())
         # small star: every node links its smaller neighbours and itself to the smallest of them
-        least = written(large.groupBy(F.col("hi").alias("x")).agg(F.min("lo").alias("m")))
+        least = large.groupBy(F.col("hi").alias("x")).agg(F.min("lo").alias("m"))
         small = large.join(least.withColumnRenamed("x", "hi"), "hi").select("lo", "hi", "m")
         now = small.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo < hi").unionAll(least.select(F.col("m").alias("lo"), F.col("x").alias("hi")))
         now = written(now.distinct())
