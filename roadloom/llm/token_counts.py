@@ -47,7 +47,7 @@ class PieceCounter:
         return [(len(ids) if len(t) > 1 else 1) if own else len(ids) - self.edge for t, own, ids in zip(tokens, inner, encoded, strict=True)]
 
 
-def vocabulary(docs: DataFrame, model: str, held: int = 200_000) -> DataFrame:
+def vocabulary(docs: DataFrame, model: str, held: int = 400_000) -> DataFrame:
     """``(key, n, pieces)`` for every distinct pre-token of all ``docs``: how often it occurs, and its pieces, counted once."""
 
     def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,22 +70,34 @@ def vocabulary(docs: DataFrame, model: str, held: int = 200_000) -> DataFrame:
             tokens = pdf.pop("token")
             yield pdf.assign(pieces=counter(pdf["key"].where(tokens.isna(), tokens).tolist()))
 
-    sums = mapped(docs.select("text"), tally, "key string, token string, n long").groupBy("key").agg(F.first("token").alias("token"), F.sum("n").alias("n"))
+    sums = mapped(docs.select("text"), tally, "key string, token string, n long").groupBy("key", "token").agg(F.sum("n").alias("n"))
     return written(mapped(sums, count, "key string, n long, pieces long"))
 
 
-def token_counts(docs: DataFrame, model: str, limit: int = 4096, broadcast_rows: int = 300_000) -> DataFrame:
+def most_frequent(table: DataFrame, rows: int) -> DataFrame:
+    """The most frequent pre-tokens, at most ``rows``: all those that occur as often as some power of 2 ** (1 / 8) or more."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    left, least = rows, 1 << 20
+    for r in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most 512 levels
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["level"]
+    return table.where(level >= least)
+
+
+def token_counts(docs: DataFrame, model: str, limit: int = 4096, broadcast_rows: int = 250_000) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for each row of ``docs``, from whole texts; no ids of a document are made.
 
-    All distinct pre-tokens of the corpus, summed map-side first, make a table of piece counts. The ``broadcast_rows`` most frequent
-    ones, each a short key, are broadcast and meet the documents' pre-token frequencies where these are made; the frequencies of all
+    All distinct pre-tokens of the corpus, summed map-side first, make a table of piece counts. The most frequent ones, at most
+    ``broadcast_rows`` and each a short key, are broadcast and meet the documents' pre-token frequencies where these are made; the frequencies of all
     rarer ones are joined to the table in a shuffle and added. A null or empty text has 0 bytes and 0 tokens; repeated rows give
     repeated results; further columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = vocabulary(docs, model)
-    top = table.orderBy(F.desc("n"), "key").limit(broadcast_rows).select("key", "pieces").toPandas()
+    top = most_frequent(table, broadcast_rows).select("key", "pieces").toPandas()
     shipped = docs.sparkSession.sparkContext.broadcast(dict(zip(top["key"], top["pieces"].tolist(), strict=True)))
+    del top
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shipped.value
@@ -95,13 +107,13 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, broadcast_rows:
                 for doc, text in zip(part["doc_id"].array, part["text"], strict=True):
                     own = frequencies(text)
                     met = {t: k for t in own if (k := known.get(t if len(t) <= LONG else key_of(t))) is not None}
-                    rest = [(key_of(t), n) for t, n in own.items() if t not in met] if len(met) < len(own) else []
-                    rows.append((doc, len(text.encode()) if text else 0, sum(k * own[t] for t, k in met.items()), rest))
-                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "met", "rest"])
+                    rest = [t for t in own if t not in met] if len(met) < len(own) else []
+                    rows.append((doc, len(text.encode()) if text else 0, sum(k * own[t] for t, k in met.items()), [key_of(t) for t in rest], [own[t] for t in rest]))
+                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "met", "rest", "times"])
 
-    rows = mapped(docs, meet, "doc_id long, n_bytes long, met long, rest array<struct<key:string,n:long>>")
+    rows = mapped(docs, meet, "doc_id long, n_bytes long, met long, rest array<string>, times array<int>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
-    rest = rows.select("row", F.explode("rest").alias("r")).select("row", "r.key", F.col("r.n").alias("times"))
+    rest = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("key"), "r.times")
     rest = rest.join(table.hint("merge"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("others"))
-    counted = rows.drop("rest").join(rest, "row", "left").withColumn("n_tokens", F.col("met") + F.coalesce("others", F.lit(0)))
+    counted = rows.drop("rest", "times").join(rest, "row", "left").withColumn("n_tokens", F.col("met") + F.coalesce("others", F.lit(0)))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

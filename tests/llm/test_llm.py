@@ -80,12 +80,13 @@ def test_window_kernels():
         assert [x.tolist() for x in substring_dedup.parsed_windows(parts, counts, copies, width, groups, 2)] == want
 
 
-def test_token_counts(spark, corpus):
+@pytest.mark.parametrize("rows", [250_000, 3, 0])
+def test_token_counts(spark, corpus, rows):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     texts = corpus + [(200, " a\n\n  b\t▁c▁ </s>　"), (201, "x" * 4000)]
-    got = token_counts.token_counts(docs_of(spark, texts), tokenizer_path("piece_bpe_32k.model")).collect()
+    got = token_counts.token_counts(docs_of(spark, texts), tokenizer_path("piece_bpe_32k.model"), broadcast_rows=rows).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted((k, len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for k, t in texts)
 
 
@@ -433,6 +434,7 @@ def test_empty_tables(spark):
     none = docs_of(spark, [(1, "a")]).limit(0)
     assert substring_dedup.substring_dedup(none).count() == suffix_dedup.suffix_dedup(none).count() == jaccard_join.jaccard_join(none).count() == 0
     assert packing.pack_documents(none, tokenizer_path("word_bpe_49k.json")).count() == 0
+    assert token_counts.token_counts(none, tokenizer_path("piece_bpe_32k.model")).count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert metric_join.metric_join(vectors).count() == 0
 
