@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import curve as C
 from ..scratch import settled
 from .coverage import edge_coverage
+from .spatial import box_join, point_box
 from .structure import incidence, vectorize
 
 NODE = "graph_id string, nid long, y double, x double, render string, origin string"
@@ -91,11 +92,12 @@ def fuse(base_nodes: DataFrame, base_edges: DataFrame, patch_nodes: DataFrame, p
     """
     above = patch_edges.where(F.col("threshold") > threshold)
     if covered_injection_only:
-        segments = vectorize(above)
-        back = segments.select(F.col("graph_id").alias("tgraph"), *[(F.hash("u", "v", "k").cast("long") * 1000 + F.col("part") + d).alias(n) for n, d in (("tu", 0), ("tv", 1))], "a", "b", "u", "v", "k")
+        # places are nodes, so that patch edges meet where they share one
+        back = settled(vectorize(above).select(F.col("graph_id").alias("tgraph"), F.xxhash64("a").alias("tu"), F.xxhash64("b").alias("tv"), "a", "b", "u", "v", "k"))
         cover = edge_coverage(base_edges.select("graph_id", "u", "v", "k", "curve"), back.select("tgraph", "tu", "tv", "a", "b"), int(threshold))
-        used = cover.where(F.col("threshold") <= threshold).select("graph_id", F.explode("covered_by").alias("c")).select("graph_id", F.col("c.u").alias("tu")).distinct()
-        keep = back.join(used.withColumnRenamed("graph_id", "tgraph"), ["tgraph", "tu"], "left_semi").select(F.col("tgraph").alias("graph_id"), "u", "v", "k").distinct()
+        used = cover.where(F.col("threshold") <= threshold).select("graph_id", F.explode("covered_by").alias("c")).select(F.col("graph_id").alias("tgraph"), F.col("c.u").alias("lo"), F.col("c.v").alias("hi")).distinct()
+        ends = back.withColumn("lo", F.least("tu", "tv")).withColumn("hi", F.greatest("tu", "tv"))
+        keep = ends.join(used, ["tgraph", "lo", "hi"], "left_semi").select(F.col("tgraph").alias("graph_id"), "u", "v", "k").distinct()
         above = above.join(keep, ["graph_id", "u", "v", "k"], "left_semi")
     below = patch_edges.where(F.col("threshold") <= threshold)
     starts = incidence(above).select("graph_id", "nid").distinct().join(incidence(below).select("graph_id", "nid").distinct(), ["graph_id", "nid"], "left_semi")
@@ -113,7 +115,9 @@ def fuse(base_nodes: DataFrame, base_edges: DataFrame, patch_nodes: DataFrame, p
     seg = seg.select("tgraph", F.xxhash64("a").alias("tu"), F.xxhash64("b").alias("tv"), "a", "b")
     cover = settled(edge_coverage(rest.select("graph_id", "u", "v", "k", "curve"), seg, int(threshold)))
     ends = incidence(a_edges.where("origin = 'B'")).groupBy("graph_id", "nid").count().where("count = 1").join(a_nodes.select("graph_id", "nid", "y", "x"), ["graph_id", "nid"])
-    far = rest.join(ends.select("graph_id", F.struct("y", "x").alias("p")), "graph_id").where(F.array_max(F.transform("curve", lambda q: C.distance(q, F.col("p")))) <= threshold)
+    tips = ends.select(F.col("graph_id").alias("tip_graph"), F.struct("y", "x").alias("p"), point_box("y", "x").alias("lbox"))
+    near = box_join(tips, rest.withColumn("rbox", C.bounding_box(F.col("curve"))), float(threshold), float(max(threshold, 1.0))).where("tip_graph = graph_id")
+    far = near.where(F.array_max(F.transform("curve", lambda q: C.distance(q, F.col("p")))) <= threshold)
     spared = far.select("graph_id", "u", "v", "k").distinct()
     covered = cover.where(F.col("threshold") <= threshold)
     gone = settled(covered.join(spared, ["graph_id", "u", "v", "k"], "left_anti").select("graph_id", "u", "v", "k", F.lit(True).alias("gone"), "covered_by"))

@@ -99,7 +99,7 @@ def chains(edges: DataFrame) -> DataFrame:
     """Maximal chains between endpoints: (graph_id, head, tail, n_edges, length) from edges (graph_id, u, v, length).
 
     Every chain edge ends at interior nodes of the same component of the graph without its endpoints; edges between two endpoints are
-    chains of their own. A pure cycle has no endpoint and stays out.
+    chains of their own. The edges of a pure cycle, which has no endpoint, stay as they are.
     """
     marks = settled(endpoints(edges).select("graph_id", "nid", "is_endpoint"))
     m = lambda end: marks.select("graph_id", F.col("nid").alias(end), F.col("is_endpoint").alias(f"{end}_end"))
@@ -109,8 +109,10 @@ def chains(edges: DataFrame) -> DataFrame:
     e = e.join(inner.select("graph_id", F.col("nid").alias("inner"), "component"), ["graph_id", "inner"], "left").withColumn("component", F.coalesce("component", "inner"))
     single = e.where("u_end and v_end").select("graph_id", F.col("u").alias("head"), F.col("v").alias("tail"), F.lit(1).cast("long").alias("n_edges"), "length")
     ends = F.flatten(F.collect_list(F.array_compact(F.array(F.when(F.col("u_end"), F.col("u")), F.when(F.col("v_end"), F.col("v"))))))
-    many = e.where("component is not null").groupBy("graph_id", "component").agg(ends.alias("ends"), F.count("*").alias("n_edges"), F.sum("length").alias("length")).where(F.size("ends") > 0)
-    return single.unionByName(many.select("graph_id", F.array_min("ends").alias("head"), F.array_max("ends").alias("tail"), "n_edges", "length"))
+    many = e.where("component is not null").groupBy("graph_id", "component").agg(ends.alias("ends"), F.count("*").alias("n_edges"), F.sum("length").alias("length"))
+    cycles = many.where(F.size("ends") == 0).select("graph_id", "component")
+    single = single.unionByName(e.join(cycles, ["graph_id", "component"], "left_semi").select("graph_id", F.col("u").alias("head"), F.col("v").alias("tail"), F.lit(1).cast("long").alias("n_edges"), "length"))
+    return single.unionByName(many.where(F.size("ends") > 0).select("graph_id", F.array_min("ends").alias("head"), F.array_max("ends").alias("tail"), "n_edges", "length"))
 
 
 def vectorize(edges: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curve as C
 from ..functions import geodesy as G
-from ..operators import coverage, fusion, metrics, spatial, structure
+from ..operators import coverage, fusion, graph, metrics, spatial, structure
 from ..sources import traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,42 +395,141 @@ def coverage_match(spark, sf_dir):
 
 
 def _fused(spark, sf_dir, variant: str) -> DataFrame:
-    """Two parallel chains a graph: a base along y = 0 and a patch that follows it, then leaves it."""
+    """Two parallel chains a graph: a base along y = 0 and a patch beside it, of which what comes after the third node is injected."""
     chain = chain_edges(spark, sf_dir).select("graph_id", "u", "v")
-    p = lambda y, x: F.struct(y.cast("double").alias("y"), x.cast("double").alias("x"))
-    zero = F.lit(0.0)
-    line = lambda off, y: F.array(p(y(F.col("u")), F.col("u") * 100.0), p(y(F.col("v")), F.col("v") * 100.0))
-    base = chain.select("graph_id", "u", "v", F.lit(0).alias("k"), line(0, lambda c: zero).alias("curve"))
-    rise = lambda c: 4.0 + F.greatest(c - 2, F.lit(0)) * 60.0
-    patch = chain.select("graph_id", (F.col("u") + 1000).alias("u"), (F.col("v") + 1000).alias("v"), F.lit(0).alias("k"), line(1000, rise).alias("curve"), F.when(F.col("v") <= 2, 4.0).otherwise(float("inf")).alias("threshold"))
+    p = lambda y, x: F.struct(F.lit(y).alias("y"), x.cast("double").alias("x"))
+    line = lambda y: F.array(p(y, F.col("u") * 100.0), p(y, F.col("v") * 100.0))
+    base = chain.select("graph_id", "u", "v", F.lit(0).alias("k"), line(0.0).alias("curve"))
+    patch = chain.select("graph_id", (F.col("u") + 1000).alias("u"), (F.col("v") + 1000).alias("v"), F.lit(0).alias("k"), line(4.0).alias("curve"), F.when(F.col("v") <= 2, 4.0).otherwise(float("inf")).alias("threshold"))
     ends = lambda e: e.select("graph_id", F.inline(F.array(F.struct(F.col("u").alias("nid"), F.col("curve")[0].alias("p")), F.struct(F.col("v").alias("nid"), F.element_at("curve", -1).alias("p"))))).distinct().select("graph_id", "nid", "p.*")
     n, e = fusion.fuse(ends(base), base, ends(patch), patch, 20.0)[variant]
     return fusion.action_counts(e, "graph_id").join(n.groupBy("graph_id").agg(F.count("*").alias("n_nodes")), "graph_id")
 
 
-@query()
+# every injected edge covers the base edge beside it; one connection joins the injected part to the base where the other part begins
+_FUSED = f"WITH {CHAIN}, g AS (SELECT graph_id, count(*) AS m, count(*) FILTER (v > 2) AS i, CAST(count(*) FILTER (v > 2) > 0 AND count(*) FILTER (v <= 2) > 0 AS BIGINT) AS c FROM e GROUP BY graph_id)"
+_FUSED_NODES = "m + 1 + CASE WHEN i > 0 THEN i + 1 ELSE 0 END AS n_nodes"
+_CUT_BACK = f"{_FUSED} SELECT graph_id, m - i AS original, i AS injected, c AS connection, i AS deleted, m + i + c AS total, m + c AS live, {_FUSED_NODES} FROM g"
+
+
+@query(f"{_FUSED} SELECT graph_id, m AS original, i AS injected, c AS connection, CAST(0 AS BIGINT) AS deleted, m + i + c AS total, m + i + c AS live, {_FUSED_NODES} FROM g")
 def fuse_inject(spark, sf_dir):
     return _fused(spark, sf_dir, "a")
 
 
-@query()
+@query(_CUT_BACK)
 def fuse_delete(spark, sf_dir):
     return _fused(spark, sf_dir, "b")
 
 
-@query()
+@query(_CUT_BACK)
 def fuse_reconnect(spark, sf_dir):
     return _fused(spark, sf_dir, "c")
 
 
+@query("SELECT CAST(vec_id AS VARCHAR) AS graph_id, CASE vec_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 5.0::DOUBLE ELSE CAST('inf' AS DOUBLE) END AS threshold, CASE WHEN vec_id % 3 < 2 THEN 1 ELSE 0 END AS n_covered FROM embeddings")
+def coverage_shifted(spark, sf_dir):
+    """Straight edges against themselves moved sideways by 0.5, 4.2 or 100."""
+    s = short_segments(spark, sf_dir).select(F.col("id").cast("string").alias("graph_id"), "a", "b", F.element_at(F.array(F.lit(0.5), F.lit(4.2), F.lit(100.0)), (F.col("id") % 3 + 1).cast("int")).alias("by"))
+    size = C.distance(F.col("a"), F.col("b"))
+    moved = lambda p: F.struct((F.col(p)["y"] + (F.col("b.x") - F.col("a.x")) / size * F.col("by")).alias("y"), (F.col(p)["x"] - (F.col("b.y") - F.col("a.y")) / size * F.col("by")).alias("x"))
+    one, two = F.lit(1).cast("long"), F.lit(2).cast("long")
+    edges = s.select("graph_id", one.alias("u"), two.alias("v"), F.lit(0).alias("k"), F.array("a", "b").alias("curve"))
+    target = s.select(F.col("graph_id").alias("tgraph"), one.alias("tu"), two.alias("tv"), moved("a").alias("a"), moved("b").alias("b"))
+    return coverage.edge_coverage(edges, target, 20).select("graph_id", "threshold", F.size("covered_by").alias("n_covered"))
+
+
+def chain_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each conversation's turns as nodes along a zigzag, joined in turn by straight edges."""
+    e = chain_edges(spark, sf_dir).select("graph_id", "u", "v")
+    at = lambda n: F.struct((n * 3.0).alias("y"), (n % 3).cast("double").alias("x"))
+    edges = e.select("graph_id", "u", "v", F.lit(0).alias("k"), F.array(at(F.col("u")), at(F.col("v"))).alias("curve"))
+    n = structure.incidence(e).select("graph_id", "nid").distinct().withColumn("p", at(F.col("nid"))).select("graph_id", "nid", "p.*")
+    return n, edges.withColumn("length", C.length(F.col("curve")))
+
+
+@query(f"""WITH {CHAIN}, n AS (SELECT graph_id, u AS n FROM e UNION SELECT graph_id, v FROM e), s AS (SELECT graph_id, n, sqrt(pow((lead(n) OVER w - n) * 3.0, 2) + pow(lead(n) OVER w % 3 - n % 3, 2)) AS len FROM n WINDOW w AS (PARTITION BY graph_id ORDER BY n))
+SELECT graph_id, min(n) AS u, max(n) AS v, string_agg(CAST(n AS VARCHAR) || ':' || CAST(n * 3 AS VARCHAR) || ',' || CAST(n % 3 AS VARCHAR), ' ' ORDER BY n) AS curve, round(sum(len), 6) AS length FROM s GROUP BY graph_id""")
+def simplify_graph(spark, sf_dir):
+    e = graph.simplified(*chain_graph(spark, sf_dir))[1]
+    said = F.zip_with("path", "curve", lambda n, p: F.concat_ws("", n.cast("string"), F.lit(":"), p["y"].cast("long").cast("string"), F.lit(","), p["x"].cast("long").cast("string")))
+    return e.select("graph_id", "u", "v", F.array_join(said, " ").alias("curve"), r(F.col("length")).alias("length"))
+
+
+def line_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every polyline as the one edge of its own graph, from node 1 to node 2."""
+    c = polylines(spark, sf_dir).withColumn("graph_id", F.col("vec_id").cast("string"))
+    ends = F.inline(F.array(F.struct(F.lit(1).cast("long").alias("nid"), F.col("curve")[0].alias("p")), F.struct(F.lit(2).cast("long").alias("nid"), F.element_at("curve", -1).alias("p"))))
+    n = c.select("graph_id", ends).select("graph_id", "nid", "p.*")
+    return n, c.select("graph_id", F.lit(1).cast("long").alias("u"), F.lit(2).cast("long").alias("v"), F.lit(0).alias("k"), "curve")
+
+
+@query(f"WITH {LINES}, t AS (SELECT vec_id, CASE WHEN i = 0 THEN 1 ELSE 2 + i END AS a, CASE WHEN i = 30 THEN 2 ELSE 3 + i END AS b, y, x, ny, nx, len FROM seg) SELECT CAST(vec_id AS VARCHAR) AS graph_id, CAST(least(a, b) AS BIGINT) AS u, CAST(greatest(a, b) AS BIGINT) AS v, round(len, 6) AS length, round(CASE WHEN a <= b THEN y ELSE ny END, 6) AS y, round(CASE WHEN a <= b THEN x ELSE nx END, 6) AS x FROM t")
+def vectorize_graph(spark, sf_dir):
+    e = graph.vectorized(*line_graph(spark, sf_dir))[1]
+    return e.select("graph_id", "u", "v", r(F.col("length")).alias("length"), r(F.col("curve")[0]["y"]).alias("y"), r(F.col("curve")[0]["x"]).alias("x"))
+
+
+@query(f"WITH {LINES}, w AS (SELECT vec_id, max(whole) AS whole FROM cum GROUP BY vec_id) SELECT CAST(vec_id AS VARCHAR) AS graph_id, CAST(greatest(1, ceil(whole / 2.0)) AS BIGINT) AS n_edges, CAST(greatest(1, ceil(whole / 2.0)) AS BIGINT) + 1 AS n_nodes, round(whole, 6) AS length, round(whole / greatest(1, ceil(whole / 2.0)), 6) AS longest FROM w")
+def max_edge_length(spark, sf_dir):
+    n, e = graph.bounded_edges(*line_graph(spark, sf_dir), 2.0)
+    sums = e.groupBy("graph_id").agg(F.count("*").alias("n_edges"), r(F.sum("length")).alias("length"), r(F.max("length")).alias("longest"))
+    return sums.join(n.groupBy("graph_id").agg(F.count("*").alias("n_nodes")), "graph_id").select("graph_id", "n_edges", "n_nodes", "length", "longest")
+
+
+@query(f"WITH {SHORT}, b AS (SELECT id, least(ay,byy) AS miny, least(ax,bx) AS minx, greatest(ay,byy) AS maxy, greatest(ax,bx) AS maxx FROM s) SELECT q.id FROM b q WHERE EXISTS (SELECT 1 FROM b l WHERE l.id % 7 = 0 AND l.miny - 15 <= q.maxy AND q.miny <= l.maxy + 15 AND l.minx - 15 <= q.maxx AND q.minx <= l.maxx + 15)")
+def subgraph_by_graph(spark, sf_dir):
+    e = short_segments(spark, sf_dir).select(F.lit("g").alias("graph_id"), F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0).alias("k"), F.array("a", "b").alias("curve"))
+    return graph.near_graph(e, e.where("u % 7 = 0"), 15.0, 40.0).select(F.col("u").alias("id"))
+
+
+@query(f"WITH {MULTI}, i AS (SELECT u AS nid FROM e UNION ALL SELECT v FROM e) SELECT nid, count(*) AS degree FROM i GROUP BY nid HAVING count(*) > 32")
+def complicated_crossings(spark, sf_dir):
+    return graph.crossings_over(multigraph(spark, sf_dir), 32).select("nid", "degree")
+
+
+@query("SELECT u, v FROM ((SELECT DISTINCT o_custkey AS u, o_orderkey % 7 AS v FROM orders EXCEPT SELECT c_custkey, c_custkey % 7 FROM customer) UNION ALL (SELECT c_custkey, c_custkey % 7 FROM customer EXCEPT SELECT o_custkey, o_orderkey % 7 FROM orders))")
+def symmetric_difference(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("u"), (F.col("o_orderkey") % 7).alias("v"))
+    c = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("u"), (F.col("c_custkey") % 7).alias("v"))
+    return graph.symmetric_difference(o, c)
+
+
+@query(f"WITH {MULTI} SELECT CASE WHEN threshold > 20 THEN 'above' ELSE 'below' END AS side, l_returnflag AS flag, count(*) AS n, round(sum(length), 4) AS length FROM e WHERE l_linestatus = 'O' GROUP BY ALL")
+def coverage_split(spark, sf_dir):
+    e = graph.filter_by_attributes(multigraph(spark, sf_dir), l_linestatus="O")
+    above, below = graph.split_by_coverage(e, 20.0)
+    both = above.withColumn("side", F.lit("above")).unionByName(below.withColumn("side", F.lit("below")))
+    return both.groupBy("side", F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"), r(F.sum("length"), 4).alias("length"))
+
+
+@query(f"WITH {CHAIN}, i AS (SELECT graph_id, u AS nid, u, v FROM e UNION SELECT graph_id, v, u, v FROM e) SELECT graph_id, nid, u, v FROM i WHERE nid = 1")
+def incident_edges(spark, sf_dir):
+    e = chain_edges(spark, sf_dir).withColumn("k", F.lit(0))
+    return graph.incident_edges(e, e.select("graph_id", F.lit(1).cast("int").alias("nid"))).select("graph_id", "nid", "u", "v")
+
+
+@query(f"WITH {NODES}, {SHORT}, t AS (SELECT n.nid AS lid, s.id AS rid, n.y AS py, n.x AS px, s.*, CASE WHEN abs(byy-ay) < 1e-4 AND abs(bx-ax) < 1e-4 THEN 0 ELSE greatest(0, least(1, ((n.y-ay)*(byy-ay)+(n.x-ax)*(bx-ax))/((byy-ay)*(byy-ay)+(bx-ax)*(bx-ax)))) END AS t FROM n JOIN s ON s.id % 3 = 1 WHERE n.nid % 3 = 0), d AS (SELECT *, sqrt(pow(ay+t*(byy-ay)-py,2)+pow(ax+t*(bx-ax)-px,2)) AS d, row_number() OVER (PARTITION BY lid ORDER BY sqrt(pow(ay+t*(byy-ay)-py,2)+pow(ax+t*(bx-ax)-px,2))) AS k FROM t) SELECT lid, rid, round(d, 6) AS distance, round(ay+t*(byy-ay), 4) AS near_y, round(ax+t*(bx-ax), 4) AS near_x, round(t, 6) AS fraction FROM d WHERE k = 1")
+def nearest_position(spark, sf_dir):
+    """Points with an id divisible by 3 against the segments whose id leaves 1: the two sides of the query."""
+    e = short_segments(spark, sf_dir).where("id % 3 = 1").select(F.lit("g").alias("graph_id"), F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0).alias("k"), F.array("a", "b").alias("curve"))
+    points = nodes(spark, sf_dir).where("nid % 3 = 0").select(F.col("nid").alias("lid"), "graph_id", "y", "x")
+    n = graph.nearest_position(points, e, 60.0)
+    return n.select("lid", F.col("u").alias("rid"), r(F.col("distance")).alias("distance"), r(F.col("near_y"), 4).alias("near_y"), r(F.col("near_x"), 4).alias("near_x"), r(F.col("fraction")).alias("fraction"))
+
+
 @query()
 def topo_match(spark, sf_dir):
     n = nodes(spark, sf_dir).select((F.floor(F.col("y") / 300) * 1000 + F.floor(F.col("x") / 300)).cast("long").alias("seed"), "y", "x")
     return metrics.topo_samples(n, n.withColumn("y", F.col("y") + 3.0), 5.0)
 
 
-@query()
+@query("SELECT CAST(i AS BIGINT) AS sample_id, 'C' AS category, 1.0::DOUBLE AS score FROM range(0, 200) AS r(i)")
 def apls_sample(spark, sf_dir):
-    e = chain_edges(spark, sf_dir).where("length > 0").withColumn("k", F.lit(0))
-    spots = metrics.random_positions(e.select(F.xxhash64("graph_id").alias("u"), F.xxhash64("graph_id", "u").alias("v"), "k", "length"), 500, 7)
-    return spots.select("sample_id", "u", "fraction")
+    """Paths between random places of a tree, in itself: every sample finds its way back, at the same length."""
+    t = tree(spark, sf_dir).where("u >= 1 and v < 1000").select("graph_id", "u", "v", F.lit(0).alias("k"))
+    at = lambda n: F.struct((n % 100 * 40.0).cast("double").alias("y"), (F.floor(n / 100) * 1000.0).cast("double").alias("x"))
+    e = t.withColumn("curve", F.array(at(F.col("u")), at(F.col("v"))))
+    ring = spark.range(1, 5).select(F.lit("g").alias("graph_id"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(0).alias("k")).withColumn("curve", F.array(at(F.col("u")), at(F.col("v"))))
+    rows = metrics.apls_samples(e.unionByName(ring), e.unionByName(ring), 200, 7)
+    return rows.select("sample_id", "category", r(F.col("score"), 4).alias("score"))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import curve as C
 from roadloom.functions import geodesy as G
-from roadloom.operators import coverage, fusion, metrics, structure
+from roadloom.operators import coverage, fusion, graph, metrics, structure
 from roadloom.sources import traces
 
 CURVE = "array<struct<y:double,x:double>>"
@@ -59,7 +59,7 @@ def test_duplicates_chain_to_the_smallest(spark):
 
 def test_pure_cycle_stays_and_chain_contracts(spark):
     e = spark.createDataFrame([("g", 1, 2, 1.0), ("g", 2, 3, 2.0), ("h", 1, 2, 1.0), ("h", 2, 3, 1.0), ("h", 1, 3, 1.0)], "graph_id string, u long, v long, length double")
-    assert [tuple(r) for r in structure.chains(e).collect()] == [("g", 1, 3, 2, 3.0)]
+    assert sorted(tuple(r) for r in structure.chains(e).collect()) == [("g", 1, 3, 2, 3.0), ("h", 1, 2, 1, 1.0), ("h", 1, 3, 1, 1.0), ("h", 2, 3, 1, 1.0)]
 
 
 def test_scores(spark):
@@ -91,3 +91,95 @@ def test_release_round_trip(spark, tmp_path):
     root = traces.extract_release(str(tmp_path / "r.tar.gz"), str(tmp_path / "out"))
     assert traces.load_release(root)["version"]["prerelease"] == "alpha.1"
     assert traces.read_trips(spark, f"{root}/inputs/gps/a").count() == 2
+
+
+SQUARE = [((0, 0), (0, 10)), ((0, 10), (10, 10)), ((10, 10), (10, 30)), ((0, 0), (-20, 0))]
+
+
+def small_graph(spark, pieces=SQUARE, graph_id="g"):
+    at = {p: k for k, p in enumerate(sorted({p for s in pieces for p in s}))}
+    nodes = spark.createDataFrame([(graph_id, k, float(y), float(x)) for (y, x), k in at.items()], "graph_id string, nid long, y double, x double")
+    pts = lambda s: [{"y": float(y), "x": float(x)} for y, x in s]
+    rows = [(graph_id, at[a], at[b], 0, pts((a, b)), "street") for a, b in pieces]
+    edges = spark.createDataFrame(rows, f"graph_id string, u long, v long, k int, curve {CURVE}, kind string")
+    return nodes, structure.canonical(edges).withColumn("length", C.length(F.col("curve")))
+
+
+def total(edges):
+    return edges.agg(F.sum(C.length(F.col("curve")))).first()[0]
+
+
+def test_contracting_and_cutting_keep_length(spark):
+    nodes, edges = small_graph(spark)
+    less, chain = graph.simplified(nodes, edges)
+    row = chain.collect()
+    assert len(row) == 1 and less.count() == 2 and np.isclose(row[0].length, 60) and row[0].kind == "street" and len(row[0].path) == 5
+    assert len(row[0].curve) == 5
+    more, parts = graph.vectorized(less, chain)
+    assert parts.count() == 4 and more.count() == 5 and np.isclose(total(parts), 60)
+    for most, n in ((50.0, 4), (5.0, 2 + 2 + 4 + 4), (7.0, 2 + 2 + 3 + 3)):
+        more, parts = graph.bounded_edges(nodes, edges, most)
+        assert parts.count() == n and more.count() == n + 1 and np.isclose(total(parts), 60)
+        assert parts.where(F.col("length") > most + 1e-9).isEmpty() and parts.where("u > v").isEmpty()
+        assert {r.violations for r in structure.violations(more, parts, utm=False).collect()} == {0}
+    more, parts = graph.cut_at(nodes, edges, F.array(F.lit(0.5)))
+    assert parts.count() == 8 and parts.select("cut_from").distinct().count() == 4
+
+
+def test_cycles_stay(spark):
+    nodes, edges = small_graph(spark, [((0, 0), (0, 10)), ((0, 10), (10, 10)), ((10, 10), (0, 0))])
+    assert graph.simplified(nodes, edges)[1].count() == 3 == structure.chains(edges).count()
+
+
+def test_relabelled_and_paths(spark):
+    nodes, edges = small_graph(spark)
+    new, moved = graph.relabelled(nodes, edges, 100)
+    assert sorted(r.nid for r in new.collect()) == list(range(100, 105)) and {r.violations for r in structure.violations(new, moved, utm=False).collect()} == {0}
+    curves = spark.createDataFrame([("g", k, [{"y": 0.0, "x": float(x)} for x in range(n)]) for k, n in ((1, 3), (2, 2))], f"graph_id string, path_id long, curve {CURVE}")
+    n, e = graph.graph_of_paths(curves)
+    assert n.count() == 5 and n.select("nid").distinct().count() == 5 and e.count() == 3 and np.isclose(total(e), 3, atol=1e-2)
+
+
+def test_nearest_position(spark):
+    _, edges = small_graph(spark)
+    points = spark.createDataFrame([(1, "g", 2.0, 4.0), (2, "g", 11.0, 20.0)], "lid long, graph_id string, y double, x double")
+    got = {r.lid: (round(r.distance, 6), round(r.near_y, 6), round(r.near_x, 6), round(r.fraction, 6)) for r in graph.nearest_position(points, edges, 5.0).collect()}
+    assert got[1] == (2, 0, 4, 0.4) and got[2] == (1, 10, 20, 0.5)
+
+
+def test_apls_of_a_graph_and_itself(spark):
+    _, edges = small_graph(spark)
+    rows = metrics.apls_samples(edges, edges, 20, 3).collect()
+    assert len(rows) == 20 and all(r.category == "C" and np.isclose(r.score, 1) for r in rows)
+    shifted = edges.withColumn("curve", F.transform("curve", lambda p: F.struct((p["y"] + 100.0).alias("y"), p["x"].alias("x"))))
+    assert {r.category for r in metrics.apls_samples(edges, shifted, 10, 3).collect()} == {"A"}
+    # without the edge in the middle some pairs have a path on one side only
+    cut = edges.where(~((F.col("curve")[0]["y"] == 0) & (F.element_at("curve", -1)["y"] == 10)))
+    assert {r.category for r in metrics.apls_samples(cut, cut, 40, 5).collect()} == {"C"}
+
+
+def test_topo_of_a_graph_and_itself(spark):
+    _, edges = small_graph(spark)
+    rows = metrics.topo_sampling(edges, edges, 6, 1, radius=30.0).collect()
+    assert len(rows) == 6 and all(r.fp == 0 and r.fn == 0 and r.tp > 3 for r in rows)
+    seeds = edges.where("length = 20").limit(1).select(F.lit(1).alias("seed"), "graph_id", "u", "v", "k", F.lit(0.0).alias("offset"))
+    assert metrics.marks_around(edges, seeds, 5.0, 10.0).count() in (3, 5)
+
+
+def test_covered_injection_only(spark):
+    """Of two patch edges far from the base only the one that a base edge follows on is injected; places are told by position."""
+    bn, be = small_graph(spark, [((0, 0), (0, 100))])
+    pn, pe = small_graph(spark, [((5, 0), (5, 50)), ((5, 50), (5, 100)), ((500, 0), (500, 100))])
+    pe = pe.withColumn("u", F.col("u") + 1000).withColumn("v", F.col("v") + 1000).withColumn("threshold", F.lit(float("inf")))
+    pn = pn.withColumn("nid", F.col("nid") + 1000)
+    every = fusion.fuse(bn, be, pn, pe, 20.0)["a"][1].where("render = 'injected'").count()
+    some = fusion.fuse(bn, be, pn, pe, 20.0, covered_injection_only=True)["a"][1].where("render = 'injected'").count()
+    assert (every, some) == (3, 2)
+
+
+def test_projection_round_trip(spark):
+    nodes, edges = small_graph(spark, [((52.5, 13.4), (52.51, 13.41))])
+    n, e = graph.to_latlon(*graph.to_utm(nodes, edges))
+    back = {r.nid: (r.y, r.x) for r in n.collect()}
+    assert all(np.allclose(back[r.nid], (r.y, r.x), atol=1e-6) for r in nodes.collect()) and e.columns[:3] == ["graph_id", "u", "v"]
+    assert 1200 < graph.to_utm(nodes, edges)[1].first().length < 1400
