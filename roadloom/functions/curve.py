@@ -170,3 +170,33 @@ def cosine(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Cosine of the angle between the directions ab and cd; null if one has no length."""
     dot = (b["y"] - a["y"]) * (d["y"] - c["y"]) + (b["x"] - a["x"]) * (d["x"] - c["x"])
     return F.try_divide(dot, distance(a, b) * distance(c, d))
+
+
+def random_curve(points: Column | int, low: Column, high: Column, seed: Column) -> Column:
+    """``points`` places, uniform in the box from ``low`` to ``high``; the same for the same ``seed``, in whatever task it is made."""
+    unit = lambda i, axis: F.pmod(F.xxhash64(seed, i, F.lit(axis)), F.lit(1 << 52)) / float(1 << 52)
+    along = lambda i, axis: low[axis] + unit(i, axis) * (high[axis] - low[axis])
+    last = F.lit(points) if isinstance(points, int) else points
+    every = F.filter(F.sequence(F.lit(0), last), lambda i: i < last)
+    return F.transform(every, lambda i: point(along(i, "y"), along(i, "x")))
+
+
+def cut_line(curve: Column, at: Column) -> Column:
+    """The two parts before and after a distance along a curve; the curve alone if that is not strictly between its ends."""
+    return let(length(curve), lambda own: F.when((at <= 0) | (at >= own) | own.isNull(), F.array(curve)).otherwise(F.array(cut(curve, F.lit(0.0), at / own), cut(curve, at / own, F.lit(1.0)))))
+
+
+def unzip(pairs: Column, first: str, second: str) -> Column:
+    """An array of two-field structs as a struct of two arrays."""
+    return F.struct(F.transform(pairs, lambda p: p[first]).alias(first), F.transform(pairs, lambda p: p[second]).alias(second))
+
+
+def closest_between(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Of the places a unit apart on a-b, from ``a``, the one with the least sum of distances to c and d (the first of equals)."""
+
+    def place(i: Column) -> Column:
+        return let(i / distance(a, b), lambda t: point(a["y"] * (1 - t) + b["y"] * t, a["x"] * (1 - t) + b["x"] * t))
+
+    steps = F.filter(F.sequence(F.lit(0), F.floor(distance(a, b)).cast("int")), lambda i: i < F.floor(distance(a, b)))
+    scored = F.transform(steps, lambda i: let(place(i), lambda p: F.struct((distance(p, c) + distance(p, d)).alias("sum"), i.alias("i"), p.alias("p"))))
+    return F.coalesce(F.array_min(scored)["p"], a)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: WGS84 and the UTM grid; the sphere that ground resolution uses (fixed values).
@@ -103,3 +103,33 @@ def equirectangular(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     """Distance in degrees with longitudes shortened by latitude."""
     dx = (lon1 - lon2) * F.cos(F.radians(lat1))
     return F.sqrt(F.pow(lat1 - lat2, 2) + F.pow(dx, 2))
+
+
+#: Fixed values of the satellite windows, in pixels: what is added around a region, and the step of which its size is a multiple.
+PADDING, STRIDE = 100, 88
+
+
+def image_bounds(north: Column, west: Column, south: Column, east: Column, zoom: int) -> Column:
+    """Pixels ``(top, left, bottom, right)`` of a padded region cut to whole steps, the odd pixel taken off at the top and left."""
+    (top, left), (bottom, right) = pixel_from_latlon(north, west, zoom), pixel_from_latlon(south, east, zoom)
+
+    def fitted(low: Column, high: Column) -> tuple[Column, Column]:
+        over = F.pmod(high - low + 2 * PADDING, F.lit(STRIDE))
+        return low - PADDING + F.ceil(over / 2), high + PADDING - F.floor(over / 2)
+
+    (top, bottom), (left, right) = fitted(top, bottom), fitted(left, right)
+    return F.struct(*[c.cast("bigint").alias(n) for n, c in (("top", top), ("left", left), ("bottom", bottom), ("right", right))])
+
+
+def image_statistics(regions: DataFrame, goal: float = 0.5, deviation: float = 0.25, levels: range = range(10, 23)) -> DataFrame:
+    """Zoom, resolution, pixels and square metres of the image of each of ``regions(place, north, west, south, east)``.
+
+    The zoom level follows from a region's middle latitude; a level outside ``levels`` gives null bounds.
+    """
+    middle = (F.col("north") + F.col("south")) / 2
+    out = regions.withColumn("zoom", derive_zoom(middle, goal, deviation)).withColumn("gsd", ground_resolution(middle, F.col("zoom")))
+    box = F.coalesce(*[F.when(F.col("zoom") == z, image_bounds(F.col("north"), F.col("west"), F.col("south"), F.col("east"), z)) for z in levels])
+    out = out.withColumn("box", box)
+    corner = lambda y, x: [F.coalesce(*[F.when(F.col("zoom") == z, latlon_from_pixel(F.col(f"box.{y}"), F.col(f"box.{x}"), z)[k]) for z in levels]) for k in (0, 1)]
+    (n1, e1), (n2, e2) = (utm_from_latlon(*corner(y, x)) for y, x in (("top", "left"), ("bottom", "right")))
+    return out.select("place", "zoom", "gsd", (F.col("box.bottom") - F.col("box.top")).alias("height"), (F.col("box.right") - F.col("box.left")).alias("width"), (F.abs(n1 - n2) * F.abs(e2 - e1)).alias("area"))
