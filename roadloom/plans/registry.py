@@ -15,6 +15,7 @@ from ..functions import curve as C
 from ..functions import geodesy as G
 from ..operators import coverage, fusion, graph, metrics, spatial, structure
 from ..sources import traces
+from . import sweeps
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -533,3 +534,67 @@ def apls_sample(spark, sf_dir):
     ring = spark.range(1, 5).select(F.lit("g").alias("graph_id"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.lit(0).alias("k")).withColumn("curve", F.array(at(F.col("u")), at(F.col("v"))))
     rows = metrics.apls_samples(e.unionByName(ring), e.unionByName(ring), 200, 7)
     return rows.select("sample_id", "category", r(F.col("score"), 4).alias("score"))
+
+
+@query(f"WITH {SHORT} SELECT id, round(least(5, len), 6) AS before, CASE WHEN len > 5 THEN round(len - 5, 6) END AS after FROM (SELECT id, sqrt(pow(byy-ay,2)+pow(bx-ax,2)) AS len FROM s)")
+def cut_line(spark, sf_dir):
+    parts = C.cut_line(F.array("a", "b"), F.lit(5.0))
+    return short_segments(spark, sf_dir).select("id", parts.alias("p")).select("id", r(C.length(F.get("p", F.lit(0)))).alias("before"), F.when(F.size("p") > 1, r(C.length(F.get("p", F.lit(1))))).alias("after"))
+
+
+@query(f"""WITH {SHORT}, p AS (SELECT s.*, sqrt(pow(byy-ay,2)+pow(bx-ax,2)) AS len FROM s),
+i AS (SELECT id, i, ay * (1 - i/len) + byy * (i/len) AS y, ax * (1 - i/len) + bx * (i/len) AS x, len FROM p, range(0, 1000) AS q(i) WHERE i < floor(len)),
+d AS (SELECT id, i, sqrt(pow(y-10,2)+pow(x,2)) + sqrt(pow(y+10,2)+pow(x,2)) AS sum FROM i)
+SELECT p.id, round(coalesce(min(d.sum), any_value(sqrt(pow(ay-10,2)+pow(ax,2)) + sqrt(pow(ay+10,2)+pow(ax,2)))), 6) AS sum FROM p LEFT JOIN d ON p.id = d.id GROUP BY p.id""")
+def closest_between(spark, sf_dir):
+    c, d = C.point(F.lit(10.0), F.lit(0.0)), C.point(F.lit(-10.0), F.lit(0.0))
+    p = short_segments(spark, sf_dir).select("id", C.closest_between(F.col("a"), F.col("b"), c, d).alias("p"))
+    return p.select("id", r(C.distance(F.col("p"), c) + C.distance(F.col("p"), d)).alias("sum"))
+
+
+def _pixels(lat: str, lon: str) -> tuple[str, str]:
+    y = MERC_Y.replace("lat", lat)
+    return f"CAST(floor({y} * 16777216) AS BIGINT)", f"CAST(floor((pi() + radians({lon})) / (2*pi()) * 16777216) AS BIGINT)"
+
+
+@query(f"""WITH {PLACES}, k AS (SELECT c_custkey, {_pixels('(lat+0.05)', '(lon-0.05)')[0]} AS y0, {_pixels('(lat+0.05)', '(lon-0.05)')[1]} AS x0, {_pixels('(lat-0.05)', '(lon+0.05)')[0]} AS y1, {_pixels('(lat-0.05)', '(lon+0.05)')[1]} AS x1 FROM c),
+o AS (SELECT *, (y1 - y0 + 200) % 88 AS h, (x1 - x0 + 200) % 88 AS w FROM k)
+SELECT c_custkey, y0 - 100 + h // 2 + h % 2 AS top, x0 - 100 + w // 2 + w % 2 AS left_, y1 + 100 - h // 2 AS bottom, x1 + 100 - w // 2 AS right_ FROM o""")
+def image_bounds(spark, sf_dir):
+    lat, lon = F.col("lat"), F.col("lon")
+    b = places(spark, sf_dir).select("c_custkey", G.image_bounds(lat + 0.05, lon - 0.05, lat - 0.05, lon + 0.05, 16).alias("b"))
+    return b.select("c_custkey", "b.top", F.col("b.left").alias("left_"), "b.bottom", F.col("b.right").alias("right_"))
+
+
+@query(f"""WITH {CHAIN}, g AS (SELECT graph_id, count(*) AS m, sum(length) / 1000 AS km FROM e GROUP BY graph_id)
+SELECT graph_id, CAST(t AS INTEGER) AS threshold, item, round(CASE item WHEN 'nodes' THEN m + 1 WHEN 'edges' THEN m ELSE km END, 6) AS value
+FROM g, (VALUES (1), (10), (20)) AS x(t), (VALUES ('nodes'), ('edges'), ('length_km')) AS y(item)""")
+def basics_by_threshold(spark, sf_dir):
+    e = chain_edges(spark, sf_dir)
+    n = structure.incidence(e).select("graph_id", "nid").distinct()
+    table = sweeps.long_form(sweeps.basics(n, e), ["graph_id"], ["nodes", "edges", "length_km"])
+    return sweeps.constant_series(table, [1, 10, 20]).select("graph_id", "threshold", "item", r(F.col("value")).alias("value"))
+
+
+@query(f"""WITH {MULTI}, g AS (SELECT l_returnflag AS flag, count(*) FILTER ({RENDER} = 'injected') AS i, count(*) AS n, coalesce(sum(length) FILTER ({RENDER} = 'injected'), 0) AS ik, sum(length) AS k FROM e GROUP BY flag)
+SELECT flag, i AS injected_edges, n AS total_edges, round(i / n, 6) AS edge_ratio, round(ik / k, 6) AS length_ratio FROM g""")
+def injection_ratios(spark, sf_dir):
+    injected = F.col("render") == "injected"
+    g = rendered(spark, sf_dir).groupBy(F.col("l_returnflag").alias("flag")).agg(F.count_if(injected).alias("injected_edges"), F.count("*").alias("total_edges"), F.sum(F.when(injected, F.col("length"))).alias("injected_km"), F.sum("length").alias("total_km"))
+    return sweeps.injection_ratios(g).select("flag", "injected_edges", "total_edges", r(F.col("edge_ratio")).alias("edge_ratio"), r(F.col("length_ratio")).alias("length_ratio"))
+
+
+@query(f"""WITH {CHAIN}, g AS (SELECT graph_id, count(*) AS m FROM e GROUP BY graph_id)
+SELECT graph_id, CAST(t AS INTEGER) AS threshold, false AS inverse, CASE t WHEN 2 THEN m ELSE 0 END AS injected, CAST(0 AS BIGINT) AS deleted, CAST(0 AS BIGINT) AS reconnected FROM g, (VALUES (2), (20)) AS x(t)""")
+def sweep_actions(spark, sf_dir):
+    """A chain of each graph and the same one 4.5 beside it: at 2 all of the patch is new, at 20 nothing is."""
+    chain = chain_edges(spark, sf_dir).select("graph_id", "u", "v")
+    at = lambda c, y: F.struct(F.lit(y).alias("y"), (F.col(c) * 100.0).alias("x"))
+
+    def graph_at(y: float) -> tuple[DataFrame, DataFrame]:
+        e = chain.select("graph_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.lit(0).alias("k"), F.array(at("u", y), at("v", y)).alias("curve"))
+        n = structure.incidence(e).select("graph_id", "nid").distinct().select("graph_id", "nid", F.lit(y).alias("y"), (F.col("nid") * 100.0).alias("x"))
+        return n, e
+
+    swept = sweeps.fuse_at(graph_at(0.0), graph_at(4.5), [2, 20], [False])
+    return sweeps.threshold_actions(swept)
