@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from array import array
 from collections import defaultdict
@@ -17,6 +18,7 @@ from .common import mapped, written
 
 #: A word of plain letters, which are one pre-token whatever stands around them, and the marks after it, which are another one.
 PLAIN = re.compile(rb"((?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++)([!-/:-@\[-`{-~]*+)").fullmatch
+MARKS = string.punctuation.encode()
 
 
 def words_of(text: str) -> list[bytes]:
@@ -36,18 +38,23 @@ def words_of(text: str) -> list[bytes]:
 class WordEncoder:
     """Ids of texts as little-endian 32-bit integers, through a bounded cache from words to their ids.
 
-    New words of plain letters are encoded many at a time, as one text whose ids the tokenizer's word ends divide again.
+    New words of plain letters are encoded many at a time, as one text whose ids the tokenizer's word ends divide again. Such letters
+    are their own normal form but for their case, and one pre-token each, so they are divided at spaces alone.
     """
 
     def __init__(self, tokenizer: str, cached: int = 400_000, group: int = 500) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.model, self.cached, self.group, self.known = Tokenizer.from_file(tokenizer), cached, group, {}
-        self.model.no_truncation()
-        self.model.no_padding()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.cached, self.group, self.known = cached, group, {}
+        self.model, self.letters = Tokenizer.from_file(tokenizer), Tokenizer.from_file(tokenizer)
+        for model in (self.model, self.letters):
+            model.no_truncation()
+            model.no_padding()
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.model.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -57,25 +64,28 @@ class WordEncoder:
             self.known[w] = array("I", e.ids).tobytes()
 
     def _joined(self, words: list[bytes]) -> None:
-        ids = np.array(self.model.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.letters.encode_batch_fast([b" ".join(words).decode().lower()], add_special_tokens=False)[0].ids, "<u4")
         at = 4 * (np.flatnonzero(self.ends[ids]) + 1)
         if len(at) != len(words):
             self._each(words)
             return
         data, stops = ids.tobytes(), at.tolist()
-        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True))
+        self.known.update(zip(words, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
 
     def learn(self, fresh: set[bytes]) -> None:
         known, plain, other, marked = self.known, set(), set(), []
         for w in fresh:
-            m = PLAIN(w)
-            if not m:
-                other.add(w)
-                continue
-            letters, marks = m.groups()
+            letters = w.rstrip(MARKS)
+            if not letters.isalpha():  # not of ASCII letters alone
+                m = PLAIN(w)
+                if not m:
+                    other.add(w)
+                    continue
+                letters = m[1]
             if letters not in known:
                 plain.add(letters)
-            if marks:
+            if len(letters) < len(w):
+                marks = w[len(letters) :]
                 marked.append((w, letters, marks))
                 if marks not in known:
                     other.add(marks)
@@ -89,13 +99,17 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [words_of(t) for t in texts]
-        fresh = set().union(*split).difference(self.known)
+        parts = [list(map(self.known.get, words)) for words in split]
+        gaps = [[k for k, part in enumerate(p) if part is None] for p in parts]
+        fresh = {words[k] for words, gap in zip(split, gaps, strict=True) for k in gap}
         if fresh:
             if len(self.known) + len(fresh) > self.cached:
                 self.known.clear()
-                fresh = set().union(*split)
             self.learn(fresh)
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+            for words, p, gap in zip(split, parts, gaps, strict=True):
+                for k in gap:
+                    p[k] = self.known[words[k]]
+        return list(map(b"".join, parts))
 
 
 #: Encoders of this worker process: tasks that it runs one after the other share their caches.
