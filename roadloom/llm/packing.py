@@ -42,7 +42,7 @@ class WordEncoder:
     are their own normal form but for their case, and one pre-token each, so they are divided at spaces alone.
     """
 
-    def __init__(self, tokenizer: str, cached: int = 400_000, group: int = 500) -> None:
+    def __init__(self, tokenizer: str, cached: int = 900_000, group: int = 500) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
