@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import curve as C
@@ -47,25 +50,76 @@ def kd_ball(left: DataFrame, right: DataFrame, radius: float, k: int = 500) -> D
     return radius_join(left, right, radius).groupBy("lid").agg(best.alias("near")).select("lid", F.inline("near"))
 
 
-def nearest(left: DataFrame, right: DataFrame, distance: Column, radius: float, rounds: int = 40) -> DataFrame:
+def _extent(box: str) -> list[Column]:
+    return [F.min(f"{box}.miny").alias("miny"), F.min(f"{box}.minx").alias("minx"), F.max(f"{box}.maxy").alias("maxy"), F.max(f"{box}.maxx").alias("maxx")]
+
+
+def _first_radius(left: DataFrame, right: DataFrame, radius: float, least: float, wanted: int) -> float:
+    """The given radius, made smaller until rows in the same grid cells make about ``wanted`` pairs, or boxes meet as many cells."""
+    spread = lambda box, size: F.sum((F.ceil((F.col(box)["maxy"] - F.col(box)["miny"]) / size) + 1) * (F.ceil((F.col(box)["maxx"] - F.col(box)["minx"]) / size) + 1))
+    counted = lambda rows, box, n: rows.select(F.explode(_cells(F.col(box), radius, 0.0)).alias("_cell")).groupBy("_cell").agg(F.count("*").alias(n))
+    while True:
+        met = counted(left, "lbox", "l").join(counted(right, "rbox", "r"), "_cell").agg(F.sum(F.col("l").cast("double") * F.col("r")).alias("n")).first()["n"] or 0
+        if 9 * met <= wanted:
+            return radius
+        smaller = radius / 2 ** max(1, math.ceil(math.log2(9 * met / wanted) / 2))
+        boxes = left.agg(spread("lbox", smaller).alias("n")).first()["n"] + right.agg(spread("rbox", smaller).alias("n")).first()["n"]
+        if smaller < least or boxes > wanted:
+            return radius
+        radius = smaller
+
+
+def nearest(left: DataFrame, right: DataFrame, distance: Column, radius: float, per_row: int = 16) -> DataFrame:
     """``(lid, rid, distance)``: the nearest right row of each left row by ``distance``, ties by smallest rid.
 
     ``left(lid, lbox, ...)`` and ``right(rid, rbox, ...)`` meet within a radius that doubles for the rows still without a neighbour
-    inside it; ``distance`` must be at least the distance of the boxes. Rows with lid = rid do not meet.
+    inside it; ``distance`` must be at least the distance of the boxes. Rows with lid = rid do not meet. Where rows are dense the first
+    radius is smaller than the given one, for about ``per_row`` pairs a row; the last few rows meet all others. Rows alike but for their id are looked up once: left ones for the two nearest rids, one of
+    which is not their own, right ones by their two smallest rids. Rows without a finite box have no neighbour.
     """
-    out, open_, right = None, settled(left), settled(right)
-    if right.isEmpty():
+    finite = lambda box: reduce(Column.__and__, [F.abs(F.col(box)[c]) < math.inf for c in ("miny", "minx", "maxy", "maxx")])
+    left, right = left.where(F.col("lid").isNotNull() & finite("lbox")), right.where(F.col("rid").isNotNull() & finite("rbox"))
+    shape, other = ([c for c in rows.columns if c != key] for rows, key in ((left, "lid"), (right, "rid")))
+    alike = Window.partitionBy(*other).orderBy("rid")
+    right = settled(right.distinct().withColumn("_k", F.row_number().over(alike)).where("_k <= 2").drop("_k"))
+    left = settled(left)
+    leads = settled(left.groupBy(*shape).agg(F.min("lid").alias("_lead")))
+    ends = [e for e in (leads.agg(*_extent("lbox")).first(), right.agg(*_extent("rbox")).first()) if e["miny"] is not None]
+    if len(ends) < 2:
         return left.select("lid", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("distance")).limit(0)
-    for _ in range(rounds):
-        met = box_join(open_, right, radius, radius).where("lid != rid").withColumn("distance", distance).where(F.col("distance") <= radius)
-        found = met.groupBy("lid").agg(F.min(F.struct("distance", "rid")).alias("m")).select("lid", F.col("m.rid").alias("rid"), F.col("m.distance").alias("distance"))
-        found = settled(found)
-        out = found if out is None else out.unionByName(found)
-        open_ = settled(open_.join(found.select("lid"), "lid", "left_anti"))
-        if open_.isEmpty():
+    whole = math.hypot(*[max(e[f"max{c}"] for e in ends) - min(e[f"min{c}"] for e in ends) for c in "yx"])
+    most = max([abs(v) for e in ends for v in e])
+    pairs = reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in shape])
+    members = settled(left.alias("l").join(leads.alias("r"), pairs).select("l.lid", "_lead"))
+    own = members.select("_lead", F.col("lid").alias("rid"))
+    ids = right.agg(F.count("*").alias("n"), F.count_distinct("rid").alias("ids")).first()
+    open_, left_over = leads, leads.count()
+    wanted = per_row * (left_over + ids["n"])
+    radius = _first_radius(leads, right, radius, max(whole, most) * 2.0**-40, wanted)
+    first = Window.partitionBy("_lead").orderBy("distance", "rid")
+    out = None
+    while True:
+        few = left_over * ids["n"] <= wanted
+        last = few or radius >= whole  # all boxes meet
+        met = right.crossJoin(F.broadcast(open_)) if few else box_join(open_, right, radius, radius)
+        met = met.select("_lead", "rid", distance.alias("distance"))
+        met = met.where(F.col("distance") < math.inf) if last else met.where(F.col("distance") <= radius)
+        if ids["n"] > ids["ids"]:
+            met = met.groupBy("_lead", "rid").agg(F.min("distance").alias("distance"))
+        near = settled(met.withColumn("_k", F.row_number().over(first)).where("_k <= 2").drop("_k"))
+        found = near.groupBy("_lead").agg(F.count("*").alias("n"), F.min("rid").alias("rid"))
+        done = found.where("n > 1").select("_lead").unionAll(found.where("n = 1").join(own, ["_lead", "rid"], "left_anti").select("_lead"))
+        near = near if last else near.join(done, "_lead", "left_semi")
+        out = near if out is None else out.unionByName(near)
+        if last:
+            break
+        open_ = settled(open_.join(done, "_lead", "left_anti"))
+        left_over = open_.count()
+        if not left_over:
             break
         radius *= 2
-    return out
+    best = out.join(members, "_lead").where("lid != rid").groupBy("lid").agg(F.min(F.struct("distance", "rid")).alias("m"))
+    return best.select("lid", F.col("m.rid").alias("rid"), F.col("m.distance").alias("distance"))
 
 
 def nearest_point(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:

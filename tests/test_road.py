@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import curve as C
 from roadloom.functions import geodesy as G
-from roadloom.operators import coverage, fusion, graph, metrics, structure
+from roadloom.operators import coverage, fusion, graph, metrics, spatial, structure
 from roadloom.sources import traces
 
 CURVE = "array<struct<y:double,x:double>>"
@@ -183,3 +183,31 @@ def test_projection_round_trip(spark):
     back = {r.nid: (r.y, r.x) for r in n.collect()}
     assert all(np.allclose(back[r.nid], (r.y, r.x), atol=1e-6) for r in nodes.collect()) and e.columns[:3] == ["graph_id", "u", "v"]
     assert 1200 < graph.to_utm(nodes, edges)[1].first().length < 1400
+
+
+def test_nearest_in_dense_places_meets_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    at = np.concatenate([rng.normal(0, 0.5, (1500, 2)), rng.normal(0, 300, (60, 2)), np.tile([[0.25, 0.5]], (1200, 1)), [[9000.0, 9000.0]]])
+    ids = rng.permutation(len(at)) * 3
+    left = spark.createDataFrame([(int(i), float(y), float(x)) for i, (y, x) in zip(ids, at)] + [(-1, float("nan"), 0.0), (-2, None, 1.0)], "lid long, ly double, lx double")
+    right = left.toDF("rid", "ry", "rx")
+    met, plain = [], spatial.box_join
+
+    def counted(*args, **kw):
+        out = plain(*args, **kw)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "box_join", counted)
+    d = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1))
+    np.fill_diagonal(d, np.inf)
+    best = d.min(1)
+    want = {int(i): (float(b), int(ids[row <= b + 1e-12].min())) for i, b, row in zip(ids, best, d)}
+    for got in (spatial.nearest_point(left, right, 40.0), spatial.nearest_curve(left, right.select("rid", F.array(C.point(F.col("ry"), F.col("rx")), C.point(F.col("ry"), F.col("rx"))).alias("curve")), 40.0)):
+        rows = {r["lid"]: (r["distance"], r["rid"]) for r in got.collect()}
+        assert rows.keys() == want.keys()
+        assert all(np.isclose(rows[i][0], want[i][0]) and rows[i][1] == want[i][1] for i in want)
+        assert sum(met) < 60 * len(at)
+        met.clear()
+    alone = spatial.nearest_point(left.where("lid = 0"), right.where("rid = 0"), 1.0)
+    assert alone.count() == 0
