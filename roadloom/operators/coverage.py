@@ -129,9 +129,9 @@ def edge_coverage(source: DataFrame, target: DataFrame, max_threshold: int = 50)
     """
     left = source.select("graph_id", "u", "v", "k", "curve", C.bounding_box(F.col("curve")).alias("lbox"))
     right = target.select("tgraph", "tu", "tv", "a", "b", C.bounding_box(F.array("a", "b")).alias("rbox"))
-    met = box_join(left, right, float(max_threshold), float(max(max_threshold, 1))).where("graph_id = tgraph")
+    met = box_join(left, right, float(max_threshold), float(max(max_threshold, 1)), by=("graph_id", "tgraph"))
     near = met.groupBy("graph_id", "u", "v", "k").agg(F.collect_list(F.struct("tu", "tv", "a", "b")).alias("near"))
-    asked = source.select("graph_id", "u", "v", "k", "curve").join(near, ["graph_id", "u", "v", "k"], "left")
+    asked = source.select("graph_id", "u", "v", "k", "curve").join(near.hint("merge"), ["graph_id", "u", "v", "k"], "left")
     # the groups are small and dear: a count of partitions of its own keeps them from being coalesced into few tasks
     asked = asked.repartition(4 * max(int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")), source.sparkSession.sparkContext.defaultParallelism), "graph_id", "u", "v", "k")
 

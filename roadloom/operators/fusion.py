@@ -97,14 +97,14 @@ def fuse(base_nodes: DataFrame, base_edges: DataFrame, patch_nodes: DataFrame, p
         cover = edge_coverage(base_edges.select("graph_id", "u", "v", "k", "curve"), back.select("tgraph", "tu", "tv", "a", "b"), int(threshold))
         used = cover.where(F.col("threshold") <= threshold).select("graph_id", F.explode("covered_by").alias("c")).select(F.col("graph_id").alias("tgraph"), F.col("c.u").alias("lo"), F.col("c.v").alias("hi")).distinct()
         ends = back.withColumn("lo", F.least("tu", "tv")).withColumn("hi", F.greatest("tu", "tv"))
-        keep = ends.join(used, ["tgraph", "lo", "hi"], "left_semi").select(F.col("tgraph").alias("graph_id"), "u", "v", "k").distinct()
-        above = above.join(keep, ["graph_id", "u", "v", "k"], "left_semi")
+        keep = ends.join(used.hint("merge"), ["tgraph", "lo", "hi"], "left_semi").select(F.col("tgraph").alias("graph_id"), "u", "v", "k").distinct()
+        above = above.join(keep.hint("merge"), ["graph_id", "u", "v", "k"], "left_semi")
     below = patch_edges.where(F.col("threshold") <= threshold)
-    starts = incidence(above).select("graph_id", "nid").distinct().join(incidence(below).select("graph_id", "nid").distinct(), ["graph_id", "nid"], "left_semi")
+    starts = incidence(above).select("graph_id", "nid").distinct().join(incidence(below).select("graph_id", "nid").distinct().hint("merge"), ["graph_id", "nid"], "left_semi")
     used = incidence(above).select("graph_id", "nid").distinct()
     mark = lambda df, render, origin: df.withColumn("render", F.lit(render)).withColumn("origin", F.lit(origin))
     nodes = mark(base_nodes.select("graph_id", "nid", "y", "x"), "original", "C").withColumn("target", F.lit(True)).unionByName(
-        mark(patch_nodes.select("graph_id", "nid", "y", "x").join(used, ["graph_id", "nid"], "left_semi"), "injected", "B").withColumn("target", F.lit(False)))
+        mark(patch_nodes.select("graph_id", "nid", "y", "x").join(used.hint("merge"), ["graph_id", "nid"], "left_semi"), "injected", "B").withColumn("target", F.lit(False)))
     cols = ["graph_id", "u", "v", F.col("k").cast("int").alias("k"), "curve"]
     edges = mark(base_edges.select(*cols), "original", "C").withColumn("target", F.lit(True)).unionByName(mark(above.select(*cols), "injected", "B").withColumn("target", F.lit(False)))
     a_nodes, a_edges = _reconnected(nodes, edges, starts, "connection", "B", "C")
@@ -114,20 +114,20 @@ def fuse(base_nodes: DataFrame, base_edges: DataFrame, patch_nodes: DataFrame, p
     seg = vectorize(patch).select(F.col("graph_id").alias("tgraph"), F.concat_ws("_", "u", "v", "k", "part").alias("id"), "a", "b", "part")
     seg = seg.select("tgraph", F.xxhash64("a").alias("tu"), F.xxhash64("b").alias("tv"), "a", "b")
     cover = settled(edge_coverage(rest.select("graph_id", "u", "v", "k", "curve"), seg, int(threshold)))
-    ends = incidence(a_edges.where("origin = 'B'")).groupBy("graph_id", "nid").count().where("count = 1").join(a_nodes.select("graph_id", "nid", "y", "x"), ["graph_id", "nid"])
+    ends = incidence(a_edges.where("origin = 'B'")).groupBy("graph_id", "nid").count().where("count = 1").join(a_nodes.select("graph_id", "nid", "y", "x").hint("merge"), ["graph_id", "nid"])
     tips = ends.select(F.col("graph_id").alias("tip_graph"), F.struct("y", "x").alias("p"), point_box("y", "x").alias("lbox"))
-    near = box_join(tips, rest.withColumn("rbox", C.bounding_box(F.col("curve"))), float(threshold), float(max(threshold, 1.0))).where("tip_graph = graph_id")
+    near = box_join(tips, rest.withColumn("rbox", C.bounding_box(F.col("curve"))), float(threshold), float(max(threshold, 1.0)), by=("tip_graph", "graph_id"))
     far = near.where(F.array_max(F.transform("curve", lambda q: C.distance(q, F.col("p")))) <= threshold)
     spared = far.select("graph_id", "u", "v", "k").distinct()
     covered = cover.where(F.col("threshold") <= threshold)
-    gone = settled(covered.join(spared, ["graph_id", "u", "v", "k"], "left_anti").select("graph_id", "u", "v", "k", F.lit(True).alias("gone"), "covered_by"))
+    gone = settled(covered.join(spared.hint("merge"), ["graph_id", "u", "v", "k"], "left_anti").select("graph_id", "u", "v", "k", F.lit(True).alias("gone"), "covered_by"))
     kept_nodes = incidence(cover.where(F.col("threshold") > threshold)).select("graph_id", "nid").distinct()
-    gone_nodes = settled(incidence(covered).select("graph_id", "nid").distinct().join(kept_nodes, ["graph_id", "nid"], "left_anti").withColumn("gone", F.lit(True)))
-    b_edges = settled(a_edges.join(gone.drop("covered_by"), ["graph_id", "u", "v", "k"], "left").withColumn("render", F.when(F.col("gone"), "deleted").otherwise(F.col("render"))).drop("gone"))
-    b_nodes = settled(a_nodes.join(gone_nodes, ["graph_id", "nid"], "left").withColumn("render", F.when(F.col("gone"), "deleted").otherwise(F.col("render"))).drop("gone"))
+    gone_nodes = settled(incidence(covered).select("graph_id", "nid").distinct().join(kept_nodes.hint("merge"), ["graph_id", "nid"], "left_anti").withColumn("gone", F.lit(True)))
+    b_edges = settled(a_edges.join(gone.drop("covered_by").hint("merge"), ["graph_id", "u", "v", "k"], "left").withColumn("render", F.when(F.col("gone"), "deleted").otherwise(F.col("render"))).drop("gone"))
+    b_nodes = settled(a_nodes.join(gone_nodes.hint("merge"), ["graph_id", "nid"], "left").withColumn("render", F.when(F.col("gone"), "deleted").otherwise(F.col("render"))).drop("gone"))
     # reconnect: nodes left at two deleted edges that one patch element covers
     parts = gone.select("graph_id", F.explode(F.array("u", "v")).alias("nid"), "u", "v", "k", F.explode("covered_by").alias("c"))
-    loose = parts.groupBy("graph_id", "nid", "c").agg(F.count_distinct("u", "v", "k").alias("n")).where("n >= 2").select("graph_id", "nid").distinct().join(gone_nodes.select("graph_id", "nid"), ["graph_id", "nid"], "left_anti")
+    loose = parts.groupBy("graph_id", "nid", "c").agg(F.count_distinct("u", "v", "k").alias("n")).where("n >= 2").select("graph_id", "nid").distinct().join(gone_nodes.select("graph_id", "nid").hint("merge"), ["graph_id", "nid"], "left_anti")
     c_nodes, c_edges = _reconnected(b_nodes.withColumn("target", F.col("origin") == "B"), b_edges.withColumn("target", F.col("origin") == "B"), loose, "connection", "C", "B")
     return {"a": (a_nodes, a_edges), "b": (b_nodes, b_edges), "c": (c_nodes, c_edges)}
 

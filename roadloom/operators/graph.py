@@ -107,7 +107,7 @@ def near_graph(edges: DataFrame, other: DataFrame, reach: float, size: float | N
     """The edges whose box meets that of any edge of ``other`` (of the same graph_id), padded by ``reach``."""
     left = other.select(F.col("graph_id").alias("lgraph"), C.bounding_box(F.col("curve")).alias("lbox"))
     right = edges.select(*KEY, C.bounding_box(F.col("curve")).alias("rbox"))
-    hit = spatial.box_join(left, right, reach, size or max(reach, 1.0)).where("lgraph = graph_id").select(*KEY).distinct()
+    hit = spatial.box_join(left, right, reach, size or max(reach, 1.0), by=("lgraph", "graph_id")).select(*KEY).distinct()
     return edges.join(hit, KEY, "left_semi")
 
 
@@ -284,7 +284,7 @@ def with_coverage(edges: DataFrame, target: DataFrame, most: int = 50) -> DataFr
     segments = structure.vectorize(target)
     points = segments.select(F.col("graph_id").alias("tgraph"), F.xxhash64("a").alias("tu"), F.xxhash64("b").alias("tv"), "a", "b")
     found = coverage.edge_coverage(edges.select(*KEY, "curve"), points, most)
-    return without_coverage(edges).join(found, KEY)
+    return without_coverage(edges).join(found.hint("merge"), KEY)
 
 
 def split_by_coverage(edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -18,15 +18,19 @@ def _cells(box: Column, size: float, pad: float) -> Column:
     return F.flatten(F.transform(axis("miny", "maxy"), lambda cy: F.transform(axis("minx", "maxx"), lambda cx: F.struct(cy.alias("cy"), cx.alias("cx")))))
 
 
-def box_join(left: DataFrame, right: DataFrame, radius: float, size: float, left_box: str = "lbox", right_box: str = "rbox") -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, radius: float, size: float, left_box: str = "lbox", right_box: str = "rbox", by: tuple[str, str] | None = None) -> DataFrame:
     """Pairs whose boxes overlap once the left one is padded by ``radius`` (closed), each pair once.
 
     Both sides are dealt out to grid cells of ``size`` and meet in an equi-join; a pair that shares several cells is kept only in the
-    one that holds the upper left corner of the boxes' intersection, so no de-duplicating shuffle follows.
+    one that holds the upper left corner of the boxes' intersection, so no de-duplicating shuffle follows. ``by`` names a left and a
+    right column that must be equal too, such as their graphs'. Neither side is broadcast, as both grow with the input.
     """
     a = left.withColumn("_cell", F.explode(_cells(F.col(left_box), size, radius)))
     b = right.withColumn("_cell", F.explode(_cells(F.col(right_box), size, 0.0)))
-    met = a.join(b, "_cell")
+    if by:
+        met = a.withColumn("_by", F.col(by[0])).join(b.withColumn("_by", F.col(by[1])).hint("merge"), ["_cell", "_by"]).drop("_by")
+    else:
+        met = a.join(b.hint("merge"), "_cell")
     padded = C.pad_bounding_box(F.col(left_box), radius)
     corner_y = F.floor(F.greatest(padded["miny"], F.col(right_box)["miny"]) / size).cast("bigint")
     corner_x = F.floor(F.greatest(padded["minx"], F.col(right_box)["minx"]) / size).cast("bigint")

@@ -18,7 +18,7 @@ def shifted(nodes: DataFrame, edges: DataFrame, past: DataFrame) -> tuple[DataFr
     most = past.groupBy("graph_id").agg((F.max("nid") + 1).alias("_past"))
     own = nodes.groupBy("graph_id").agg(F.min("nid").alias("_least"))
     by = F.coalesce("_past", F.lit(0)) - F.col("_least")
-    at = own.join(most, "graph_id", "left").select("graph_id", by.alias("_by"))
+    at = own.join(most.hint("merge"), "graph_id", "left").select("graph_id", by.alias("_by")).hint("merge")
     moved = edges.join(at, "graph_id").withColumns({"u": F.col("u") + F.col("_by"), "v": F.col("v") + F.col("_by")})
     return nodes.join(at, "graph_id").withColumn("nid", F.col("nid") + F.col("_by")).drop("_by"), moved.drop("_by")
 
@@ -32,7 +32,7 @@ def fuse_at(one: tuple[DataFrame, DataFrame], other: tuple[DataFrame, DataFrame]
     wanted = sorted(set(thresholds))
     for swap in dict.fromkeys(inverse):
         base, patch = (other, one) if swap else (one, other)
-        patch_nodes, patch_edges = shifted(*patch, base[0])
+        patch_nodes, patch_edges = map(settled, shifted(*patch, base[0]))
         near = settled(graph.with_coverage(patch_edges, base[1], max([most, *wanted])))
         for t in wanted:
             out[t, swap] = fusion.fuse(*base, patch_nodes, near, float(t), covered_injection_only)
@@ -88,7 +88,7 @@ def threshold_actions(swept: dict[tuple[int, bool], dict[str, tuple[DataFrame, D
     first = tagged({k: fusion.action_counts(v["a"][1], "graph_id").select("graph_id", F.col("connection").alias("before")) for k, v in swept.items()})
     last = tagged({k: fusion.action_counts(v["c"][1], "graph_id") for k, v in swept.items()})
     keys = ["graph_id", "threshold", "inverse"]
-    return last.join(first, keys).select(*keys, "injected", "deleted", (F.col("connection") - F.col("before")).alias("reconnected"))
+    return last.join(first.hint("merge"), keys).select(*keys, "injected", "deleted", (F.col("connection") - F.col("before")).alias("reconnected"))
 
 
 def injection_ratios(table: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import curve as C
 from roadloom.functions import geodesy as G
 from roadloom.plans import sweeps
+from roadloom.scratch import settled
 from roadloom.sources import archives, traces
 from roadloom.sources.store import Store, fusion_variants
 
@@ -77,6 +78,24 @@ def test_sweep_counts(spark):
     assert sorted((r["item"], r["threshold"], r["value"]) for r in long.collect()) == [("edges", 1, 2.0), ("edges", 2, 2.0), ("length_km", 1, 0.2), ("length_km", 2, 0.2), ("nodes", 1, 3.0), ("nodes", 2, 3.0)]
 
 
+def test_sweep_broadcasts_nothing_and_keeps_graphs_apart(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df)
+
+    for module in (sweeps, sweeps.fusion):
+        monkeypatch.setattr(module, "settled", seen)
+    many = lambda graphs: tuple(settled(d.drop("graph_id").crossJoin(spark.range(60).select(F.format_string("g%d", "id").alias("graph_id")))) for d in graphs)
+    counts = sweeps.threshold_actions(sweeps.fuse_at(many(chain(spark, 500, 0)), many(chain(spark, 504, 0, 5)), [2], [False]))
+    plans.append(counts._jdf.queryExecution().executedPlan().toString())
+    assert [tuple(r) for r in counts.select("injected").groupBy("injected").count().collect()] == [(4, 60)]
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("BroadcastHashJoin" in line for line in joins)
+    assert all("graph" in line or "_by" in line for line in joins)
+
+
 def test_ratios_and_typst(spark):
     t = spark.createDataFrame([("b", 1, 4, 0.5, 2.0), ("a", 0, 0, 0.0, 0.0)], "place string, injected_edges long, total_edges long, injected_km double, total_km double")
     t = sweeps.injection_ratios(t)
