@@ -112,15 +112,14 @@ class WordEncoder:
         return list(map(b"".join, parts))
 
 
-#: Encoders of this worker process: tasks that it runs one after the other share their caches.
-ENCODERS: dict[str, WordEncoder] = {}
-
-
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)``: each document's ids and ``end_id``, cut at ``capacity``."""
+    """``(doc_id, piece, start, length, ids_crc32)``: each document's ids and ``end_id``, cut at ``capacity``.
+
+    A task's encoder goes with it, before its worker gives memory back: idle workers of an executor hold no caches.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ENCODERS.get(tokenizer) or ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer))
+        encode = WordEncoder(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for pdf in frames:
             rows = []

@@ -106,6 +106,21 @@ def test_packing(spark, corpus):
     assert got.groupby("sequence_id")["length"].sum().max() <= 4096
 
 
+def test_packing_tasks_leave_no_cache(spark, monkeypatch):
+    import gc
+
+    import pandas as pd
+    from pyspark import cloudpickle
+
+    tasks = []
+    monkeypatch.setattr(packing, "mapped", lambda df, run, schema: tasks.append(cloudpickle.dumps(run)))
+    packing.tokenized_pieces(docs_of(spark, [(1, "a")]), tokenizer_path("word_bpe_49k.json"), 4096, 1)
+    run = cloudpickle.loads(tasks[0])  # as a worker gets it, and holds it while the task gives memory back
+    assert len(pd.concat(run(iter([pd.DataFrame({"doc_id": [1, 2], "text": ["some words", None]})])))) == 2
+    gc.collect()
+    assert not any(isinstance(x, packing.WordEncoder) for x in gc.get_objects())
+
+
 def test_word_ids_are_the_tokenizers():
     encode = packing.WordEncoder(tokenizer_path("word_bpe_49k.json"), cached=500, group=7)
     bits = ["a", "B", "é", "É", "Über", " ", "  ", "\n", "\t", ".", "'", "'s", "'S", "'re", "W\u030a", "\u0301", "İ", "Σ", "<|endoftext|>", "<|", "<|ENDOFTEXT|>", "\x1c", "\xa0", "\u3000", "漢", "1", "½", "µ", "×", "_", "!?", "🙂", "x\u0338", "\x00"]
