@@ -121,6 +121,15 @@ def nearest_on_segment(a: Column, b: Column, p: Column) -> Column:
     return let(let(t, spot), lambda q: F.struct(distance(q, p).alias("distance"), q["y"].alias("y"), q["x"].alias("x"), q["t"].alias("t")))
 
 
+def distance_to_segment(ay: Column, ax: Column, by: Column, bx: Column, y: Column, x: Column) -> Column:
+    """The distance of ``nearest_on_segment`` without functions of arrays, which Spark does not compile."""
+    dy, dx = by - ay, bx - ax
+    flat = (F.abs(dy) < 1e-4) & (F.abs(dx) < 1e-4)
+    t = F.when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((y - ay) * dy + (x - ax) * dx, dy * dy + dx * dx))))
+    fy, fx = ay + t * dy - y, ax + t * dx - x
+    return F.sqrt(fy * fy + fx * fx)
+
+
 def nearest_on_curve(curve: Column, p: Column) -> Column:
     """(distance, index, y, x, fraction) of the curve's nearest point to ``p``; the first of equal segments wins."""
 

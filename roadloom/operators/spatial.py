@@ -58,17 +58,63 @@ def _extent(box: str) -> list[Column]:
     return [F.min(f"{box}.miny").alias("miny"), F.min(f"{box}.minx").alias("minx"), F.max(f"{box}.maxy").alias("maxy"), F.max(f"{box}.maxx").alias("maxx")]
 
 
+#: The ends of a segment, for the rows that ``segment_join`` takes.
+ENDS = ("ay", "ax", "by", "bx")
+
+
+def _cell(at: Column, size: float) -> Column:
+    return F.floor(at / size).cast("bigint")
+
+
+def _boxed(rows: DataFrame, box: str, size: float, pad: float) -> DataFrame:
+    """A row for each cell (_cy, _cx) that a padded box meets."""
+    for axis in "yx":
+        rows = rows.withColumn(f"_c{axis}", F.explode(F.sequence(_cell(F.col(box)[f"min{axis}"] - pad, size), _cell(F.col(box)[f"max{axis}"] + pad, size))))
+    return rows
+
+
+def _drawn(rows: DataFrame, size: float, slack: float) -> DataFrame:
+    """A row for each cell (_cy, _cx) that a segment passes, or passes by within ``slack``: in each row of cells, or column if it is flat, a few."""
+    steep = F.abs(F.col("by") - F.col("ay")) >= F.abs(F.col("bx") - F.col("ax"))
+    ends = {e: F.when(steep, F.struct(F.col(f"{e}y").alias("m"), F.col(f"{e}x").alias("n"))).otherwise(F.struct(F.col(f"{e}x").alias("m"), F.col(f"{e}y").alias("n"))) for e in "ab"}
+    on = rows.withColumn("_steep", steep).withColumn("_p", F.least(*ends.values())).withColumn("_q", F.greatest(*ends.values()))
+    on = on.withColumn("_slope", F.coalesce(F.try_divide(F.col("_q.n") - F.col("_p.n"), F.col("_q.m") - F.col("_p.m")), F.lit(0.0)))
+    on = on.withColumn("_i", F.explode(F.sequence(_cell(F.col("_p.m") - slack, size), _cell(F.col("_q.m") + slack, size))))
+    at = lambda m: F.col("_p.n") + F.col("_slope") * (F.greatest(F.col("_p.m"), F.least(F.col("_q.m"), m)) - F.col("_p.m"))
+    low, high = at(F.col("_i") * size), at((F.col("_i") + 1) * size)
+    on = on.withColumn("_j", F.explode(F.sequence(_cell(F.least(low, high) - slack, size), _cell(F.greatest(low, high) + slack, size))))
+    cells = {"_cy": F.when(F.col("_steep"), F.col("_i")).otherwise(F.col("_j")), "_cx": F.when(F.col("_steep"), F.col("_j")).otherwise(F.col("_i"))}
+    return on.select(*rows.columns, *[c.alias(k) for k, c in cells.items()])
+
+
+def segment_join(left: DataFrame, right: DataFrame, radius: float, size: float, slack: float) -> DataFrame:
+    """Pairs of left boxes and right segments (``ENDS``) that share a grid cell once the boxes are padded by ``radius``: all that are within it.
+
+    A pair comes once for each cell that it shares. A segment lies in the cells that it passes and not in all of its box, so long ones
+    meet few boxes. ``slack`` covers the rounding of coordinates.
+    """
+    return _boxed(left, "lbox", size, radius + slack).join(_drawn(right, size, slack).hint("merge"), ["_cy", "_cx"]).drop("_cy", "_cx")
+
+
 def _first_radius(left: DataFrame, right: DataFrame, radius: float, least: float, wanted: int) -> float:
-    """The given radius, made smaller until rows in the same grid cells make about ``wanted`` pairs, or boxes meet as many cells."""
+    """The given radius, made larger where rows lie in far too many of its cells, or else smaller until rows in the same grid cells make about
+    ``wanted`` pairs, as long as they don't lie in too many cells for that."""
+    drawn = set(ENDS) <= set(right.columns)
     spread = lambda box, size: F.sum((F.ceil((F.col(box)["maxy"] - F.col(box)["miny"]) / size) + 1) * (F.ceil((F.col(box)["maxx"] - F.col(box)["minx"]) / size) + 1))
-    counted = lambda rows, box, n: rows.select(F.explode(_cells(F.col(box), radius, 0.0)).alias("_cell")).groupBy("_cell").agg(F.count("*").alias(n))
+    passed = lambda size: F.sum(2 * F.ceil(F.greatest(F.abs(F.col("by") - F.col("ay")), F.abs(F.col("bx") - F.col("ax"))) / size) + 1)
+    counted = lambda rows, n: rows.groupBy("_cy", "_cx").agg(F.count("*").alias(n))
+    cells = lambda size: left.agg(spread("lbox", size).alias("n")).first()["n"] + right.agg((passed(size) if drawn else spread("rbox", size)).alias("n")).first()["n"]
+    radius = max(radius, 16 * least)
+    while (many := cells(radius)) > 64 * wanted:
+        radius *= 2 ** math.ceil(math.log2(many / wanted) / 4)
     while True:
-        met = counted(left, "lbox", "l").join(counted(right, "rbox", "r"), "_cell").agg(F.sum(F.col("l").cast("double") * F.col("r")).alias("n")).first()["n"] or 0
+        there = _drawn(right, radius, least) if drawn else _boxed(right, "rbox", radius, 0.0)
+        met = counted(_boxed(left, "lbox", radius, 0.0), "l").join(counted(there, "r").hint("merge"), ["_cy", "_cx"]).agg(F.sum(F.col("l").cast("double") * F.col("r")).alias("n")).first()["n"] or 0
         if 9 * met <= wanted:
             return radius
         smaller = radius / 2 ** max(1, math.ceil(math.log2(9 * met / wanted) / 2))
-        boxes = left.agg(spread("lbox", smaller).alias("n")).first()["n"] + right.agg(spread("rbox", smaller).alias("n")).first()["n"]
-        if smaller < least or boxes > wanted:
+        # a cell's row is shuffled and costs about as much as eight pairs, which are only compared
+        if smaller < 16 * least or cells(smaller) > max(wanted, 9 * met / 8 if drawn else 0):
             return radius
         radius = smaller
 
@@ -76,10 +122,12 @@ def _first_radius(left: DataFrame, right: DataFrame, radius: float, least: float
 def nearest(left: DataFrame, right: DataFrame, distance: Column, radius: float, per_row: int = 16) -> DataFrame:
     """``(lid, rid, distance)``: the nearest right row of each left row by ``distance``, ties by smallest rid.
 
-    ``left(lid, lbox, ...)`` and ``right(rid, rbox, ...)`` meet within a radius that doubles for the rows still without a neighbour
-    inside it; ``distance`` must be at least the distance of the boxes. Rows with lid = rid do not meet. Where rows are dense the first
-    radius is smaller than the given one, for about ``per_row`` pairs a row; the last few rows meet all others. Rows alike but for their id are looked up once: left ones for the two nearest rids, one of
-    which is not their own, right ones by their two smallest rids. Rows without a finite box have no neighbour.
+    ``left(lid, lbox, ...)`` and ``right(rid, rbox, ...)`` meet within a radius that grows for the rows still without a neighbour
+    inside it; ``distance`` must be at least the distance of the boxes, or of the left box and the segment where right rows have
+    ``ENDS``. Rows with lid = rid do not meet. Where rows are dense the first radius is smaller than the given one, for about
+    ``per_row`` pairs a row; it grows the faster the fewer rows are left, and the last few rows meet all others. Rows alike but for their
+    id are looked up once: left ones for the two nearest rids, one of which is not their own, right ones by their two smallest rids. Rows
+    without a finite box have no neighbour.
     """
     finite = lambda box: reduce(Column.__and__, [F.abs(F.col(box)[c]) < math.inf for c in ("miny", "minx", "maxy", "maxx")])
     left, right = left.where(F.col("lid").isNotNull() & finite("lbox")), right.where(F.col("rid").isNotNull() & finite("rbox"))
@@ -88,27 +136,33 @@ def nearest(left: DataFrame, right: DataFrame, distance: Column, radius: float,
     right = settled(right.distinct().withColumn("_k", F.row_number().over(alike)).where("_k <= 2").drop("_k"))
     left = settled(left)
     leads = settled(left.groupBy(*shape).agg(F.min("lid").alias("_lead")))
-    ends = [e for e in (leads.agg(*_extent("lbox")).first(), right.agg(*_extent("rbox")).first()) if e["miny"] is not None]
+    at_left = leads.agg(*_extent("lbox"), F.count("*").alias("n")).first()
+    ids = right.agg(*_extent("rbox"), F.count("*").alias("n"), F.count_distinct("rid").alias("ids")).first()
+    ends = [e for e in (at_left, ids) if e["n"]]
     if len(ends) < 2:
         return left.select("lid", F.lit(None).cast("long").alias("rid"), F.lit(None).cast("double").alias("distance")).limit(0)
     whole = math.hypot(*[max(e[f"max{c}"] for e in ends) - min(e[f"min{c}"] for e in ends) for c in "yx"])
-    most = max([abs(v) for e in ends for v in e])
+    most = max([abs(e[c]) for e in ends for c in ("miny", "minx", "maxy", "maxx")])
     pairs = reduce(Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in shape])
-    members = settled(left.alias("l").join(leads.alias("r"), pairs).select("l.lid", "_lead"))
+    members = settled(left.alias("l").join(leads.alias("r").hint("merge"), pairs).select("l.lid", "_lead"))
     own = members.select("_lead", F.col("lid").alias("rid"))
-    ids = right.agg(F.count("*").alias("n"), F.count_distinct("rid").alias("ids")).first()
-    open_, left_over = leads, leads.count()
+    open_, left_over = leads, at_left["n"]
     wanted = per_row * (left_over + ids["n"])
-    radius = _first_radius(leads, right, radius, max(whole, most) * 2.0**-40, wanted)
+    least = max(whole, most) * 2.0**-40
+    drawn = set(ENDS) <= set(right.columns)
+    radius = _first_radius(leads, right, radius, least, wanted)
     first = Window.partitionBy("_lead").orderBy("distance", "rid")
     out = None
     while True:
         few = left_over * ids["n"] <= wanted
         last = few or radius >= whole  # all boxes meet
-        met = right.crossJoin(F.broadcast(open_)) if few else box_join(open_, right, radius, radius)
+        if few:
+            met = right.crossJoin(F.broadcast(open_))
+        else:
+            met = segment_join(open_, right, radius, radius, least) if drawn else box_join(open_, right, radius, radius)
         met = met.select("_lead", "rid", distance.alias("distance"))
         met = met.where(F.col("distance") < math.inf) if last else met.where(F.col("distance") <= radius)
-        if ids["n"] > ids["ids"]:
+        if drawn or ids["n"] > ids["ids"]:
             met = met.groupBy("_lead", "rid").agg(F.min("distance").alias("distance"))
         near = settled(met.withColumn("_k", F.row_number().over(first)).where("_k <= 2").drop("_k"))
         found = near.groupBy("_lead").agg(F.count("*").alias("n"), F.min("rid").alias("rid"))
@@ -118,10 +172,10 @@ def nearest(left: DataFrame, right: DataFrame, distance: Column, radius: float,
         if last:
             break
         open_ = settled(open_.join(done, "_lead", "left_anti"))
-        left_over = open_.count()
+        before, left_over = left_over, open_.count()
         if not left_over:
             break
-        radius *= 2
+        radius *= 2 ** min(3, max(1, round(math.log2(before / left_over) / 2)))
     best = out.join(members, "_lead").where("lid != rid").groupBy("lid").agg(F.min(F.struct("distance", "rid")).alias("m"))
     return best.select("lid", F.col("m.rid").alias("rid"), F.col("m.distance").alias("distance"))
 
@@ -134,8 +188,11 @@ def nearest_point(left: DataFrame, right: DataFrame, radius: float) -> DataFrame
 
 def nearest_curve(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """Nearest curve of another id: ``left(lid, ly, lx)``, ``right(rid, curve)``."""
-    d = C.nearest_on_curve(F.col("curve"), C.point(F.col("ly"), F.col("lx")))["distance"]
-    return nearest(left.withColumn("lbox", point_box("ly", "lx")), right.withColumn("rbox", C.bounding_box(F.col("curve"))), d, radius)
+    known = right.where(F.forall("curve", lambda p: (F.abs(p["y"]) < math.inf) & (F.abs(p["x"]) < math.inf)))
+    parts = known.select("rid", F.explode(C.segments(F.col("curve"))).alias("s")).select("rid", *[F.col(f"s.{e}.{axis}").alias(f"{e}{axis}") for e in "ab" for axis in "yx"])
+    box = F.struct(*[f(F.col(f"a{axis}"), F.col(f"b{axis}")).alias(f"{name}{axis}") for name, f in (("min", F.least), ("max", F.greatest)) for axis in "yx"])
+    d = C.distance_to_segment(*[F.col(c) for c in (*ENDS, "ly", "lx")])
+    return nearest(left.withColumn("lbox", point_box("ly", "lx")), parts.withColumn("rbox", box), d, radius)
 
 
 def crossings(edges: DataFrame, size: float) -> DataFrame:

@@ -211,3 +211,30 @@ def test_nearest_in_dense_places_meets_few_pairs(spark, monkeypatch):
         met.clear()
     alone = spatial.nearest_point(left.where("lid = 0"), right.where("rid = 0"), 1.0)
     assert alone.count() == 0
+
+
+def test_nearest_among_long_segments(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    a = np.concatenate([rng.uniform(0, 1000, (1200, 2)), [[-4e5, 3e5]]])
+    b = a + rng.normal(0, 600, a.shape)
+    b[:300] = a[:300] + rng.choice([0.0, 250.0, 1e-6], (300, 2))  # upright, level, diagonal and without a length
+    at = np.concatenate([a[:1000], [[7e5, -2e5], [500.0, 500.0]]])
+    plans, plain = [], spatial.settled
+    monkeypatch.setattr(spatial, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    left = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(at)], "lid long, ly double, lx double")
+    rows = [(i, [tuple(map(float, p)) for p in (p, q)]) for i, (p, q) in enumerate(zip(a, b))] + [(5000, [(0.0, None), (1.0, 1.0)]), (5001, [(float("nan"), 0.0), (1.0, 1.0)])]
+    right = spark.createDataFrame(rows, "rid long, curve array<struct<y: double, x: double>>")
+    got = {r.lid: (r.distance, r.rid) for r in spatial.nearest_curve(left, right, 40.0).collect()}
+    d, e = b - a, at[:, None] - a[None]
+    flat = (np.abs(d) < 1e-4).all(1)
+    t = np.where(flat, 0, np.clip((e * d).sum(2) / np.where(flat, 1, (d * d).sum(1)), 0, 1))
+    away = np.linalg.norm(a + t[..., None] * d - at[:, None], axis=2)
+    away[np.arange(len(at)), np.arange(len(at))] = np.inf
+    assert got.keys() == set(range(len(at)))
+    assert all(np.isclose(got[i][0], away[i].min(), rtol=1e-9, atol=1e-9) and np.isclose(away[i, got[i][1]], away[i].min(), rtol=1e-9, atol=1e-9) for i in got)
+    # what each pair is asked for is compiled: functions of arrays are interpreted, which took most of the time
+    assert any("Join" in p for p in plans) and not any("Join" in p and "lambda" in p for p in plans)
+    # a long slanted segment lies in the cells that it passes, each named once, not in all of its box
+    one = right.where("rid = 0").selectExpr("0L as rid", "0D as ay", "0D as ax", "900D as by", "700D as bx")
+    cells = [(r["_cy"], r["_cx"]) for r in spatial._drawn(one, 10.0, 1e-6).collect()]
+    assert len(cells) == len(set(cells)) <= 180 and {(int(900 * f // 10), int(700 * f // 10)) for f in np.linspace(0, 1, 5001)} <= set(cells)
