@@ -96,26 +96,28 @@ def segment_join(left: DataFrame, right: DataFrame, radius: float, size: float,
     return _boxed(left, "lbox", size, radius + slack).join(_drawn(right, size, slack).hint("merge"), ["_cy", "_cx"]).drop("_cy", "_cx")
 
 
-def _first_radius(left: DataFrame, right: DataFrame, radius: float, least: float, wanted: int) -> float:
-    """The given radius, made larger where rows lie in far too many of its cells, or else smaller until rows in the same grid cells make about
-    ``wanted`` pairs, as long as they don't lie in too many cells for that."""
+def _first_radius(left: DataFrame, right: DataFrame, radius: float, least: float, wanted: int, per_row: int) -> tuple[float, float]:
+    """A first radius and grid size: the given radius, made larger where rows lie in far too many of its cells, or else smaller until rows
+    in the same grid cells make about ``wanted`` pairs, as long as they don't lie in too many cells for that. Where segments then still
+    meet more, the radius is a part of the size, for about ``per_row`` pairs a row within it."""
     drawn = set(ENDS) <= set(right.columns)
     spread = lambda box, size: F.sum((F.ceil((F.col(box)["maxy"] - F.col(box)["miny"]) / size) + 1) * (F.ceil((F.col(box)["maxx"] - F.col(box)["minx"]) / size) + 1))
     passed = lambda size: F.sum(2 * F.ceil(F.greatest(F.abs(F.col("by") - F.col("ay")), F.abs(F.col("bx") - F.col("ax"))) / size) + 1)
     counted = lambda rows, n: rows.groupBy("_cy", "_cx").agg(F.count("*").alias(n))
     cells = lambda size: left.agg(spread("lbox", size).alias("n")).first()["n"] + right.agg((passed(size) if drawn else spread("rbox", size)).alias("n")).first()["n"]
-    radius = max(radius, 16 * least)
+    radius, left_over = max(radius, 16 * least), left.count()
     while (many := cells(radius)) > 64 * wanted:
         radius *= 2 ** math.ceil(math.log2(many / wanted) / 4)
     while True:
         there = _drawn(right, radius, least) if drawn else _boxed(right, "rbox", radius, 0.0)
         met = counted(_boxed(left, "lbox", radius, 0.0), "l").join(counted(there, "r").hint("merge"), ["_cy", "_cx"]).agg(F.sum(F.col("l").cast("double") * F.col("r")).alias("n")).first()["n"] or 0
         if 9 * met <= wanted:
-            return radius
+            return radius, radius
+        part = min(1.0, per_row * left_over / met) if drawn else 1.0
         smaller = radius / 2 ** max(1, math.ceil(math.log2(9 * met / wanted) / 2))
         # a cell's row is shuffled and costs about as much as eight pairs, which are only compared
-        if smaller < 16 * least or cells(smaller) > max(wanted, 9 * met / 8 if drawn else 0):
-            return radius
+        if smaller < 16 * least or cells(smaller) > max(wanted, (1 + 2 * part) ** 2 * met / 8 if drawn else 0):
+            return max(radius * part, 16 * least), radius
         radius = smaller
 
 
@@ -150,19 +152,23 @@ def nearest(left: DataFrame, right: DataFrame, distance: Column, radius: float,
     wanted = per_row * (left_over + ids["n"])
     least = max(whole, most) * 2.0**-40
     drawn = set(ENDS) <= set(right.columns)
-    radius = _first_radius(leads, right, radius, least, wanted)
+    radius, size = _first_radius(leads, right, radius, least, wanted, per_row)
     first = Window.partitionBy("_lead").orderBy("distance", "rid")
     out = None
     while True:
         few = left_over * ids["n"] <= wanted
         last = few or radius >= whole  # all boxes meet
         if few:
-            met = right.crossJoin(F.broadcast(open_))
+            met = right.crossJoin(F.broadcast(open_)) if left_over <= ids["n"] else open_.crossJoin(F.broadcast(right))
         else:
-            met = segment_join(open_, right, radius, radius, least) if drawn else box_join(open_, right, radius, radius)
+            met = segment_join(open_, right, radius, size, least) if drawn else box_join(open_, right, radius, radius)
         met = met.select("_lead", "rid", distance.alias("distance"))
         met = met.where(F.col("distance") < math.inf) if last else met.where(F.col("distance") <= radius)
-        if drawn or ids["n"] > ids["ids"]:
+        if few:  # of each half of the rids the least distance: the two nearest are no farther than the larger of both
+            half = met.groupBy("_lead", F.pmod(F.xxhash64("rid"), F.lit(2)).alias("_half")).agg(F.min("distance").alias("d"))
+            bound = half.groupBy("_lead").agg(F.when(F.count("*") > 1, F.max("d")).alias("_most"))
+            met = met.join(bound, "_lead").where("_most is null or distance <= _most").drop("_most")
+        if drawn and not few or ids["n"] > ids["ids"]:
             met = met.groupBy("_lead", "rid").agg(F.min("distance").alias("distance"))
         near = settled(met.withColumn("_k", F.row_number().over(first)).where("_k <= 2").drop("_k"))
         found = near.groupBy("_lead").agg(F.count("*").alias("n"), F.min("rid").alias("rid"))
@@ -176,6 +182,7 @@ def nearest(left: DataFrame, right: DataFrame, distance: Column, radius: float,
         if not left_over:
             break
         radius *= 2 ** min(3, max(1, round(math.log2(before / left_over) / 2)))
+        size = max(size, radius)
     best = out.join(members, "_lead").where("lid != rid").groupBy("lid").agg(F.min(F.struct("distance", "rid")).alias("m"))
     return best.select("lid", F.col("m.rid").alias("rid"), F.col("m.distance").alias("distance"))
 
